@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clipyard.llm.common import partitions, prefix_hash, row_key, scratch, span_hash, table
+from clipyard.llm.common import mix, partitions, prefix_hash, row_key, scratch, span_hash, table
 
 LENGTH, GRAM = 200, 64
 _CHUNK = 1 << 22
@@ -76,7 +76,13 @@ def _emit_anchors(length: int, gram: int):
 
             def flush(out=out):
                 h, lead, at, left, more, k_id, k_text = (np.concatenate(x) for x in zip(*out, strict=True))
-                return pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), lead, k_id, k_text, at, left.astype(np.int32), more.astype(np.int32))], names=["h", "lead", "k_id", "k_text", "at", "left", "more"])
+                # Hashes that repeat here are known to; one row of each tells the others, and the rest are dealt out evenly.
+                _, first, which, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+                known = n[which] > 1
+                rest = known.copy()
+                rest[first] = False
+                h = np.where(rest, mix(h ^ mix(at.astype(np.uint64)) ^ k_id.view(np.uint64)), h)
+                return pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), known, lead, k_id, k_text, at, left.astype(np.int32), more.astype(np.int32))], names=["h", "known", "lead", "k_id", "k_text", "at", "left", "more"])
 
             for i, value in enumerate(b.column("text")):
                 data = np.frombuffer((value.as_py() or "").encode(), np.uint8)
@@ -302,8 +308,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     """k_id, k_text, spans: for each row key with repeated windows, array of (first, last) ranges of their starts, in bytes."""
     spark = docs.sparkSession
     keyed = docs.select("text", *row_key())
-    found = keyed.mapInArrow(_emit_anchors(length, gram), "h long, lead long, k_id long, k_text long, at long, left int, more int")
-    twice = F.count("*").over(Window.partitionBy("h")) > 1
+    found = keyed.mapInArrow(_emit_anchors(length, gram), "h long, known boolean, lead long, k_id long, k_text long, at long, left int, more int")
+    twice = F.col("known") | (F.count("*").over(Window.partitionBy("h")) > 1)
     again = scratch(found.withColumn("twice", twice).where("twice").select("k_id", "k_text", "lead", "at", "left", "more"), "suffix-anchors")
     stats = again.agg(F.count("*").alias("n"), F.percentile_approx("lead", [i / 512 for i in range(1, 512)], 5000).alias("cuts")).first()
     ranges = max(1, min(512, max(partitions(spark), stats["n"] // 20_000)))
