@@ -44,6 +44,29 @@ def row_key() -> list:
     return [F.coalesce(F.col("doc_id"), F.lit(-1)).alias("k_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("k_text")]
 
 
+FILTER_BITS = 1 << 22
+
+
+def only_near(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of df whose long `key` may be among those of keys: all that are, and a few others, by a bitmap of fixed size. Spares a join from shuffling rows that have no partner."""
+    import pyarrow as pa
+
+    block = 1 << 12
+    slot = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    blocks = keys.select(slot.alias("s")).groupBy(F.floor(F.col("s") / block).alias("b")).agg(F.collect_set((F.col("s") % block).cast("int")).alias("s"))
+    bits = np.zeros(FILTER_BITS, bool)
+    for r in blocks.collect():  # at most FILTER_BITS numbers, whatever the corpus
+        bits[r["b"] * block + np.array(r["s"])] = True
+    held = df.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+    def run(batches):
+        own = np.unpackbits(held.value).astype(bool)
+        for b in batches:
+            yield b.filter(pa.array(own[b.column("slot_").to_numpy()])).drop_columns(["slot_"])
+
+    return df.withColumn("slot_", slot).mapInArrow(run, df.schema)
+
+
 # --- polynomial hashes of byte strings, modulo 2**64 -------------------------------------------
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)

@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clipyard.llm.common import gram_hashes, mix, partitions, row_key, scratch, table, word_hashes
+from clipyard.llm.common import gram_hashes, mix, only_near, partitions, row_key, scratch, table, word_hashes
 from clipyard.llm.graph import components
 
-GROUPS, WIDTH, BLOCK = 64, 1 << 20, 1 << 12
-SLICE, FAN = 4096, 16
+GROUPS, WIDTH, BLOCK = 128, 1 << 20, 1 << 12
+SLICE, FAN, BAND = 4096, 16, 2.0
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
@@ -33,6 +33,19 @@ def shingles(text: str | None, n: int) -> np.ndarray:
     return np.unique(gram_hashes(words, n))
 
 
+def packed_counts(s: np.ndarray) -> bytes:
+    """Counts of the n-grams in their groups, a byte each; 255 throughout where one has more than 254."""
+    n = np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=GROUPS)
+    return (n if n.max(initial=0) < 255 else np.full(GROUPS, 255)).astype(np.uint8).tobytes()
+
+
+def points_of(packed: list[bytes]) -> np.ndarray:
+    """Count vectors; those too large for bytes become bounds that exclude nothing."""
+    out = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, GROUPS).astype(np.int32)
+    out[out[:, 0] == 255] = 1 << 22
+    return out
+
+
 def least_overlap(total: np.ndarray | int, percent: int):
     """Least intersection of two sets of `total` elements together with 100 I >= percent U."""
     return -(-percent * total // (100 + percent))
@@ -97,7 +110,7 @@ def _emit_nodes(n: int):
                 s = shingles(value.as_py(), n)
                 nodes.append(int(mix(np.array([mix(s).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64)).view(np.int64)[0]))
                 sizes.append(len(s))
-                vecs.append(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype("<i4").tobytes())
+                vecs.append(packed_counts(s))
                 np.add.at(sketch, (s & np.uint64(WIDTH - 1)).astype(np.int64), 1)
             yield pa.RecordBatch.from_arrays([pa.nulls(len(nodes), pa.int32()), *(b.column(c) for c in names[1:4]), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(vecs, pa.binary())], names=names)
         blocks = sketch.reshape(-1, BLOCK)
@@ -148,8 +161,9 @@ def _bounded(percent: int):
         for b in batches:
             if not b.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<i4").reshape(-1, GROUPS) for c in ("vec_u", "vec_v"))
-            keep = np.minimum(x, y).sum(axis=1) >= least_overlap(x.sum(axis=1) + y.sum(axis=1), percent)
+            x, y = (points_of(b.column(c).to_pylist()) for c in ("vec_u", "vec_v"))
+            n, m = (b.column(c).to_numpy() for c in ("n_u", "n_v"))
+            keep = (np.minimum(x, y).sum(axis=1) >= least_overlap(n + m, percent)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
             yield b.select(["u", "v"]).filter(pa.array(keep))
 
     return run
@@ -158,7 +172,7 @@ def _bounded(percent: int):
 def _trees(percent: int):
     def one(rows: list[tuple]) -> list[tuple[int, int]]:
         node, comp, n, role = (np.array([r[i] for r in rows]) for i in range(4))
-        points = np.frombuffer(b"".join(r[4] for r in rows), "<i4").reshape(-1, GROUPS)
+        points = points_of([r[4] for r in rows])
         index, probe = np.flatnonzero(role <= 1), np.flatnonzero(role != 1)  # 0: both, 1: in the tree only, 2: probes only
         tree = CountTree(points[index], n[index], percent)
         q, p = tree.search(points[probe], n[probe])
@@ -206,7 +220,8 @@ def _verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame, n: int, percent:
     """The pairs (u, v) of nodes whose texts are similar enough."""
     ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     wanted = reps.join(ends, "node")
-    texts = scratch(docs.select("text", *row_key()).join(wanted, ["k_id", "k_text"]).select("node", "text").dropDuplicates(["node"]), "ngram-texts")
+    near = only_near(docs.select("text", *row_key()), wanted, "k_text")
+    texts = scratch(near.join(wanted, ["k_id", "k_text"]).select("node", "text").dropDuplicates(["node"]), "ngram-texts")
     side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
     joined = pairs.join(side("v"), "v").join(side("u"), "u")
     return joined.select("u", "v", "text_u", "text_v").mapInArrow(_verified(n, percent), "u long, v long")
@@ -233,7 +248,7 @@ def similar(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
     nodes = found.where(F.col("block").isNull() & (F.col("n") > 0)).groupBy("node").agg(F.min(F.struct("k_id", "k_text")).alias("rep"), F.first("vec").alias("vec"), F.first("n").alias("n"))
     nodes = scratch(nodes, "ngram-points")
-    point = lambda c: nodes.select(F.col("node").alias(c), F.col("vec").alias(f"vec_{c}"))
+    point = lambda c: nodes.select(F.col("node").alias(c), F.col("vec").alias(f"vec_{c}"), F.col("n").alias(f"n_{c}"))
     reps = nodes.select("node", "rep.*")
 
     stars = met.where("node <> leader").select(F.least("node", "leader").alias("u"), F.greatest("node", "leader").alias("v")).distinct()
@@ -245,15 +260,16 @@ def similar(docs: DataFrame, n: int, percent: int) -> DataFrame:
     comp = lambda c: F.coalesce(F.col("root"), F.col(c)).alias("comp")
     rest = met.where("met > 2").join(first, "node", "left").select("h", "node", "n", "met", comp("node"))
     rest = rest.withColumns({"lo": F.min("comp").over(w), "hi": F.max("comp").over(w)}).where("lo <> hi").drop("lo", "hi")
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
+    # Bands of sizes, twice as wide as their start: a row's partners of no greater size are in its own band, or, where percent of its size falls short of that, in the one below.
+    in_band = lambda x: F.floor(F.log(x.cast("double")) / F.log(F.lit(BAND))).cast("int")
+    band, below = in_band(F.col("n")), in_band(F.greatest(F.lit(1), F.floor(F.col("n") * percent / 100) - 1))
     slices = F.ceil(F.col("met") / SLICE).cast("int")
     own = F.pmod(F.xxhash64("node"), slices).cast("int")
     every = F.sequence(F.lit(0), slices - 1)
-    # In its own band a row is in the tree of every slice and probes one; in the two bands below it only probes one.
-    at = F.concat(
-        F.transform(every, lambda s: F.struct(band.alias("band"), s.alias("slice"), F.when(s == own, F.lit(0)).otherwise(F.lit(1)).alias("role"))),
-        F.array(*(F.struct((band - i).alias("band"), own.alias("slice"), F.lit(2).alias("role")) for i in (1, 2))),
-    )
+    # A row is in the tree of every slice of its own band and probes one; in the band below it only probes one.
+    here = F.transform(every, lambda s: F.struct(band.alias("band"), s.alias("slice"), F.when(s == own, F.lit(0)).otherwise(F.lit(1)).alias("role")))
+    there = F.array(F.struct(below.alias("band"), own.alias("slice"), F.lit(2).alias("role")))
+    at = F.when(below < band, F.concat(here, there)).otherwise(here)
     placed = rest.select("h", "node", "n", "comp", F.inline(at)).join(nodes.select("node", "vec"), "node")
     keys = ["h", "band", "slice"]
     crossed = placed.repartition(partitions(spark), *keys).sortWithinPartitions(*keys).mapInArrow(_trees(percent), "u long, v long").distinct()
