@@ -1,6 +1,6 @@
 """Operator 7. Exact Jaccard self-join on word n-grams, with a count-vector R-tree.
 
-A document's n-grams are hashed into `GROUPS` groups; the counts are a point. For two documents the sum of the
+A document's n-grams are hashed into groups, more for larger documents; the counts are a point. For two documents the sum of the
 coordinate minima bounds the overlap from above, and so it does for a point and the upper corner of a box of points:
 a tree of such boxes is searched for partners, and what survives is verified on the texts.
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from clipyard.llm.common import gram_hashes, mix, only_near, partitions, row_key, scratch, table, word_hashes
 from clipyard.llm.graph import components
 
-GROUPS, WIDTH, BLOCK = 128, 1 << 20, 1 << 12
+WIDTH, BLOCK = 1 << 20, 1 << 12
 SLICE, FAN, BAND = 4096, 16, 2.0
 
 
@@ -33,17 +33,33 @@ def shingles(text: str | None, n: int) -> np.ndarray:
     return np.unique(gram_hashes(words, n))
 
 
+def groups(n: int) -> int:
+    """Number of groups for a set of n: a power of two, so that two to four n-grams fall in one."""
+    return 1 << min(14, max(5, int(n).bit_length() - 2))
+
+
 def packed_counts(s: np.ndarray) -> bytes:
-    """Counts of the n-grams in their groups, a byte each; 255 throughout where one has more than 254."""
-    n = np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=GROUPS)
-    return (n if n.max(initial=0) < 255 else np.full(GROUPS, 255)).astype(np.uint8).tobytes()
+    """Counts of the n-grams in their groups (the leading bits of the hash), a byte each; 255 throughout where one has more than 254, a bound that excludes nothing."""
+    d = groups(len(s))
+    n = np.bincount((s >> np.uint64(65 - d.bit_length())).astype(np.int64), minlength=d)
+    return (n if n.max(initial=0) < 255 else np.full(d, 255)).astype(np.uint8).tobytes()
+
+
+def folded(packed: bytes, d: int) -> np.ndarray:
+    """A count vector in d groups, of as many or more: neighbours are added up."""
+    v = np.frombuffer(packed, np.uint8)
+    if len(v) == d:
+        return v
+    if v[0] == 255:
+        return v[:d]
+    v = v.reshape(d, -1).sum(axis=1)
+    return (v if v.max() < 255 else np.full(d, 255)).astype(np.uint8)
 
 
-def points_of(packed: list[bytes]) -> np.ndarray:
-    """Count vectors; those too large for bytes become bounds that exclude nothing."""
-    out = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, GROUPS).astype(np.int32)
-    out[out[:, 0] == 255] = 1 << 22
-    return out
+def bound(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Upper bound of the overlap, row by row: the sum of the minima."""
+    low = np.minimum(x, y)
+    return np.where(low[:, 0] == 255, 1 << 40, low.sum(axis=1, dtype=np.int64))
 
 
 def least_overlap(total: np.ndarray | int, percent: int):
@@ -61,17 +77,18 @@ class CountTree:
         self.percent, self.fan = percent, fan
         order = np.argsort(sizes, kind="stable")
         slab = fan * max(1, int(np.sqrt(len(sizes) / fan)))
-        axis = int(np.argmax(points.astype(np.float64).var(axis=0))) if len(sizes) else 0
+        axis = int(np.argmax(points.astype(np.float32).var(axis=0))) if len(sizes) > fan else 0
         order = np.concatenate([s[np.argsort(points[s, axis], kind="stable")] for s in (order[i : i + slab] for i in range(0, len(order), slab))]) if len(order) else order
         self.order = order
-        self.levels = [(points[order].astype(np.int32), sizes[order], sizes[order])]
+        self.levels = [(points[order], sizes[order], sizes[order])]
         while len(self.levels[-1][0]) > fan:
             upper, least, most = self.levels[-1]
             at = np.arange(0, len(upper), fan)
             self.levels.append((np.maximum.reduceat(upper, at), np.minimum.reduceat(least, at), np.maximum.reduceat(most, at)))
 
-    def search(self, points: np.ndarray, sizes: np.ndarray, room: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, points: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query, point) index pairs whose sizes and bound allow the similarity."""
+        room = max(64, (1 << 24) // max(1, points.shape[1]))
         found_q, found_p = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         stack = [(len(self.levels) - 1, np.repeat(np.arange(len(sizes)), len(self.levels[-1][0])), np.tile(np.arange(len(self.levels[-1][0])), len(sizes)))]
         while stack:
@@ -82,8 +99,7 @@ class CountTree:
             upper, least, most = self.levels[level]
             keep = (100 * most[p] >= self.percent * sizes[q]) & (100 * sizes[q] >= self.percent * least[p])
             q, p = q[keep], p[keep]
-            bound = np.minimum(points[q], upper[p]).sum(axis=1)
-            keep = bound >= least_overlap(sizes[q] + least[p], self.percent)
+            keep = bound(points[q], upper[p]) >= least_overlap(sizes[q] + least[p], self.percent)
             q, p = q[keep], p[keep]
             if level == 0:
                 found_q.append(q)
@@ -161,9 +177,13 @@ def _bounded(percent: int):
         for b in batches:
             if not b.num_rows:
                 continue
-            x, y = (points_of(b.column(c).to_pylist()) for c in ("vec_u", "vec_v"))
             n, m = (b.column(c).to_numpy() for c in ("n_u", "n_v"))
-            keep = (np.minimum(x, y).sum(axis=1) >= least_overlap(n + m, percent)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+            keep = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+            least = least_overlap(n + m, percent)
+            for i in np.flatnonzero(keep):
+                x, y = b.column("vec_u")[i].as_py(), b.column("vec_v")[i].as_py()
+                d = min(len(x), len(y))
+                keep[i] = bound(folded(x, d)[None], folded(y, d)[None])[0] >= least[i]
             yield b.select(["u", "v"]).filter(pa.array(keep))
 
     return run
@@ -172,8 +192,11 @@ def _bounded(percent: int):
 def _trees(percent: int):
     def one(rows: list[tuple]) -> list[tuple[int, int]]:
         node, comp, n, role = (np.array([r[i] for r in rows]) for i in range(4))
-        points = points_of([r[4] for r in rows])
         index, probe = np.flatnonzero(role <= 1), np.flatnonzero(role != 1)  # 0: both, 1: in the tree only, 2: probes only
+        if not len(index) or not len(probe) or len(set(comp.tolist())) == 1:
+            return []
+        d = min(len(r[4]) for r in rows)
+        points = np.array([folded(r[4], d) for r in rows])
         tree = CountTree(points[index], n[index], percent)
         q, p = tree.search(points[probe], n[probe])
         q, p = probe[q], index[p]
