@@ -7,8 +7,11 @@ a tree of such boxes is searched for partners, and what survives is verified on
 What meets in a tree is decided by prefixes: with any fixed order of n-grams, two sets of Jaccard similarity >= t share
 one of the first n - ceil(t n) + 1 of either. n-grams go by how often a count sketch of fixed size saw them, then by
 hash, so frequent ones come last. Equal sets are one node. First each node is verified against one leader of each
-prefix n-gram; the links give components, and then only pairs of different components that share a prefix n-gram go
-through the trees. No pair is left out but those that the bound excludes or whose components are one already.
+prefix n-gram; the links give components. Nodes whose prefix n-grams still join several of them are then verified
+against two leaders of each of `BANDS` keys, taken from their least n-grams beyond fixed points, which similar sets
+mostly share; that joins most of what belongs together. In the end only pairs of different components that share a
+prefix n-gram go through the trees. No pair is left out but those that the bound excludes or whose components are one
+already.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from clipyard.llm.graph import components
 
 WIDTH, BLOCK = 1 << 20, 1 << 12
 SLICE, FAN, BAND = 4096, 16, 2.0
+BANDS, PICKS = 12, 4
+_POINTS = np.arange(BANDS * PICKS, dtype=np.uint64) * np.uint64((1 << 64) // (BANDS * PICKS))
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
@@ -62,6 +67,17 @@ def bound(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.where(low[:, 0] == 255, 1 << 40, low.sum(axis=1, dtype=np.int64))
 
 
+def band_keys(s: np.ndarray) -> np.ndarray:
+    """Keys of a set (sorted hashes): each of the n-grams next beyond PICKS of the fixed points. Two sets share one with about their similarity to the power PICKS."""
+    if not len(s):
+        return np.zeros(0, np.int64)
+    picks = s[np.searchsorted(s, _POINTS) % len(s)].reshape(BANDS, PICKS)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for i in range(PICKS):
+        key = mix(key + picks[:, i])
+    return np.unique(key.view(np.int64))
+
+
 def least_overlap(total: np.ndarray | int, percent: int):
     """Least intersection of two sets of `total` elements together with 100 I >= percent U."""
     return -(-percent * total // (100 + percent))
@@ -119,21 +135,22 @@ class CountTree:
 def _emit_nodes(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(WIDTH, np.int64)
-        names = ["block", "doc_id", "k_id", "k_text", "node", "n", "vec"]
+        names = ["block", "doc_id", "k_id", "k_text", "node", "n", "vec", "keys"]
         for b in batches:
-            nodes, sizes, vecs = [], [], []
+            nodes, sizes, vecs, keys = [], [], [], []
             for value in b.column("text"):
                 s = shingles(value.as_py(), n)
                 nodes.append(int(mix(np.array([mix(s).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64)).view(np.int64)[0]))
                 sizes.append(len(s))
                 vecs.append(packed_counts(s))
+                keys.append(band_keys(s))
                 np.add.at(sketch, (s & np.uint64(WIDTH - 1)).astype(np.int64), 1)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(nodes), pa.int32()), *(b.column(c) for c in names[1:4]), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(vecs, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(nodes), pa.int32()), *(b.column(c) for c in names[1:4]), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(vecs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=names)
         blocks = sketch.reshape(-1, BLOCK)
         use = np.flatnonzero(blocks.any(axis=1))
         if len(use):
             none = pa.nulls(len(use), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(use, pa.int32()), none, none, none, none, none, pa.array([blocks[i].astype("<i4").tobytes() for i in use], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(use, pa.int32()), none, none, none, none, none, pa.array([blocks[i].astype("<i4").tobytes() for i in use], pa.binary()), pa.nulls(len(use), pa.list_(pa.int64()))], names=names)
 
     return run
 
@@ -257,7 +274,7 @@ def similar(docs: DataFrame, n: int, percent: int) -> DataFrame:
     and link with nothing: root is null.
     """
     spark = docs.sparkSession
-    found = scratch(docs.select("doc_id", "text", *row_key()).mapInArrow(_emit_nodes(n), "block int, doc_id long, k_id long, k_text long, node long, n long, vec binary"), "ngram-nodes")
+    found = scratch(docs.select("doc_id", "text", *row_key()).mapInArrow(_emit_nodes(n), "block int, doc_id long, k_id long, k_text long, node long, n long, vec binary, keys array<long>"), "ngram-nodes")
     parts = found.where(F.col("block").isNotNull()).select("block", "vec").repartition(min(16, partitions(spark)), "block").mapInArrow(_sum_blocks, "block int, vec binary").collect()
     seen = np.zeros(WIDTH, np.int64)  # WIDTH counts whatever the corpus
     for r in parts:
@@ -269,20 +286,31 @@ def similar(docs: DataFrame, n: int, percent: int) -> DataFrame:
     met = rows.repartition(partitions(spark), "h").groupBy("h", "node", "n").agg(F.lit(1).alias("one")).select("h", "node", "n", F.count("*").over(w).alias("met"), F.min("node").over(w).alias("leader"))
     met = scratch(met.where("met > 1"), "ngram-met")
 
-    nodes = found.where(F.col("block").isNull() & (F.col("n") > 0)).groupBy("node").agg(F.min(F.struct("k_id", "k_text")).alias("rep"), F.first("vec").alias("vec"), F.first("n").alias("n"))
+    nodes = found.where(F.col("block").isNull() & (F.col("n") > 0)).groupBy("node").agg(F.min(F.struct("k_id", "k_text")).alias("rep"), F.first("vec").alias("vec"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     nodes = scratch(nodes, "ngram-points")
     point = lambda c: nodes.select(F.col("node").alias(c), F.col("vec").alias(f"vec_{c}"), F.col("n").alias(f"n_{c}"))
     reps = nodes.select("node", "rep.*")
 
-    stars = met.where("node <> leader").select(F.least("node", "leader").alias("u"), F.greatest("node", "leader").alias("v")).distinct()
-    stars = scratch(stars.join(point("u"), "u").join(point("v"), "v").mapInArrow(_bounded(percent), "u long, v long"), "ngram-stars")
+    def bounded(pairs: DataFrame, name: str) -> DataFrame:
+        return scratch(pairs.join(point("u"), "u").join(point("v"), "v").mapInArrow(_bounded(percent), "u long, v long"), name)
+
+    def across(roots: DataFrame) -> DataFrame:
+        """Rows of met whose n-gram joins several components. Groups of two were settled by their star."""
+        rest = met.where("met > 2").join(roots, "node", "left").select("h", "node", "n", "met", F.coalesce("root", "node").alias("comp"))
+        return rest.withColumns({"lo": F.min("comp").over(w), "hi": F.max("comp").over(w)}).where("lo <> hi").drop("lo", "hi")
+
+    pair = lambda x, y: (F.least(x, y).alias("u"), F.greatest(x, y).alias("v"))
+    stars = bounded(met.where("node <> leader").select(*pair("node", "leader")).distinct(), "ngram-stars")
     links = scratch(_verify(docs, reps, stars, n, percent), "ngram-links")
-    first = components(links)
+    apart = scratch(across(components(links)).select("node", "comp").distinct(), "ngram-apart")
+
+    keyed = apart.join(nodes.select("node", "keys"), "node").select("node", "comp", F.explode("keys").alias("key"))
+    ends = keyed.groupBy("key").agg(F.min(F.struct("node", "comp")).alias("a"), F.max(F.struct("node", "comp")).alias("b")).where("a.node <> b.node")
+    led = keyed.join(ends, "key").select("node", "comp", F.explode(F.array("a", "b")).alias("x")).where("comp <> x.comp")
+    more_stars = bounded(led.select(*pair("node", "x.node")).distinct().join(stars, ["u", "v"], "left_anti"), "ngram-more-stars")
+    links = scratch(links.union(_verify(docs, reps, more_stars, n, percent)), "ngram-links")
+    rest = across(components(links))
 
-    # Pairs across components. Groups of two were settled by their star; so are those of one component.
-    comp = lambda c: F.coalesce(F.col("root"), F.col(c)).alias("comp")
-    rest = met.where("met > 2").join(first, "node", "left").select("h", "node", "n", "met", comp("node"))
-    rest = rest.withColumns({"lo": F.min("comp").over(w), "hi": F.max("comp").over(w)}).where("lo <> hi").drop("lo", "hi")
     # Bands of sizes, twice as wide as their start: a row's partners of no greater size are in its own band, or, where percent of its size falls short of that, in the one below.
     in_band = lambda x: F.floor(F.log(x.cast("double")) / F.log(F.lit(BAND))).cast("int")
     band, below = in_band(F.col("n")), in_band(F.greatest(F.lit(1), F.floor(F.col("n") * percent / 100) - 1))
@@ -296,7 +324,7 @@ def similar(docs: DataFrame, n: int, percent: int) -> DataFrame:
     placed = rest.select("h", "node", "n", "comp", F.inline(at)).join(nodes.select("node", "vec"), "node")
     keys = ["h", "band", "slice"]
     crossed = placed.repartition(partitions(spark), *keys).sortWithinPartitions(*keys).mapInArrow(_trees(percent), "u long, v long").distinct()
-    crossed = scratch(crossed.join(stars, ["u", "v"], "left_anti"), "ngram-crossed")
+    crossed = scratch(crossed.join(stars.union(more_stars), ["u", "v"], "left_anti"), "ngram-crossed")
     more = _verify(docs, reps, crossed, n, percent)
     final = components(links.union(more))
     return found.where(F.col("block").isNull()).join(final, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), "node", F.when(F.col("n") > 0, F.coalesce("root", "node")).alias("root"))
