@@ -28,7 +28,7 @@ from clipyard.llm.graph import components
 
 WIDTH, BLOCK = 1 << 20, 1 << 12
 SLICE, FAN, BAND = 4096, 16, 2.0
-BANDS, PICKS = 12, 4
+BANDS, PICKS, LOWS = 12, 4, 8
 _POINTS = np.arange(BANDS * PICKS, dtype=np.uint64) * np.uint64((1 << 64) // (BANDS * PICKS))
 
 
@@ -207,7 +207,7 @@ def _bounded(percent: int):
 
 
 def _trees(percent: int):
-    def one(rows: list[tuple]) -> list[tuple[int, int]]:
+    def one(h: int, rows: list[tuple]) -> list[tuple[int, int]]:
         node, comp, n, role = (np.array([r[i] for r in rows]) for i in range(4))
         index, probe = np.flatnonzero(role <= 1), np.flatnonzero(role != 1)  # 0: both, 1: in the tree only, 2: probes only
         if not len(index) or not len(probe) or len(set(comp.tolist())) == 1:
@@ -217,7 +217,11 @@ def _trees(percent: int):
         tree = CountTree(points[index], n[index], percent)
         q, p = tree.search(points[probe], n[probe])
         q, p = probe[q], index[p]
-        keep = comp[q] != comp[p]
+        keep = (comp[q] != comp[p]) & ((role[q] == 2) | (node[q] < node[p]))
+        q, p = q[keep], p[keep]
+        # A pair is put out at its least common n-gram: not here where both are seen to share a lesser one.
+        lows = [frozenset(x for x in r[5] if x < h) for r in rows]
+        keep = np.fromiter((lows[i].isdisjoint(lows[j]) for i, j in zip(q.tolist(), p.tolist(), strict=True)), bool, len(q))
         u, v = node[q[keep]], node[p[keep]]
         return list(set(zip(np.minimum(u, v).tolist(), np.maximum(u, v).tolist(), strict=True)))
 
@@ -228,15 +232,15 @@ def _trees(percent: int):
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in pairs], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
         for b in batches:
-            columns = [b.column(c).to_pylist() for c in ("h", "band", "slice", "node", "comp", "n", "role", "vec")]
+            columns = [b.column(c).to_pylist() for c in ("h", "band", "slice", "node", "comp", "n", "role", "vec", "lows")]
             for h, band, part, *row in zip(*columns, strict=True):
                 if (h, band, part) != key and rows:
-                    yield out(one(rows))
+                    yield out(one(key[0], rows))
                     rows = []
                 key = (h, band, part)
                 rows.append(tuple(row))
         if rows:
-            yield out(one(rows))
+            yield out(one(key[0], rows))
 
     return run
 
@@ -321,7 +325,8 @@ def similar(docs: DataFrame, n: int, percent: int) -> DataFrame:
     here = F.transform(every, lambda s: F.struct(band.alias("band"), s.alias("slice"), F.when(s == own, F.lit(0)).otherwise(F.lit(1)).alias("role")))
     there = F.array(F.struct(below.alias("band"), own.alias("slice"), F.lit(2).alias("role")))
     at = F.when(below < band, F.concat(here, there)).otherwise(here)
-    placed = rest.select("h", "node", "n", "comp", F.inline(at)).join(nodes.select("node", "vec"), "node")
+    lows = rest.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("h")), 1, LOWS).alias("lows"))
+    placed = rest.select("h", "node", "n", "comp", F.inline(at)).join(nodes.select("node", "vec").join(lows, "node"), "node")
     keys = ["h", "band", "slice"]
     crossed = placed.repartition(partitions(spark), *keys).sortWithinPartitions(*keys).mapInArrow(_trees(percent), "u long, v long").distinct()
     crossed = scratch(crossed.join(stars.union(more_stars), ["u", "v"], "left_anti"), "ngram-crossed")

@@ -173,3 +173,23 @@ def test_pipeline_keeps_columns(spark):
     for name, stage in corpus_pipeline.STAGES[:4]:
         kept = stage(spark, d, SF)
         assert kept.columns == d.columns and kept.count() > 0.8 * d.count(), name
+
+
+def test_ngram_join_of_a_large_group_of_near_copies(spark):
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(120)]
+    every = {}
+    for i in range(400):
+        w = list(base)
+        for k in rng.sample(range(120), rng.randrange(1, 4)):
+            w[k] = f"x{rng.randrange(60)}"
+        every[i] = w[: rng.randrange(112, 121)]
+    sets = {i: {tuple(w[j : j + 4]) for j in range(len(w) - 3)} for i, w in every.items()}
+    least = {i: i for i in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    while any(least[a] != least[b] for a, b in links):
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in every.items()], "doc_id long, text string")
+    assert len(set(least.values())) > 5 and len(links) > 100
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.component_ids(d, 4, 85).collect()} == least
