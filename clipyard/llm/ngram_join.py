@@ -9,7 +9,8 @@ one of the first n - ceil(t n) + 1 of either. n-grams go by how often a count sk
 hash, so frequent ones come last. Equal sets are one node. First each node is verified against one leader of each
 prefix n-gram; the links give components. Nodes whose prefix n-grams still join several of them are then verified
 against two leaders of each of `BANDS` keys, taken from their least n-grams beyond fixed points, which similar sets
-mostly share; that joins most of what belongs together. In the end only pairs of different components that share a
+mostly share; that joins most of what belongs together. Nodes meet at an n-gram only within a run of sizes, ordered, of which
+each is near enough to the one before. In the end only pairs of different components that share a
 prefix n-gram go through the trees. No pair is left out but those that the bound excludes or whose components are one
 already.
 """
@@ -40,23 +41,24 @@ def shingles(text: str | None, n: int) -> np.ndarray:
 
 def groups(n: int) -> int:
     """Number of groups for a set of n: a power of two, so that two to four n-grams fall in one."""
-    return 1 << min(14, max(5, int(n).bit_length() - 2))
+    return 1 << min(15, max(5, int(n).bit_length() - 2))
 
 
 def packed_counts(s: np.ndarray) -> bytes:
-    """Counts of the n-grams in their groups (the leading bits of the hash), a byte each; 255 throughout where one has more than 254, a bound that excludes nothing."""
+    """Counts of the n-grams in their groups (the leading bits of the hash), four bits each; 15 stands for more than 14, and for all where one has more than 254."""
     d = groups(len(s))
     n = np.bincount((s >> np.uint64(65 - d.bit_length())).astype(np.int64), minlength=d)
-    return (n if n.max(initial=0) < 255 else np.full(d, 255)).astype(np.uint8).tobytes()
+    n = (np.minimum(n, 15) if n.max(initial=0) < 255 else np.full(d, 15)).astype(np.uint8)
+    return (n[::2] << 4 | n[1::2]).tobytes()
 
 
 def folded(packed: bytes, d: int) -> np.ndarray:
-    """A count vector in d groups, of as many or more: neighbours are added up."""
-    v = np.frombuffer(packed, np.uint8)
+    """A count vector in d groups, of as many or more: neighbours are added up. No count is less than the true one, but for 255: a vector that begins with it excludes nothing."""
+    pairs = np.frombuffer(packed, np.uint8)
+    v = np.stack([pairs >> 4, pairs & 15], axis=1).ravel()
+    v = np.where(v == 15, 255, v).astype(np.uint8)
     if len(v) == d:
         return v
-    if v[0] == 255:
-        return v[:d]
     v = v.reshape(d, -1).sum(axis=1)
     return (v if v.max() < 255 else np.full(d, 255)).astype(np.uint8)
 
@@ -199,7 +201,7 @@ def _bounded(percent: int):
             least = least_overlap(n + m, percent)
             for i in np.flatnonzero(keep):
                 x, y = b.column("vec_u")[i].as_py(), b.column("vec_v")[i].as_py()
-                d = min(len(x), len(y))
+                d = 2 * min(len(x), len(y))
                 keep[i] = bound(folded(x, d)[None], folded(y, d)[None])[0] >= least[i]
             yield b.select(["u", "v"]).filter(pa.array(keep))
 
@@ -212,7 +214,7 @@ def _trees(percent: int):
         index, probe = np.flatnonzero(role <= 1), np.flatnonzero(role != 1)  # 0: both, 1: in the tree only, 2: probes only
         if not len(index) or not len(probe) or len(set(comp.tolist())) == 1:
             return []
-        d = min(len(r[4]) for r in rows)
+        d = 2 * min(len(r[4]) for r in rows)
         points = np.array([folded(r[4], d) for r in rows])
         tree = CountTree(points[index], n[index], percent)
         q, p = tree.search(points[probe], n[probe])
@@ -287,8 +289,14 @@ def similar(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
     rows = docs.select("text").mapInArrow(_prefixes(n, percent, sketch), "h long, node long, n long")
     w = Window.partitionBy("h")
-    met = rows.repartition(partitions(spark), "h").groupBy("h", "node", "n").agg(F.lit(1).alias("one")).select("h", "node", "n", F.count("*").over(w).alias("met"), F.min("node").over(w).alias("leader"))
-    met = scratch(met.where("met > 1"), "ngram-met")
+    met = rows.repartition(partitions(spark), "h").groupBy("h", "node", "n").agg(F.lit(1).alias("one")).select("h", "node", "n", F.count("*").over(w).alias("met"))
+    # Rows of an n-gram by size: where the next is too large for the one before, so are all after it for all before it, and a new group begins.
+    by_size = w.orderBy("n", "node")
+    step = met.where("met > 1").withColumn("step", (100 * F.lag("n").over(by_size) < percent * F.col("n")).cast("int"))
+    grouped = step.withColumn("chain", F.coalesce(F.sum("step").over(by_size), F.lit(0)))
+    own = Window.partitionBy("h", "chain")
+    met = grouped.select("h", "chain", "node", "n", F.count("*").over(own).alias("met"), F.min(F.struct("node", "n")).over(own).alias("leader")).where("met > 1")
+    met = scratch(met.select(F.xxhash64("h", "chain").alias("h"), "node", "n", "met", "leader"), "ngram-met")
 
     nodes = found.where(F.col("block").isNull() & (F.col("n") > 0)).groupBy("node").agg(F.min(F.struct("k_id", "k_text")).alias("rep"), F.first("vec").alias("vec"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     nodes = scratch(nodes, "ngram-points")
@@ -304,7 +312,7 @@ def similar(docs: DataFrame, n: int, percent: int) -> DataFrame:
         return rest.withColumns({"lo": F.min("comp").over(w), "hi": F.max("comp").over(w)}).where("lo <> hi").drop("lo", "hi")
 
     pair = lambda x, y: (F.least(x, y).alias("u"), F.greatest(x, y).alias("v"))
-    stars = bounded(met.where("node <> leader").select(*pair("node", "leader")).distinct(), "ngram-stars")
+    stars = bounded(met.where("node <> leader.node").where(100 * F.least("n", "leader.n") >= percent * F.greatest("n", "leader.n")).select(*pair("node", "leader.node")).distinct(), "ngram-stars")
     links = scratch(_verify(docs, reps, stars, n, percent), "ngram-links")
     apart = scratch(across(components(links)).select("node", "comp").distinct(), "ngram-apart")
 
