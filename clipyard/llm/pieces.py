@@ -27,7 +27,7 @@ from clipyard.llm.common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-CACHE, SLICE_CHARS, PAIRS, LONG = 800_000, 1_000_000, 1 << 20, 64
+CACHE, SLICE_CHARS, BATCH_ROWS, PAIRS, LONG = 250_000, 250_000, 1000, 1 << 20, 64
 
 
 @dataclass(frozen=True)
@@ -317,13 +317,13 @@ def encode(docs: DataFrame, model_path: str = MODEL, check: bool = True) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(held.value)
         for b in batches:
-            for lo in range(0, b.num_rows, 2000):
-                texts = [t or "" for t in b.column("text")[lo : lo + 2000].to_pylist()]
+            for lo in range(0, b.num_rows, BATCH_ROWS):
+                texts = [t or "" for t in b.column("text")[lo : lo + BATCH_ROWS].to_pylist()]
                 ids = encoder.encode(texts)
                 same = [encoder.decode(i) == t.replace(SPACE, " ") if check else None for i, t in zip(ids, texts, strict=True)]
                 flat = np.concatenate([np.zeros(0, np.int32), *(i.astype(np.int32) for i in ids)])
                 offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id")[lo : lo + 2000], pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.array(same, pa.bool_())], names=["doc_id", "ids", "round_trip"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id")[lo : lo + BATCH_ROWS], pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.array(same, pa.bool_())], names=["doc_id", "ids", "round_trip"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, round_trip boolean")
 
@@ -347,13 +347,13 @@ def digest(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(held.value)
         for b in batches:
-            for lo in range(0, b.num_rows, 2000):
-                texts = [t or "" for t in b.column("text")[lo : lo + 2000].to_pylist()]
+            for lo in range(0, b.num_rows, BATCH_ROWS):
+                texts = [t or "" for t in b.column("text")[lo : lo + BATCH_ROWS].to_pylist()]
                 rows = []
                 for i, t in zip(encoder.encode(texts), texts, strict=True):
                     again = encoder.decode(i)
                     rows.append((len(i), hashlib.sha256(i.tobytes()).hexdigest(), hashlib.sha256(again.encode()).hexdigest(), again == t.replace(SPACE, " ")))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id")[lo : lo + 2000], *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string(), pa.bool_())))], names=["doc_id", "n_tokens", "ids_sha256", "text_sha256", "round_trip"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id")[lo : lo + BATCH_ROWS], *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string(), pa.bool_())))], names=["doc_id", "n_tokens", "ids_sha256", "text_sha256", "round_trip"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, text_sha256 string, round_trip boolean")
 
