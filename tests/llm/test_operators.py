@@ -130,6 +130,46 @@ def test_chains_find_an_edited_passage(spark):
     assert got[2]["first_ids"] == [1] and got[2]["n_repeated"] >= 80 and got[1]["n_copies"] == 1 and got[3]["n_passages"] == 0
 
 
+def _chain_scores(x, y, k=6, cost=0.1, gap=40):
+    """Least index of each chain's predecessors, by looking at all pairs."""
+    score, back = [k] * len(x), [-1] * len(x)
+    for i in range(len(x)):
+        near = [(score[j] + cost * (x[j] + y[j]), j) for j in range(i) if 0 < x[i] - x[j] <= gap + k and 0 < y[i] - y[j] <= gap + k]
+        if near and (gain := max(near)[0] - cost * (x[i] + y[i] - 2 * k)) > 0:
+            score[i], back[i] = k + min(gain, score[max(near)[1]]), max(near)[1]
+    return score, back
+
+
+def test_chain_against_all_pairs():
+    rng = random.Random(9)
+    for _ in range(200):
+        x, y = (list(t) for t in zip(*sorted({(rng.randrange(150), rng.randrange(150)) for _ in range(rng.randrange(1, 90))}), strict=True))
+        score, back = _chain_scores(x, y)
+        used, want = set(), []
+        for i in sorted(range(len(x)), key=lambda i: (-score[i], i)):
+            own = []
+            while i >= 0 and i not in used:
+                used.add(i)
+                own.append(i)
+                i = back[i]
+            if own:
+                want.append(own[::-1])
+        assert chains.chain(x, y) == want
+
+
+def test_chains_find_what_follows_a_long_passage(spark):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    some = lambda n: [word() for _ in range(n)]
+    a, b, near = some(60), some(60), some(140)
+    d = spark.createDataFrame(
+        [(1, " ".join(a + some(70) + b)), (2, " ".join(some(20) + a + some(70) + b)), (3, " ".join(near)), (4, " ".join(near[:70] + some(50) + near[70:]))], "doc_id long, text string"
+    )
+    got = {r["doc_id"]: r for r in chains.repeated(d).collect()}
+    assert (got[2]["n_passages"], got[2]["spans"]) == (2, "20:80,150:210")
+    assert (got[4]["n_passages"], got[4]["spans"]) == (2, "0:70,120:190")
+
+
 def test_fingerprints(spark, docs):
     got = {r["doc_id"]: r for r in fingerprints.compare_edited(docs, buckets=5).collect()}
     every = texts(docs)
