@@ -1,12 +1,11 @@
-"""Operator 2. Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment over words.
+"""Operator 2. Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment over words.
 
-The n-grams of the test items are counted in the corpus; of those an item shares with the corpus, the rarest half (at
-least `LEAST_SEEDS`) become its seeds. Rarity is relative to the item, so an item leaked a thousand times still has
-seeds. Where seeds of an item stand close together in a text, the passage around them is aligned with the item, edits
-and gaps allowed; the score over the item's length decides.
+Every n-gram of a test item is a seed. None is left out for being common in the corpus: how often an n-gram stands
+there depends on how often, and how whole, its item leaked. Where seeds of an item stand close together in a text, the
+passage around them is aligned with the item, edits and gaps allowed; the score over the item's length decides.
 
 The items are held in memory in blocks of at most `BLOCK_CHARS` characters; each block is searched in all texts, so a
-large benchmark takes more passes and not more memory. Nothing of the corpus is shuffled but counts.
+large benchmark takes more passes and not more memory. Nothing of the corpus is shuffled.
 """
 
 from __future__ import annotations
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 
 from clipyard.llm.common import gram_hashes, prefix_hash, span_hash, table
 
-GRAM, LEAST_SEEDS, MATCH, MISMATCH, GAP, THRESHOLD = 4, 8, 1, -1, -1, 0.5
+GRAM, MATCH, MISMATCH, GAP, THRESHOLD = 4, 1, -1, -1, 0.5
 BLOCK_CHARS = 16 << 20
 _FOLD = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i > 127 else 32 for i in range(256))
 
@@ -46,9 +45,6 @@ class Items:
     item: np.ndarray
     place: np.ndarray
 
-    def only(self, keep: np.ndarray) -> Items:
-        return Items(self.ids, self.words, self.seeds[keep], self.item[keep], self.place[keep])
-
 
 def items_of(rows: list[tuple[int, str]], gram: int = GRAM) -> Items:
     """Rows of one block; items without words give no seeds, items of fewer than `gram` words one."""
@@ -88,33 +84,6 @@ def align(item: np.ndarray, passages: np.ndarray, match: int = MATCH, mismatch:
     return best, where
 
 
-def _count(items, gram: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unique(items.value.seeds)
-        total = np.zeros(len(known), np.int64)
-        for b in batches:
-            for value in b.column("text"):
-                own = np.unique(gram_hashes(words(value.as_py())[0], gram))
-                total[np.searchsorted(known, own[_hits(own, known)])] += 1
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(known[at].view(np.int64)), pa.array(total[at])], names=["seed", "n"])
-
-    return run
-
-
-def rare(items: Items, seen: dict[int, int], least: int = LEAST_SEEDS) -> Items:
-    """Of each item's n-grams that the corpus has, the rarest half, ties by place, and `least` at least."""
-    n = np.array([seen.get(int(s), 0) for s in items.seeds.view(np.int64)])
-    order = np.lexsort((items.place, n, n == 0, items.item))
-    size = np.bincount(items.item, minlength=len(items.ids))
-    shared = np.bincount(items.item[n > 0], minlength=len(items.ids))
-    rank = np.arange(len(n)) - np.repeat(np.cumsum(size) - size, size)
-    own = items.item[order]
-    keep = np.zeros(len(n), bool)
-    keep[order] = (n[order] > 0) & (rank < np.maximum(least, (shared[own] + 1) // 2))
-    return items.only(keep)
-
-
 def _passages(own: np.ndarray, items: Items, gram: int) -> Iterator[tuple[int, int, int]]:
     """(item, first word, end) of the stretches around its seeds, each as long as the item with half of it to spare on both sides; close ones are one."""
     grams = gram_hashes(own, gram)
@@ -180,11 +149,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, g
     texts = docs.select("doc_id", F.xxhash64("text").alias("k_text"), "text")
     out = spark.createDataFrame([], "doc_id long, k_text long, item_id long, score double, end_word long")
     for rows in _blocks(benchmark, block_chars):
-        items = items_of(rows, gram)
-        held = spark.sparkContext.broadcast(items)  # block_chars bounds it
-        seen = texts.select("text").mapInArrow(_count(held, gram), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-        chosen = rare(items, {r["seed"]: r["n"] for r in seen.collect()})  # at most one count per seed of the block
-        out = out.union(texts.mapInArrow(_search(spark.sparkContext.broadcast(chosen), gram, threshold), "doc_id long, k_text long, item_id long, score double, end_word long"))
+        held = spark.sparkContext.broadcast(items_of(rows, gram))  # block_chars bounds it
+        out = out.union(texts.mapInArrow(_search(held, gram, threshold), "doc_id long, k_text long, item_id long, score double, end_word long"))
     return out
 
 

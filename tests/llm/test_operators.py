@@ -119,6 +119,15 @@ def test_decontamination_finds_every_exact_passage(spark, docs):
     assert got == {(i, b["item_id"]) for i, t in texts(docs).items() for b in bench.collect() if b["text"] in (t or "")}
 
 
+def test_decontamination_finds_edited_copies_beside_a_verbatim_one(spark):
+    item = [f"w{i}" for i in range(40)]
+    edited = lambda at: " ".join("zz" if i % 6 == at else w for i, w in enumerate(item))
+    d = spark.createDataFrame([(1, " ".join(item)), *((2 + at, f"before {edited(at)} after") for at in range(6)), (9, "something else")], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in decontaminate.leaks(d, bench).collect()}
+    assert set(got) == set(range(1, 8)) and got[1] == 1 and all(got[i] >= 26 / 40 for i in range(2, 8))
+
+
 def test_chains_find_an_edited_passage(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
