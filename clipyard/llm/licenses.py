@@ -1,9 +1,9 @@
 """Operator 4. License scan: ordered signature rules behind a keyword prefilter, in DataFrame functions alone.
 
-Text is lower-cased, words (digits, letters, anything beyond ASCII) are joined by single spaces. Where a text holds
-any of a few gate words, the neighbourhoods of its anchors (`licen`, `spdx`, ...) are cut out as segments; there each
-rule whose keyword the segment contains runs its regular expression. Of two detections one of which lies inside the
-other, the one of better priority (at equal priority the longer, then the earlier label) suppresses the other.
+Text is lower-cased, words (digits, letters, anything beyond ASCII) are joined by single spaces. Each rule has keywords
+of its name and of its form, one of each of which stands in whatever it matches; where a text holds them, the rule's
+regular expression runs over all of it. Of two detections one of which lies inside the other, the one of better
+priority (at equal priority the longer, then the earlier label) suppresses the other.
 """
 
 from __future__ import annotations
@@ -18,13 +18,13 @@ from clipyard.llm.common import table
 #: Phrase and label of the base.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: label, keyword that a text must hold, name as a regular expression over single-spaced words.
+#: label, keywords (split by |) one of which every match holds, name as a regular expression over single-spaced words.
 FAMILIES = (
     ("mit", "mit", r"mit(?: x11| expat)?"),
     ("mit-0", "mit", r"mit (?:0|no attribution)"),
     ("x11", "x11", r"x11"),
     ("isc", "isc", r"isc"),
-    ("0bsd", "0bsd", r"(?:0bsd|zero clause bsd|bsd zero clause)"),
+    ("0bsd", "bsd", r"(?:0bsd|zero clause bsd|bsd zero clause)"),
     ("bsd-2-clause", "bsd", r"(?:(?:simplified|freebsd|2 clause|two clause) bsd|bsd (?:2|two)(?: clause)?)"),
     ("bsd-3-clause", "bsd", r"(?:(?:new|revised|modified|3 clause|three clause) bsd|bsd (?:3|three)(?: clause)?)"),
     ("bsd-4-clause", "bsd", r"(?:(?:original|4 clause|four clause) bsd|bsd (?:4|four)(?: clause)?)"),
@@ -33,45 +33,45 @@ FAMILIES = (
     ("apache-1.1", "apache", r"apache(?: software)?(?: license)?(?: version| v)? ?1 1"),
     ("apache-2", "apache", r"apache(?: software)?(?: license)?(?: version| v)? ?2(?: 0)?"),
     ("apache", "apache", r"apache(?: software)?"),
-    ("mpl-1.1", "m", r"(?:mpl|mozilla public license)(?: version| v)? ?1 1"),
-    ("mpl-2", "m", r"(?:mpl|mozilla public license)(?: version| v)? ?2(?: 0)?"),
-    ("epl-1", "e", r"(?:epl|eclipse public license)(?: version| v)? ?1(?: 0)?"),
-    ("epl-2", "e", r"(?:epl|eclipse public license)(?: version| v)? ?2(?: 0)?"),
-    ("cddl", "c", r"(?:cddl|common development and distribution license)(?: version| v)?(?: ?1 [01])?"),
-    ("eupl", "e", r"(?:eupl|european union public licen[cs]e)(?: version| v)?(?: ?1 [0-2])?"),
+    ("mpl-1.1", "mpl|mozilla", r"(?:mpl|mozilla public license)(?: version| v)? ?1 1"),
+    ("mpl-2", "mpl|mozilla", r"(?:mpl|mozilla public license)(?: version| v)? ?2(?: 0)?"),
+    ("epl-1", "epl|eclipse", r"(?:epl|eclipse public license)(?: version| v)? ?1(?: 0)?"),
+    ("epl-2", "epl|eclipse", r"(?:epl|eclipse public license)(?: version| v)? ?2(?: 0)?"),
+    ("cddl", "cddl|common development", r"(?:cddl|common development and distribution license)(?: version| v)?(?: ?1 [01])?"),
+    ("eupl", "eupl|european union", r"(?:eupl|european union public licen[cs]e)(?: version| v)?(?: ?1 [0-2])?"),
     ("artistic-2", "artistic", r"artistic(?: license)?(?: version| v)? ?2(?: 0)?"),
     ("artistic", "artistic", r"artistic"),
     ("zlib", "zlib", r"zlib(?: libpng)?"),
     ("libpng", "libpng", r"libpng"),
-    ("boost", "b", r"(?:bsl|boost(?: software)?)(?: license)?(?: version| v)?(?: ?1 0)?"),
-    ("python", "p", r"(?:psf|python software foundation)(?: license)?(?: version| v)?(?: ?2)?"),
+    ("boost", "bsl|boost", r"(?:bsl|boost(?: software)?)(?: license)?(?: version| v)?(?: ?1 0)?"),
+    ("python", "psf|python", r"(?:psf|python software foundation)(?: license)?(?: version| v)?(?: ?2)?"),
     ("postgresql", "postgresql", r"postgresql"),
     ("ncsa", "ncsa", r"(?:university of illinois )?ncsa(?: open source)?"),
     ("openssl", "openssl", r"openssl"),
     ("wtfpl", "wtfpl", r"wtfpl(?: version| v)?(?: ?2)?"),
     ("unlicense", "unlicense", r"(?:the )?unlicense"),
-    ("ofl", "o", r"(?:ofl|(?:sil )?open font license)(?: version| v)?(?: ?1 [01])?"),
-    ("odbl", "o", r"(?:odbl|open (?:data commons open )?database license)(?: version| v)?(?: ?1 0)?"),
-    ("odc-by", "odc", r"(?:odc by|open data commons attribution license)"),
-    ("pddl", "p", r"(?:pddl|public domain dedication and license)"),
-    ("cc0", "c", r"(?:cc0|cc zero|creative commons zero)(?: ?1 0)?(?: universal)?"),
-    ("bsl-1.1", "b", r"(?:busl|business source license)(?: ?1 1)?"),
-    ("sspl", "s", r"(?:sspl|server side public license)(?: version| v)?(?: ?1)?"),
+    ("ofl", "ofl|open font", r"(?:ofl|(?:sil )?open font license)(?: version| v)?(?: ?1 [01])?"),
+    ("odbl", "odbl|database", r"(?:odbl|open (?:data commons open )?database license)(?: version| v)?(?: ?1 0)?"),
+    ("odc-by", "odc by|open data commons", r"(?:odc by|open data commons attribution license)"),
+    ("pddl", "pddl|public domain", r"(?:pddl|public domain dedication and license)"),
+    ("cc0", "cc0|cc zero|commons zero", r"(?:cc0|cc zero|creative commons zero)(?: ?1 0)?(?: universal)?"),
+    ("bsl-1.1", "busl|business source", r"(?:busl|business source license)(?: ?1 1)?"),
+    ("sspl", "sspl|server side", r"(?:sspl|server side public license)(?: version| v)?(?: ?1)?"),
     ("elastic", "elastic", r"elastic(?: license)?(?: version| v)? ?2(?: 0)?"),
-    ("openrail", "rail", r"(?:open ?rail(?: m)?|responsible ai)"),
+    ("openrail", "rail|responsible ai", r"(?:open ?rail(?: m)?|responsible ai)"),
 )
-#: name, its words, versions of the copyleft families.
-COPYLEFT = (("gpl", r"(?:gnu )?(?:gpl|general public licen[cs]e)", ("1", "2", "3")), ("lgpl", r"(?:gnu )?(?:lgpl|(?:lesser|library) general public licen[cs]e)", ("2", "2 1", "3")), ("agpl", r"(?:gnu )?(?:agpl|affero general public licen[cs]e)", ("1", "3")), ("gfdl", r"(?:gnu )?(?:gfdl|fdl|free documentation licen[cs]e)", ("1 1", "1 2", "1 3")))
+#: name, its words, versions and keywords of the copyleft families.
+COPYLEFT = (("gpl", r"(?:gnu )?(?:gpl|general public licen[cs]e)", ("1", "2", "3"), "gpl|general public"), ("lgpl", r"(?:gnu )?(?:lgpl|(?:lesser|library) general public licen[cs]e)", ("2", "2 1", "3"), "lgpl|lesser|library"), ("agpl", r"(?:gnu )?(?:agpl|affero general public licen[cs]e)", ("1", "3"), "agpl|affero"), ("gfdl", r"(?:gnu )?(?:gfdl|fdl|free documentation licen[cs]e)", ("1 1", "1 2", "1 3"), "fdl|free documentation"))
 #: Creative Commons: short form, long form; each with versions.
 COMMONS = (("cc-by", "cc by", "attribution"), ("cc-by-sa", "cc by sa", "attribution share ?alike"), ("cc-by-nd", "cc by nd", "attribution no ?deriv[a-z]*"), ("cc-by-nc", "cc by nc", "attribution non ?commercial"), ("cc-by-nc-sa", "cc by nc sa", "attribution non ?commercial share ?alike"), ("cc-by-nc-nd", "cc by nc nd", "attribution non ?commercial no ?deriv[a-z]*"))
 COMMONS_VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
-#: Ways to name a license: form, priority (less is better), weight. X stands for the name.
+#: Ways to name a license: form, its keyword, priority (less is better), weight. X stands for the name.
 FORMS = (
-    (r"spdx license identifier X\b", 1, 1.0),
-    (r"(?:licensed|released|distributed|available|published|provided|shared) under (?:the )?(?:terms of )?(?:the )?X(?: licen[cs]e)?\b", 2, 0.95),
-    (r"under (?:the )?(?:terms of )?(?:the )?X(?: licen[cs]e)\b", 3, 0.9),
-    (r"licen[cs]e[sd]? (?:is |as |type )?(?:the )?X\b", 4, 0.8),
-    (r"\bX licen[cs]e\b", 5, 0.75),
+    (r"spdx license identifier X\b", "spdx license identifier", 1, 1.0),
+    (r"(?:licensed|released|distributed|available|published|provided|shared) under (?:the )?(?:terms of )?(?:the )?X(?: licen[cs]e)?\b", "ed under|available under", 2, 0.95),
+    (r"under (?:the )?(?:terms of )?(?:the )?X(?: licen[cs]e)\b", "under", 3, 0.9),
+    (r"licen[cs]e[sd]? (?:is |as |type )?(?:the )?X\b", "licen", 4, 0.8),
+    (r"\bX licen[cs]e\b", "licen", 5, 0.75),
 )
 #: Whole sentences of well-known texts: label, keyword, expression.
 TEXTS = (
@@ -80,27 +80,27 @@ TEXTS = (
     ("bsd", "redistribution and use", r"redistribution and use in source and binary forms with or without modification"),
     ("apache-2", "apache org", r"www apache org licenses license 2 0"),
     ("gpl", "gnu org", r"www gnu org licenses(?: gpl)?"),
-    ("gpl", "free software foundation", r"redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl", "redistribute it", r"redistribute it and or modify it under the terms of the gnu general public license"),
     ("unlicense", "public domain", r"free and unencumbered software released into the public domain"),
     ("public-domain", "public domain", r"(?:in|into|to) the public domain"),
     ("all-rights-reserved", "all rights", r"all rights (?:are )?reserved"),
 )
-ANCHORS = ("licen", "spdx", "cc by", "cc0", "creative commons", "creativecommons", "gpl", "public domain", "all rights", "permission", "redistribution", "gnu")
-BEFORE, AFTER = 10, 24
+#: One of these stands in every match: keywords of the forms and of TEXTS.
+GATE = ("licen", *(f"{w} under" for w in ("released", "distributed", "available", "published", "provided", "shared")), *(key for _, key, _ in TEXTS))
 
 
 def rules() -> list[dict]:
     """The ordered rules: every family and version in every form, then whole sentences. Priority: a versioned or longer name before the bare one, then the form."""
     names = [(label, key, name, 0 if any(ch.isdigit() for ch in label) else 1) for label, key, name in FAMILIES]
-    for short, words, versions in COPYLEFT:
-        names += [(f"{short}-{v.replace(' ', '.')}" + plus, "g", rf"{words}(?: version| v)? ?{v}(?: 0)?{tail}", rank) for v in versions for plus, tail, rank in (("-or-later", r"(?: or(?: \(at your option\))?(?: any)? later(?: version)?| plus)", 0), ("", "", 1))]
-        names.append((short, "g", words, 2))
+    for short, words, versions, key in COPYLEFT:
+        names += [(f"{short}-{v.replace(' ', '.')}" + plus, key, rf"{words}(?: version| v)? ?{v}(?: 0)?{tail}", rank) for v in versions for plus, tail, rank in (("-or-later", r"(?: or(?: \(at your option\))?(?: any)? later(?: version)?| plus)", 0), ("", "", 1))]
+        names.append((short, key, words, 2))
     for label, short, long in COMMONS:
         name = rf"(?:{short}|(?:creative commons )?{long})"
-        names += [(f"{label}-{v.replace(' ', '.')}", "c" if short == "cc by" else short[6:], rf"{name} {v}(?: international| unported)?", 0) for v in COMMONS_VERSIONS]
-        names.append((label, "c", name, 1))
-    out = [{"label": label, "keyword": key, "regex": form.replace("X", name), "rank": 10 * rank + order, "weight": weight} for label, key, name, rank in names for form, order, weight in FORMS]
-    out += [{"label": label, "keyword": key, "regex": expr, "rank": 6, "weight": 0.85} for label, key, expr in TEXTS]
+        names += [(f"{label}-{v.replace(' ', '.')}", f"{short}|attribution", rf"{name} {v}(?: international| unported)?", 0) for v in COMMONS_VERSIONS]
+        names.append((label, f"{short}|attribution", name, 1))
+    out = [{"label": label, "keys": key.split("|"), "form": held.split("|"), "regex": form.replace("X", name), "rank": 10 * rank + order, "weight": weight} for label, key, name, rank in names for form, held, order, weight in FORMS]
+    out += [{"label": label, "keys": [key], "form": [""], "regex": expr, "rank": 6, "weight": 0.85} for label, key, expr in TEXTS]
     return out
 
 
@@ -126,12 +126,41 @@ def _places(spaced: Column, words: Column, n: Column, phrase: str) -> dict[str,
     }
 
 
-def _detections(segment: Column, held: Column) -> Column:
-    ran = F.transform(
-        F.filter(held, lambda r: F.contains(segment, r["keyword"])),
-        lambda r: F.struct(r["label"].alias("label"), r["rank"].alias("rank"), r["weight"].alias("weight"), F.regexp_instr(segment, r["regex"]).alias("start"), F.length(F.coalesce(F.regexp_substr(segment, r["regex"]), F.lit(""))).alias("size")),
-    )
-    return F.filter(ran, lambda m: m["start"] > 0)
+def _detections(words: Column, held: Column) -> Column:
+    """Every match of every rule whose keywords the text holds, by start."""
+    any_of = lambda keys: F.exists(keys, lambda k: F.contains(words, k))
+    ran = F.transform(F.filter(held, lambda r: any_of(r["form"]) & any_of(r["keys"])), lambda r: F.struct(r.alias("r"), F.regexp_extract_all(words, r["regex"], F.lit(0)).alias("found")))
+    with_gaps = F.transform(F.filter(ran, lambda x: F.size(x["found"]) > 0), lambda x: F.struct(x["r"].alias("r"), x["found"].alias("found"), F.transform(F.split(words, x["r"]["regex"]), F.length).alias("gaps")))
+
+    def placed(x: Column) -> Column:
+        r, none = x["r"], F.array().cast("array<struct<start:int,size:int,label:string,rank:int,weight:double>>")
+        begin = F.struct(F.lit(1).alias("at"), none.alias("out"))
+
+        def step(acc: Column, m: Column) -> Column:
+            start, size = acc["at"] + m["gap"], F.length(m["text"])
+            one = F.struct(start.alias("start"), size.alias("size"), r["label"].alias("label"), r["rank"].alias("rank"), r["weight"].alias("weight"))
+            return F.struct((start + size).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+
+        each = F.zip_with(x["found"], F.slice(x["gaps"], 1, F.size(x["found"])), lambda t, g: F.struct(t.alias("text"), g.alias("gap")))
+        return F.aggregate(each, begin, step, lambda acc: acc["out"])
+
+    return F.array_sort(F.flatten(F.transform(with_gaps, placed)))
+
+
+def _clusters(found: Column) -> Column:
+    """Detections by start, cut where none reaches across."""
+    kind = "array<struct<start:int,size:int,label:string,rank:int,weight:double>>"
+    begin = F.struct(F.array().cast(f"array<{kind}>").alias("done"), F.array().cast(kind).alias("own"), F.lit(0).alias("end"))
+
+    def step(acc: Column, m: Column) -> Column:
+        apart, end = m["start"] >= acc["end"], m["start"] + m["size"]
+        return F.struct(
+            F.when(apart, F.concat(acc["done"], F.array(acc["own"]))).otherwise(acc["done"]).alias("done"),
+            F.when(apart, F.array(m)).otherwise(F.concat(acc["own"], F.array(m))).alias("own"),
+            F.greatest(acc["end"], end).alias("end"),
+        )
+
+    return F.aggregate(found, begin, step, lambda acc: F.concat(acc["done"], F.array(acc["own"])))
 
 
 def _kept(found: Column) -> Column:
@@ -147,7 +176,7 @@ def scan(docs: DataFrame) -> DataFrame:
     A null text is empty: 0 words, no labels, score 0. Rows are independent, so copies and ties need no rule; other
     columns pass through. A column that has the name of a result is replaced.
     """
-    schema = "array<struct<label:string,keyword:string,regex:string,rank:int,weight:double>>"
+    schema = "array<struct<label:string,keys:array<string>,form:array<string>,regex:string,rank:int,weight:double>>"
     held = F.from_json(F.lit(json.dumps(rules())), schema)
     words = F.col("clipyard_words")
     df = docs.withColumn("clipyard_words", _words(F.col("text")))
@@ -161,17 +190,17 @@ def scan(docs: DataFrame) -> DataFrame:
     df = df.withColumn("first_word", F.least(*(x["first"] for x in each.values()))).withColumn("last_word", F.greatest(*(x["last"] for x in each.values())))
     df = df.withColumn("clipyard_base", F.array_sort(F.array_compact(F.array(*(F.when(x["n"] > 0, F.lit(label)) for label, x in each.items())))))
     gate = F.lit(False)
-    for word in ANCHORS:
+    for word in GATE:
         gate = gate | F.contains(words, F.lit(word))
-    near = rf"(?<!\S)(?:\S+ ){{0,{BEFORE}}}\S*(?:{'|'.join(ANCHORS)})\S*(?: \S+){{0,{AFTER}}}"
-    segments = F.when(gate, F.regexp_extract_all(words, F.lit(near), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    found = F.flatten(F.transform(segments, lambda s: _kept(_detections(s, held))))
+    kind = "array<struct<start:int,size:int,label:string,rank:int,weight:double>>"
+    df = df.withColumn("clipyard_all", F.when(gate, _detections(words, held)).otherwise(F.array().cast(kind)))
+    found = F.when(F.size("clipyard_all") > 0, F.flatten(F.transform(_clusters(F.col("clipyard_all")), _kept))).otherwise(F.array().cast(kind))
     df = df.withColumn("clipyard_found", found)
     labels = F.array_sort(F.array_distinct(F.concat(F.col("clipyard_base"), F.transform("clipyard_found", lambda m: m["label"]))))
     best = F.coalesce(F.array_max(F.transform("clipyard_found", lambda m: m["weight"])), F.lit(0.0))
     df = df.withColumn("base_labels", F.array_join("clipyard_base", ",")).withColumn("labels", F.array_join(labels, ","))
     df = df.withColumn("score", F.greatest(best, F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.lit(0.0))))
-    return df.drop("clipyard_words", "clipyard_spaced", "clipyard_base", "clipyard_found")
+    return df.drop("clipyard_words", "clipyard_spaced", "clipyard_base", "clipyard_all", "clipyard_found")
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,6 +71,27 @@ def test_license_suppression(spark):
     assert got == {1: "cc-by-nc,cc-by-nc-4.0", 2: "gpl-3"}
 
 
+def _ungated(text):
+    """Labels of all rules run over the whole text."""
+    w = " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower()))
+    found = [(m.start(), m.end(), r["rank"], r["label"]) for r in licenses.rules() for m in re.finditer(r["regex"], w)]
+    order = lambda m: (m[2], m[0] - m[1], m[3], m[0])
+    inside = lambda a, b: b[0] <= a[0] and a[1] <= b[1]
+    kept = {m[3] for m in found if not any((inside(o, m) or inside(m, o)) and order(o) < order(m) for o in found)}
+    return ",".join(sorted(kept | {label for phrase, label in licenses.PHRASES if f" {phrase} " in f" {w} "}))
+
+
+def test_licenses_against_an_ungated_scan(spark, docs):
+    far = " ".join(f"w{i}" for i in range(17))
+    odd = [
+        "Released under Apache 2.0", "distributed under the BSD 3-Clause", f"license {far} released under the terms of the GNU General Public License version 2", "published under attribution share alike 4.0",
+        "released under zero clause BSD", "licensed under Responsible AI", "provided under open data commons attribution license", "redistribute it and/or modify it under the terms of the GNU General Public License", f"GPL license {far} {far} {far} licensed under the GPL version 3, MIT license MIT license",
+    ]
+    every = {i: t for i, t in enumerate(odd)} | {1000 + i: t for i, t in list(texts(docs).items())[:400]}
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame(list(every.items()), "doc_id long, text string")).collect()}
+    assert got == {i: _ungated(t) for i, t in every.items()} and all(got[i] for i in range(len(odd)))
+
+
 def test_sentencepiece_ids_and_round_trip(spark, docs):
     import sentencepiece
 
