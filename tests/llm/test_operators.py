@@ -200,6 +200,25 @@ def test_chains_find_what_follows_a_long_passage(spark):
     assert (got[4]["n_passages"], got[4]["spans"]) == (2, "0:70,120:190")
 
 
+def test_chains_find_a_passage_whose_parts_stand_in_earlier_documents(spark):
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    some = lambda n: [word() for _ in range(n)]
+    a, b, c = some(60), some(50), some(55)
+    parts = [a[:32] + some(60) + a[28:], some(9) + b[:45], some(9) + b[4:49], some(9) + b[10:], some(8) + c[:40], some(7) + c[15:]]
+    later = [some(13) + b + some(20) + a + some(9), some(4) + a + some(30) + b, c + some(30), some(40) + c, some(40) + a + c]
+    rows = [(i, " ".join(t)) for i, t in enumerate(parts + later)]
+    got = {r["doc_id"]: r["spans"] for r in chains.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    every = {i: t.split() for i, t in rows}
+    seen = set()
+    for i, t in every.items():
+        grams = [tuple(t[k : k + 50]) for k in range(len(t) - 49)]
+        held = {w for s in got[i].split(",") if s for w in range(*map(int, s.split(":")))}
+        assert {w for k, g in enumerate(grams) if g in seen for w in range(k, k + 50)} <= held
+        seen.update(grams)
+    assert got[7] and got[9] and got[10]
+
+
 def test_fingerprints(spark, docs):
     got = {r["doc_id"]: r for r in fingerprints.compare_edited(docs, buckets=5).collect()}
     every = texts(docs)
