@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from clipyard.llm.common import mix, table
 
-BUCKETS, PER_LANGUAGE, SAMPLE_ROWS, MARGIN = 4096, 4, 3000, 0.5
+BUCKETS, PER_LANGUAGE, SAMPLE_ROWS, LEAST_ROWS, MARGIN = 4096, 4, 3000, 15, 0.5
 UNKNOWN = "und"
 _ASCII_LETTER = re.compile("[A-Za-z]")
 _PIECE = 1 << 20
@@ -97,13 +97,13 @@ def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.n
 
 
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, per_language: int = PER_LANGUAGE, buckets: int = BUCKETS, margin: float = MARGIN) -> Model:
-    """Learns from text and lang of `labelled`; rows without a letter or lang are left out. At most about `sample_rows` rows, as evenly over languages as they are, reach the driver, each as one vector of `buckets` counts."""
+    """Learns from text and lang of `labelled`; rows without a letter or lang are left out. At most about `sample_rows` rows, as evenly over languages as they are, reach the driver, each as one vector of `buckets` counts. All values of lang are learned; where they are many, about `LEAST_ROWS` rows of each are taken, however many that makes."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect()}
+    n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()}
     if not n:
         none = np.zeros((0, buckets), np.float32)
         return Model(np.ones(buckets, np.float32), none, (), np.zeros(0))
-    share = max(1, sample_rows // len(n))
+    share = max(LEAST_ROWS, sample_rows // len(n))
     ticket = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
     odds = F.create_map(*(F.lit(x) for lang, m in n.items() for x in (lang, min(1.0, share / m))))
     sample = rows.where(ticket < F.try_element_at(odds, "lang")).select("lang", "text")

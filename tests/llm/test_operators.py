@@ -54,6 +54,13 @@ def test_language_on_held_out_rows(spark, docs):
     assert sum(r["lang"] == r["lang_pred"] for r in out) >= 0.95 * len(out)
 
 
+def test_language_learns_every_language(spark):
+    rows = [(i * 10 + k, f"l{i:03}", " ".join([chr(0x4E00 + i) * 3, chr(0x4E00 + i) * 2, "abc"[: k % 3]])) for i in range(230) for k in range(10)]
+    d = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(4)
+    out = langid.predict(d, langid.fit(d)).collect()
+    assert {r["lang"] for r in out if r["lang"] == r["lang_pred"]} == {r[1] for r in rows}
+
+
 def test_licenses_by_words(docs):
     got = {r["doc_id"]: r for r in licenses.scan(docs.select("doc_id", "text")).collect()}
     for i, t in texts(docs).items():
