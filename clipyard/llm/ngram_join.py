@@ -18,6 +18,7 @@ already.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from clipyard.llm.common import gram_hashes, mix, only_near, partitions, row_key
 from clipyard.llm.graph import components
 
 WIDTH, BLOCK = 1 << 20, 1 << 12
-SLICE, FAN, BAND = 4096, 16, 2.0
+SLICE, FAN, CHUNK = 4096, 16, 1024
 BANDS, PICKS, LOWS = 12, 4, 8
 _POINTS = np.arange(BANDS * PICKS, dtype=np.uint64) * np.uint64((1 << 64) // (BANDS * PICKS))
 
@@ -40,8 +41,9 @@ def shingles(text: str | None, n: int) -> np.ndarray:
 
 
 def groups(n: int) -> int:
-    """Number of groups for a set of n: a power of two, so that two to four n-grams fall in one."""
-    return 1 << min(15, max(5, int(n).bit_length() - 2))
+    """Number of groups for a set of n, a power of two: more than n up to 2048; beyond that (a large set has as many rows of as long vectors) as many, until two to four n-grams fall in one."""
+    bits = int(n).bit_length()
+    return 1 << max(5, min(bits, 11), min(15, bits - 2))
 
 
 def packed_counts(s: np.ndarray) -> bytes:
@@ -52,15 +54,19 @@ def packed_counts(s: np.ndarray) -> bytes:
     return (n[::2] << 4 | n[1::2]).tobytes()
 
 
-def folded(packed: bytes, d: int) -> np.ndarray:
-    """A count vector in d groups, of as many or more: neighbours are added up. No count is less than the true one, but for 255: a vector that begins with it excludes nothing."""
-    pairs = np.frombuffer(packed, np.uint8)
-    v = np.stack([pairs >> 4, pairs & 15], axis=1).ravel()
-    v = np.where(v == 15, 255, v).astype(np.uint8)
-    if len(v) == d:
-        return v
-    v = v.reshape(d, -1).sum(axis=1)
-    return (v if v.max() < 255 else np.full(d, 255)).astype(np.uint8)
+def folded(packed: list[bytes], d: int) -> np.ndarray:
+    """Count vectors in d groups, a row each, of vectors in as many or more: neighbours are added up. No count is less than the true one; a row that begins with 255 excludes nothing."""
+    out, size = np.empty((len(packed), d), np.uint8), np.array([len(x) for x in packed])
+    for n in np.unique(size):
+        at = np.flatnonzero(size == n)
+        pairs = np.frombuffer(b"".join([packed[i] for i in at]), np.uint8).reshape(len(at), n)
+        v = np.stack([pairs >> 4, pairs & 15], axis=2).reshape(len(at), 2 * n)
+        v[v == 15] = 255
+        if 2 * n != d:
+            v = v.reshape(len(at), d, -1).sum(axis=2)
+            v[v.max(axis=1) >= 255] = 255
+        out[at] = v
+    return out
 
 
 def bound(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -134,19 +140,27 @@ class CountTree:
 # --- passes over the texts ----------------------------------------------------------------------
 
 
+def node_of(s: np.ndarray) -> int:
+    """The hash of a set that stands for it."""
+    return int(mix(np.array([mix(s).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
+
+
 def _emit_nodes(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(WIDTH, np.int64)
+        sketch, before = np.zeros(WIDTH, np.int64), set()
         names = ["block", "doc_id", "k_id", "k_text", "node", "n", "vec", "keys"]
         for b in batches:
             nodes, sizes, vecs, keys = [], [], [], []
             for value in b.column("text"):
                 s = shingles(value.as_py(), n)
-                nodes.append(int(mix(np.array([mix(s).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64)).view(np.int64)[0]))
+                nodes.append(node_of(s))
                 sizes.append(len(s))
-                vecs.append(packed_counts(s))
-                keys.append(band_keys(s))
-                np.add.at(sketch, (s & np.uint64(WIDTH - 1)).astype(np.int64), 1)
+                new = nodes[-1] not in before  # copies of what this task has had need no point of their own
+                before.add(nodes[-1])
+                vecs.append(packed_counts(s) if new else None)
+                keys.append(band_keys(s) if new else None)
+                if new:
+                    np.add.at(sketch, (s & np.uint64(WIDTH - 1)).astype(np.int64), 1)
             yield pa.RecordBatch.from_arrays([pa.nulls(len(nodes), pa.int32()), *(b.column(c) for c in names[1:4]), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(vecs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=names)
         blocks = sketch.reshape(-1, BLOCK)
         use = np.flatnonzero(blocks.any(axis=1))
@@ -171,17 +185,19 @@ def _prefixes(n: int, percent: int, sketch):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = sketch.value
         usual = 4 * max(1.0, float(seen.mean()))
+        before = set()
         for b in batches:
             hashes, nodes, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for value in b.column("text"):
                 s = shingles(value.as_py(), n)
-                if not len(s):
+                node = node_of(s)
+                if not len(s) or node in before:
                     continue
-                node = mix(np.array([mix(s).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64)).view(np.int64)[0]
+                before.add(node)
                 heat = np.log2(np.maximum(1.0, seen[(s & np.uint64(WIDTH - 1)).astype(np.int64)] / usual)).astype(np.int64)
                 take = len(s) - -(-percent * len(s) // 100) + 1
                 hashes.append(s[np.lexsort((s, heat))[:take]] if heat.any() else s[:take])
-                nodes.append(np.full(take, node))
+                nodes.append(np.full(take, node, np.int64))
                 sizes.append(np.full(take, len(s)))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([h.view(np.int64) for h in hashes], nodes, sizes)], names=["h", "node", "n"])
 
@@ -202,47 +218,93 @@ def _bounded(percent: int):
             for i in np.flatnonzero(keep):
                 x, y = b.column("vec_u")[i].as_py(), b.column("vec_v")[i].as_py()
                 d = 2 * min(len(x), len(y))
-                keep[i] = bound(folded(x, d)[None], folded(y, d)[None])[0] >= least[i]
+                keep[i] = bound(folded([x], d), folded([y], d))[0] >= least[i]
             yield b.select(["u", "v"]).filter(pa.array(keep))
 
     return run
 
 
+@dataclass(frozen=True)
+class Rows:
+    """Rows of one n-gram, band and slice: nodes, their components, sizes, packed vectors and least n-grams (LOWS each, filled up with the largest value)."""
+
+    node: np.ndarray
+    comp: np.ndarray
+    n: np.ndarray
+    vec: list[bytes]
+    lows: np.ndarray
+
+
+_LAST = np.iinfo(np.int64).max
+
+
+def _rows_of(batch: pa.RecordBatch) -> Rows:
+    lows = np.full((batch.num_rows, LOWS), _LAST)
+    for i, own in enumerate(batch.column("lows").to_pylist()):
+        lows[i, : len(own)] = own
+    return Rows(*(batch.column(c).to_numpy() for c in ("node", "comp", "n")), batch.column("vec").to_pylist(), lows)
+
+
+def _joined(parts: list[Rows]) -> Rows:
+    return Rows(*(np.concatenate([getattr(p, c) for p in parts]) for c in ("node", "comp", "n")), [v for p in parts for v in p.vec], np.concatenate([p.lows for p in parts]))
+
+
+def _crossing(h: int, tree: CountTree, held: Rows, d: int, probe: Rows, within: bool) -> pa.RecordBatch:
+    """Pairs of probes and rows of the tree, of different components, that the bound allows. A pair is put out at its least common n-gram: not here where both are seen to share a lesser one."""
+    q, p = tree.search(folded(probe.vec, d), probe.n)
+    keep = probe.comp[q] != held.comp[p]
+    if within:
+        keep &= probe.node[q] < held.node[p]
+    q, p = q[keep], p[keep]
+    for lo in range(0, len(q), 1 << 16):
+        part = slice(lo, lo + (1 << 16))
+        x, y = probe.lows[q[part]], held.lows[p[part]]
+        lesser = ((x[:, :, None] == y[:, None, :]) & (x < h)[:, :, None]).any(axis=(1, 2))
+        u, v = probe.node[q[part]][~lesser], held.node[p[part]][~lesser]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+
+
 def _trees(percent: int):
-    def one(h: int, rows: list[tuple]) -> list[tuple[int, int]]:
-        node, comp, n, role = (np.array([r[i] for r in rows]) for i in range(4))
-        index, probe = np.flatnonzero(role <= 1), np.flatnonzero(role != 1)  # 0: both, 1: in the tree only, 2: probes only
-        if not len(index) or not len(probe) or len(set(comp.tolist())) == 1:
-            return []
-        d = 2 * min(len(r[4]) for r in rows)
-        points = np.array([folded(r[4], d) for r in rows])
-        tree = CountTree(points[index], n[index], percent)
-        q, p = tree.search(points[probe], n[probe])
-        q, p = probe[q], index[p]
-        keep = (comp[q] != comp[p]) & ((role[q] == 2) | (node[q] < node[p]))
-        q, p = q[keep], p[keep]
-        # A pair is put out at its least common n-gram: not here where both are seen to share a lesser one.
-        lows = [frozenset(x for x in r[5] if x < h) for r in rows]
-        keep = np.fromiter((lows[i].isdisjoint(lows[j]) for i, j in zip(q.tolist(), p.tolist(), strict=True)), bool, len(q))
-        u, v = node[q[keep]], node[p[keep]]
-        return list(set(zip(np.minimum(u, v).tolist(), np.maximum(u, v).tolist(), strict=True)))
+    """Rows come by n-gram, band and slice, those of the tree (role 0) first; the others are read in passing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
-
-        def out(pairs):
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in pairs], pa.int64()) for i in (0, 1)], names=["u", "v"])
+        key, parts, held, tree, d = None, [], None, None, 0
+
+        def planted() -> Iterator[pa.RecordBatch]:
+            """Makes the tree of the rows gathered and searches it with them."""
+            nonlocal held, tree, d
+            held, d = _joined(parts), 2 * min(len(v) for p in parts for v in p.vec)
+            parts.clear()
+            tree = CountTree(folded(held.vec, d), held.n, percent)
+            if (held.comp != held.comp[0]).any():
+                for lo in range(0, len(held.n), CHUNK):
+                    part = slice(lo, lo + CHUNK)
+                    yield from _crossing(key[0], tree, held, d, Rows(held.node[part], held.comp[part], held.n[part], held.vec[part], held.lows[part]), True)
 
         for b in batches:
-            columns = [b.column(c).to_pylist() for c in ("h", "band", "slice", "node", "comp", "n", "role", "vec", "lows")]
-            for h, band, part, *row in zip(*columns, strict=True):
-                if (h, band, part) != key and rows:
-                    yield out(one(key[0], rows))
-                    rows = []
-                key = (h, band, part)
-                rows.append(tuple(row))
-        if rows:
-            yield out(one(key[0], rows))
+            if not b.num_rows:
+                continue
+            names = ("h", "band", "slice", "role")
+            at = np.stack([b.column(c).to_numpy().astype(np.int64) for c in names], axis=1)
+            edge = np.concatenate([[0], np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1, [len(at)]])
+            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                *new, role = at[lo].tolist()
+                if new != key:
+                    if parts:
+                        yield from planted()
+                    key, held, tree = new, None, None
+                    parts.clear()
+                if not role:
+                    parts.append(_rows_of(b.slice(lo, hi - lo)))
+                    continue
+                if parts:
+                    yield from planted()
+                for i in range(lo, hi if tree else lo, CHUNK):
+                    probe = _rows_of(b.slice(i, min(CHUNK, hi - i)))
+                    if (probe.comp != held.comp[0]).any() or (held.comp != held.comp[0]).any():
+                        yield from _crossing(key[0], tree, held, d, probe, False)
+        if parts:
+            yield from planted()
 
     return run
 
@@ -298,7 +360,7 @@ def similar(docs: DataFrame, n: int, percent: int) -> DataFrame:
     met = grouped.select("h", "chain", "node", "n", F.count("*").over(own).alias("met"), F.min(F.struct("node", "n")).over(own).alias("leader")).where("met > 1")
     met = scratch(met.select(F.xxhash64("h", "chain").alias("h"), "node", "n", "met", "leader"), "ngram-met")
 
-    nodes = found.where(F.col("block").isNull() & (F.col("n") > 0)).groupBy("node").agg(F.min(F.struct("k_id", "k_text")).alias("rep"), F.first("vec").alias("vec"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    nodes = found.where(F.col("block").isNull() & (F.col("n") > 0)).groupBy("node").agg(F.min(F.struct("k_id", "k_text")).alias("rep"), F.first("vec", True).alias("vec"), F.first("n").alias("n"), F.first("keys", True).alias("keys"))
     nodes = scratch(nodes, "ngram-points")
     point = lambda c: nodes.select(F.col("node").alias(c), F.col("vec").alias(f"vec_{c}"), F.col("n").alias(f"n_{c}"))
     reps = nodes.select("node", "rep.*")
@@ -323,20 +385,20 @@ def similar(docs: DataFrame, n: int, percent: int) -> DataFrame:
     links = scratch(links.union(_verify(docs, reps, more_stars, n, percent)), "ngram-links")
     rest = across(components(links))
 
-    # Bands of sizes, twice as wide as their start: a row's partners of no greater size are in its own band, or, where percent of its size falls short of that, in the one below.
-    in_band = lambda x: F.floor(F.log(x.cast("double")) / F.log(F.lit(BAND))).cast("int")
-    band, below = in_band(F.col("n")), in_band(F.greatest(F.lit(1), F.floor(F.col("n") * percent / 100) - 1))
+    # Bands of sizes by powers of two: a row's partners of no greater size are in its own band, or in those below down to that of percent of its size.
+    in_band = lambda x: F.length(F.bin(x))
+    band, below = in_band(F.col("n")), in_band(F.greatest(F.lit(1), F.floor(F.col("n") * percent / 100)))
     slices = F.ceil(F.col("met") / SLICE).cast("int")
     own = F.pmod(F.xxhash64("node"), slices).cast("int")
-    every = F.sequence(F.lit(0), slices - 1)
-    # A row is in the tree of every slice of its own band and probes one; in the band below it only probes one.
-    here = F.transform(every, lambda s: F.struct(band.alias("band"), s.alias("slice"), F.when(s == own, F.lit(0)).otherwise(F.lit(1)).alias("role")))
-    there = F.array(F.struct(below.alias("band"), own.alias("slice"), F.lit(2).alias("role")))
-    at = F.when(below < band, F.concat(here, there)).otherwise(here)
+    at = lambda b, s, role: F.struct(b.alias("band"), s.alias("slice"), F.lit(role).alias("role"))
+    # A row is in the tree of one slice of its own band. It probes that, the slices after it, and all those of the bands below.
+    here = F.transform(F.sequence(own, slices - 1), lambda s: F.when(s == own, at(band, s, 0)).otherwise(at(band, s, 1)))
+    bands = F.when(below < band, F.sequence(below, band - 1)).otherwise(F.array().cast("array<int>"))
+    there = F.flatten(F.transform(bands, lambda b: F.transform(F.sequence(F.lit(0), slices - 1), lambda s: at(b, s, 1))))
     lows = rest.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("h")), 1, LOWS).alias("lows"))
-    placed = rest.select("h", "node", "n", "comp", F.inline(at)).join(nodes.select("node", "vec").join(lows, "node"), "node")
+    placed = rest.select("h", "node", "n", "comp", F.inline(F.concat(here, there))).join(nodes.select("node", "vec").join(lows, "node"), "node")
     keys = ["h", "band", "slice"]
-    crossed = placed.repartition(partitions(spark), *keys).sortWithinPartitions(*keys).mapInArrow(_trees(percent), "u long, v long").distinct()
+    crossed = placed.repartition(partitions(spark), *keys).sortWithinPartitions(*keys, "role").mapInArrow(_trees(percent), "u long, v long").distinct()
     crossed = scratch(crossed.join(stars.union(more_stars), ["u", "v"], "left_anti"), "ngram-crossed")
     more = _verify(docs, reps, crossed, n, percent)
     final = components(links.union(more))
