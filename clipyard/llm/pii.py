@@ -1,16 +1,21 @@
-"""Operator 1. Personal data: base spans, and terms that the corpus shows to disclose them.
-
-A protected entity is the value of a base span (an address, a number). How much a term t tells of an entity c is
-their pointwise mutual information over the documents, PMI(c, t) = ln(n(c,t) N / (n(c) n(t))), held against the
-information of the entity itself, IC(c) = ln(N / n(c)). Where PMI >= IC / alpha, and t stands beside c in at least
-`support` different contexts, t discloses c: it is removed where PMI / IC >= `remove_at`, else generalised. In each
-document the terms that disclose one of its own entities become `term` spans.
+"""Operator 1. Personal data: base spans, and terms that the corpus shows to disclose protected entities.
+
+Protected entities are the values of base spans (an address, a number), identifiers (words of letters and digits that hold
+`BITS` of information or more, as keys and tokens do), and each kind of them as a class of its own. How much a term t tells
+of an entity c is their pointwise mutual information over the documents, PMI(c, t) = ln(n(c,t) N / (n(c) n(t))), held
+against the information of the entity itself, IC(c) = ln(N / n(c)). Where PMI >= IC / alpha, and t stands beside c in at
+least `support` different contexts, t discloses c: it is removed where PMI / IC >= `remove_at`, else generalised. Such
+terms become `term` spans in every document that holds them. An identifier is a term that discloses itself, PMI = IC, and
+becomes a `secret` span wherever it stands.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,8 +24,9 @@ from pyspark.sql import functions as F
 
 from clipyard.llm.common import row_key, scratch, table
 
-KINDS = ("email", "ip", "card", "phone", "term")
-ALPHA, SUPPORT, WINDOW, REMOVE_AT = 1.25, 3, 6, 0.95
+KINDS = ("email", "ip", "card", "phone", "term", "secret")
+TERM, SECRET = 4, 5
+ALPHA, SUPPORT, WINDOW, REMOVE_AT, BITS = 1.25, 3, 6, 0.95, 64
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -30,6 +36,10 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\W_]{3,}")
 _DIGIT = re.compile(r"[0-9]")
+_LETTER = re.compile(r"[A-Za-z]")
+_CODE = re.compile(r"[A-Za-z0-9]{12,}")
+#: The same words for Spark.
+_JAVA_WORD = r"[\p{L}\p{N}]{3,}"
 
 
 def _luhn(digits: str) -> bool:
@@ -74,20 +84,41 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return out
 
 
-def contexts(text: str, spans: list[tuple[int, int, int, str]], window: int) -> list[tuple[str, str, str]]:
-    """(entity, term, digest of the context): the words within `window` words of a span and outside all spans."""
+def identifiers(text: str, spans: list[tuple[int, int, int, str]], bits: float = BITS) -> list[tuple[int, int, int, str]]:
+    """Words of ASCII letters and digits, both, outside the spans (sorted), whose length times the entropy of their characters is `bits` or more."""
     out = []
+    for m in _CODE.finditer(text):
+        if not (_DIGIT.search(m[0]) and _LETTER.search(m[0])):
+            continue
+        n = len(m[0])
+        if sum(k * math.log2(n / k) for k in Counter(m[0]).values()) < bits:
+            continue
+        if not any(s[0] < m.end() and m.start() < s[2] for s in spans):
+            out.append((m.start(), SECRET, m.end(), m[0]))
+    return out
+
+
+def contexts(text: str, spans: list[tuple[int, int, int, str]], window: int) -> list[tuple[str, str, str]]:
+    """(entity, term, digest of the context): the nearest `window` words on either side of a span, those in spans left out, for its value and for its kind."""
+    if not spans:
+        return []
+    taken, i, own = sorted((s[0], s[2]) for s in spans), 0, []
+    for m in _WORD.finditer(text):
+        while i < len(taken) and taken[i][1] <= m.start():
+            i += 1
+        if i == len(taken) or taken[i][0] >= m.end():
+            own.append((m.start(), m[0].lower()))
+    starts, words, out = [w[0] for w in own], [w[1] for w in own], []
     for start, kind, end, entity in spans:
-        room = 24 * window
-        left = [m[0].lower() for m in _WORD.finditer(text, max(0, start - room), start)][-window:]
-        right = [m[0].lower() for m in _WORD.finditer(text, end, min(len(text), end + room))][:window]
+        at, after = bisect_left(starts, start), bisect_left(starts, end)
+        left, right = words[max(0, at - window) : at], words[after : after + window]
         mark = hashlib.md5(" ".join([*left, "|", *right]).encode()).hexdigest()[:16]
-        out += [(f"{KINDS[kind]}:{entity}", t, mark) for t in {*left, *right}]
+        out += [(e, t, mark) for t in {*left, *right} for e in (f"{KINDS[kind]}:{entity}", f"kind:{KINDS[kind]}")]
     return out
 
 
 def detect_base(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Row keys, kinds, starts, ends, entities and the contexts of them, one row per document. A null text is empty."""
+    """Row keys, kinds, starts, ends (base spans and identifiers), entities and the contexts of them, one row per document. A null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -96,10 +127,11 @@ def detect_base(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             for value in b.column("text"):
                 text = value.as_py() or ""
                 spans = base_spans(text)
+                spans = sorted(spans + identifiers(text, spans))
                 kinds.append([s[1] for s in spans])
                 starts.append([s[0] for s in spans])
                 ends.append([s[2] for s in spans])
-                names.append(sorted({f"{KINDS[s[1]]}:{s[3]}" for s in spans}))
+                names.append(sorted({e for s in spans for e in (f"{KINDS[s[1]]}:{s[3]}", f"kind:{KINDS[s[1]]}")}))
                 marks.append([{"entity": e, "term": t, "mark": m} for e, t, m in contexts(text, spans, window)])
             ints = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays(
@@ -113,16 +145,16 @@ def detect_base(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, alpha: float = ALPHA, support: int = SUPPORT, remove_at: float = REMOVE_AT) -> DataFrame:
-    """entity, term, action of the pairs over the threshold. n(t) counts all documents, n(c) and n(c,t) those with the entity."""
+    """entity, term, action of the pairs over the threshold. n(t) counts all documents, n(c) and n(c,t) those with the entity. An entity that every document holds has no information to disclose."""
     near = found.select("k_id", "k_text", F.explode("near").alias("x")).select("k_id", "k_text", "x.*")
-    pairs = (
-        near.groupBy("entity", "term").agg(F.count_distinct("k_id", "k_text").alias("n_both"), F.count_distinct("mark").alias("n_marks")).where(F.col("n_marks") >= support)
-    )
+    # Counted in two steps, so that the rows of a kind do not meet in one task.
+    each = near.groupBy("entity", "term", "mark").agg(F.count_distinct("k_id", "k_text").alias("n"))
+    texts = near.groupBy("entity", "term", "k_id", "k_text").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count("*").alias("n_both"))
+    pairs = each.groupBy("entity", "term").agg(F.count("*").alias("n_marks")).where(F.col("n_marks") >= support).join(texts, ["entity", "term"])
     n_entity = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     wanted = scratch(pairs.join(n_entity, "entity"), "pii-pairs")
     # Words of the corpus: 8-byte hashes summed on the map side before any row moves; only candidates are kept after.
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]{3,}"), F.lit(0)))).alias("w"))
-    counts = words.groupBy(F.xxhash64("w").alias("h")).agg(F.count("*").alias("n_term"))
+    counts = _words(docs.select("text")).groupBy(F.xxhash64("w").alias("h")).agg(F.count("*").alias("n_term"))
     keys = wanted.select("term").distinct().select("term", F.xxhash64("term").alias("h"))
     n_term = keys.join(counts, "h").select("term", "n_term")
     total = docs.select(F.count("*").alias("n_docs"))
@@ -136,15 +168,22 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, alpha: float = ALPHA, su
     )
 
 
-def disclosed_in(found: DataFrame, terms: DataFrame) -> DataFrame:
-    """Row keys with the terms that disclose one of the row's own entities, as a map from term to action."""
-    own = found.select("k_id", "k_text", F.explode("entities").alias("entity")).distinct()
-    each = own.join(terms, "entity").groupBy("k_id", "k_text", "term").agg(F.max("action").alias("action"))
-    return each.groupBy("k_id", "k_text").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("terms"))
+def _words(docs: DataFrame) -> DataFrame:
+    """docs with a row, and the word w in place of text, for each distinct word of each text."""
+    return docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != "text"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_JAVA_WORD), F.lit(0)))).alias("w"))
+
+
+def disclosed_in(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """Row keys with the disclosing terms that the text holds, as a map from term to action; rows without any are left out. Equal rows give one."""
+    listed = scratch(terms.groupBy("term").agg(F.max("action").alias("action")), "pii-listed")
+    own = _words(docs.select("text", *row_key())).select("k_id", "k_text", F.col("w").alias("term")).join(listed, "term").distinct()
+    return own.groupBy("k_id", "k_text").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("terms"))
 
 
 def _all_spans(text: str, terms: dict[str, str]) -> list[tuple[int, int, int, str]]:
+    """Base spans, identifiers and terms, by start, then kind. Terms inside other spans are not put out."""
     spans = base_spans(text)
+    spans += identifiers(text, spans)
     if terms:
         taken, i = sorted((s[0], s[2]) for s in spans), 0
         for m in _WORD.finditer(text):
@@ -153,19 +192,19 @@ def _all_spans(text: str, terms: dict[str, str]) -> list[tuple[int, int, int, st
             while i < len(taken) and taken[i][1] <= m.start():
                 i += 1
             if i == len(taken) or taken[i][0] >= m.end():
-                spans.append((m.start(), 4, m.end(), action))
-        spans.sort()
+                spans.append((m.start(), TERM, m.end(), action))
+    spans.sort()
     return spans
 
 
 def redact(text: str, spans: list[tuple[int, int, int, str]]) -> str:
-    """Base spans become [KIND]; terms become a shape, or go. Of overlapping spans the first in order is replaced, the others are cut to what follows it."""
+    """Base spans and identifiers become [KIND]; terms become a shape, or go. Of overlapping spans the first in order is replaced, the others are cut to what follows it."""
     out, at = [], 0
     for start, kind, end, note in spans:
         if end <= at:
             continue
         out.append(text[at : max(at, start)])
-        if kind < 4:
+        if kind != TERM:
             out.append(f"[{KINDS[kind].upper()}]")
         elif note == "generalise":
             out.append("[NUMBER]" if text[start:end].isdigit() else "[TERM]")
@@ -179,7 +218,7 @@ def sanitise(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT, wind
     Columns other than doc_id and text pass through, whatever their names; an empty table gives an empty one.
     """
     found = scratch(detect_base(docs, window), "pii-found")
-    terms = scratch(disclosed_in(found, disclosing_terms(docs, found, alpha, support)), "pii-terms")
+    terms = scratch(disclosed_in(docs, disclosing_terms(docs, found, alpha, support)), "pii-terms")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -206,26 +245,23 @@ def spans_digest(kinds: list[int], starts: list[int], ends: list[int]) -> str:
 
 
 def find(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT, window: int = WINDOW) -> DataFrame:
-    """doc_id, kinds, starts, ends, n_base: base spans and term spans by start, then kind; one row per row of docs.
-
-    Term spans are looked for in the documents that hold an entity, so only their texts are read a second time.
-    """
+    """doc_id, base_kinds, base_starts, base_ends, kinds, starts, ends: base spans, then all spans by start, then kind; one row per row of docs. A null text is empty."""
     found = scratch(detect_base(docs, window), "pii-found")
-    terms = disclosed_in(found, disclosing_terms(docs, found, alpha, support))
-    with_entity = docs.select("text", *row_key()).where(F.rlike("text", F.lit("@|[0-9]")))
-    spans = scratch(with_entity.join(terms, ["k_id", "k_text"]).mapInArrow(_term_spans, "k_id long, k_text long, t_starts array<int>, t_ends array<int>"), "pii-spans").dropDuplicates(["k_id", "k_text"])
-    base = F.arrays_zip("starts", "kinds", "ends")
-    more = F.transform(F.arrays_zip("t_starts", "t_ends"), lambda x: F.struct(x["t_starts"].alias("starts"), F.lit(4).alias("kinds"), x["t_ends"].alias("ends")))
-    joined = found.join(spans, ["k_id", "k_text"], "left")
-    every = joined.withColumn("s", F.array_sort(F.concat(base, F.coalesce(more, F.array().cast("array<struct<starts:int,kinds:int,ends:int>>")))))
-    return every.select("doc_id", F.col("kinds").alias("base_kinds"), F.col("starts").alias("base_starts"), F.col("ends").alias("base_ends"), *(F.col(f"s.{c}").alias(c) for c in ("kinds", "starts", "ends")))
+    terms = disclosed_in(docs, disclosing_terms(docs, found, alpha, support))
+    keyed = docs.select("text", *row_key())
+    spans = scratch(keyed.join(terms, ["k_id", "k_text"]).mapInArrow(_term_spans, "k_id long, k_text long, t_starts array<int>, t_ends array<int>"), "pii-spans").dropDuplicates(["k_id", "k_text"])
+    own = F.arrays_zip("starts", "kinds", "ends")
+    more = F.transform(F.arrays_zip("t_starts", "t_ends"), lambda x: F.struct(x["t_starts"].alias("starts"), F.lit(TERM).alias("kinds"), x["t_ends"].alias("ends")))
+    joined = found.join(spans, ["k_id", "k_text"], "left").withColumn("base", F.filter(own, lambda x: x["kinds"] < TERM))
+    every = joined.withColumn("s", F.array_sort(F.concat(own, F.coalesce(more, F.array().cast("array<struct<starts:int,kinds:int,ends:int>>")))))
+    return every.select("doc_id", *(F.col(f"base.{c}").alias(f"base_{c}") for c in ("kinds", "starts", "ends")), *(F.col(f"s.{c}").alias(c) for c in ("kinds", "starts", "ends")))
 
 
 def _term_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         starts, ends = [], []
         for value, own in zip(b.column("text"), b.column("terms"), strict=True):
-            spans = [s for s in _all_spans(value.as_py() or "", dict(own.as_py())) if s[1] == 4]
+            spans = [s for s in _all_spans(value.as_py() or "", dict(own.as_py())) if s[1] == TERM]
             starts.append([s[0] for s in spans])
             ends.append([s[2] for s in spans])
         ints = pa.list_(pa.int32())
@@ -242,5 +278,5 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     count = lambda i, c="base_kinds": F.size(F.filter(c, lambda x: x == i)).cast("long")
     return out.select(
-        "doc_id", *(count(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:4])), F.sha2(digest("base_kinds", "base_starts", "base_ends").cast("binary"), 256).alias("base_sha256"), digest("kinds", "starts", "ends").alias("spans"), count(4, "kinds").alias("n_term")
+        "doc_id", *(count(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:4])), F.sha2(digest("base_kinds", "base_starts", "base_ends").cast("binary"), 256).alias("base_sha256"), digest("kinds", "starts", "ends").alias("spans"), count(TERM, "kinds").alias("n_term"), count(SECRET, "kinds").alias("n_secret"), F.size("kinds").cast("long").alias("n_spans")
     )

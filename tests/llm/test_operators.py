@@ -41,12 +41,42 @@ def test_base_spans_by_regular_expressions():
 
 
 def test_pii_terms_and_redaction(spark):
-    rows = [(i, f"word{i}a word{i}b secretname x@y.org word{i}c") for i in range(6)] + [(100 + i, f"plain text number{i}") for i in range(60)]
+    rows = [(i, f"word{i}a word{i}b secretname x@y.org word{i}c") for i in range(6)] + [(100 + i, f"plain text number{i}") for i in range(60)] + [(200, "a secretname alone"), (201, "key 9f86d081884c7d659a2feaa0c55ad015 end")]
     d = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r for r in pii.find(d).collect()}
-    assert got[0]["kinds"] == [4, 0] and got[100]["kinds"] == []
+    assert got[0]["kinds"] == [4, 0] and got[0]["base_kinds"] == [0] and got[100]["kinds"] == [] and got[200]["kinds"] == [4] and got[201]["kinds"] == [5] and got[201]["base_kinds"] == []
     clean = texts(pii.sanitise(d))
-    assert clean[0] == "word0a word0b  [EMAIL] word0c" and clean[100] == "plain text number0"
+    assert clean[0] == "word0a word0b [TERM] [EMAIL] word0c" and clean[100] == "plain text number0" and clean[200] == "a [TERM] alone" and clean[201] == "key [SECRET] end"
+
+
+def test_pii_terms_by_brute_force(spark):
+    rng = random.Random(21)
+    some = lambda: " ".join(rng.choice([f"w{i}" for i in range(100, 400)]) for _ in range(rng.randrange(5, 60)))
+    hints, values = ["phonehint", "mailhint", "both"], ["a@b.org", "c@d.org", "+1 (386) 555-3733", "+1 (386) 555-4444"]
+    every = [" ".join([some(), *([rng.choice(hints), rng.choice(values)] if rng.random() < 0.3 else []), some(), *([hints[0], values[2]] if rng.random() < 0.2 else [])]) for _ in range(150)]
+    word = lambda t: re.findall(r"[^\W_]{3,}", t.lower())
+    n, n_c, n_t, both, marks = len(every), collections.Counter(), collections.Counter(), collections.Counter(), collections.defaultdict(set)
+    for t in every:
+        spans = pii.base_spans(t)
+        outside = t
+        for s in spans:
+            outside = outside[: s[0]] + "\0" * (s[2] - s[0]) + outside[s[2] :]
+        beside = set()
+        for s in spans:
+            left, right = word(outside[: s[0]])[-6:], word(outside[s[2] :])[:6]
+            for e in (f"{pii.KINDS[s[1]]}:{s[3]}", f"kind:{pii.KINDS[s[1]]}"):
+                for w in {*left, *right}:
+                    beside.add((e, w))
+                    marks[e, w].add((*left, "|", *right))
+        n_c.update({e for s in spans for e in (f"{pii.KINDS[s[1]]}:{s[3]}", f"kind:{pii.KINDS[s[1]]}")})
+        n_t.update(set(word(t)))
+        both.update(beside)
+    log = __import__("math").log
+    ratio = {(e, w): log(k * n / (n_c[e] * n_t[w])) / log(n / n_c[e]) for (e, w), k in both.items() if len(marks[e, w]) >= pii.SUPPORT}
+    want = {(e, w): "remove" if r >= pii.REMOVE_AT else "generalise" for (e, w), r in ratio.items() if r >= 1 / pii.ALPHA}
+    d = spark.createDataFrame(list(enumerate(every)), "doc_id long, text string")
+    got = {(r["entity"], r["term"]): r["action"] for r in pii.disclosing_terms(d, pii.detect_base(d)).collect()}
+    assert got == want and ("kind:phone", "phonehint") in got and len(got) > 1
 
 
 def test_language_on_held_out_rows(spark, docs):
