@@ -2,12 +2,12 @@
 
 A text becomes `▁` + text with spaces as `▁`, and is cut into units where no piece can reach across: before `▁`, before
 characters that in all pieces only their like or `▁` precede (most punctuation), and after characters without a piece.
-The units of a batch not met before are concatenated and indexed by a suffix array (as deep
+The text of a batch, as far as its units differ, is concatenated and indexed by a suffix array (as deep
 as the longest piece); each piece is found by binary search as a range of it; the ranges give edges (start, piece),
 sorted by offset in their unit. Then the edges are relaxed in that order: an edge holds after the piece that ends where
 it starts if the merges leave the two side by side, which a pair shows by itself. So at most one piece holds at each
 place, and the path to the end is the encoding that the merges would make. A character without a piece becomes its
-bytes; units of more than `LONG` characters are merged one by one.
+bytes.
 """
 
 from __future__ import annotations
@@ -27,7 +27,9 @@ from clipyard.llm.common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-CACHE, SLICE_CHARS, BATCH_ROWS, PAIRS, LONG = 250_000, 250_000, 1000, 1 << 20, 64
+SLICE_CHARS, BATCH_ROWS, BATCH_CHARS, PAIRS = 250_000, 1000, 4_000_000, 1 << 20
+#: Stands for NUL inside units, which separates them. Texts hold no lone surrogate.
+NUL = "\udc00"
 
 
 @dataclass(frozen=True)
@@ -49,7 +51,7 @@ def load(path: str = MODEL) -> Vocabulary:
 
 
 class Encoder:
-    """Encodes texts to ids (uint16 arrays) and back; keeps what it learned of units and pairs, within bounds."""
+    """Encodes texts to ids (uint16 arrays) and back; keeps what it learned of pairs of pieces, within bounds."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
@@ -85,7 +87,6 @@ class Encoder:
         for b in range(256):
             self.raw[vocabulary.byte0 + b] = bytes([b])
         self.unit = self._cuts()
-        self.units: dict[str, bytes] = {}
         self.pair_key, self.pair_ok = np.full(PAIRS, -1, np.int64), np.zeros(PAIRS, bool)
 
     def _cuts(self) -> re.Pattern:
@@ -222,7 +223,7 @@ class Encoder:
     def _relax(self, units: list[str]) -> list[bytes]:
         """The encodings of units. All are relaxed in step: at offset j of each, every edge that starts there is held against the one piece that ends there."""
         text = "\0".join(units) + "\0" * (self.depth + 1)
-        t = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+        t = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         size = np.array([len(u) for u in units])
         base = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
         at, piece = self._edges(t)
@@ -263,32 +264,26 @@ class Encoder:
 
     def _bytes(self, ids: list[int]) -> bytes:
         """Ids as 16 bits, with -1 - code point for a character that becomes its bytes."""
-        full = [i for x in ids for i in ([x] if x >= 0 else [self.v.byte0 + b for b in chr(-x - 1).encode()])]
+        full = [i for x in ids for i in ([x] if x >= 0 else [self.v.byte0 + b for b in chr(-x - 1).replace(NUL, "\0").encode()])]
         return np.array(full, "<u2").tobytes()
 
     # texts --------------------------------------------------------------------------------------
 
-    def _learn(self, units: list[str]) -> None:
-        part, size = [], 0
-        for u in units:
-            if len(u) > LONG or "\0" in u:
-                self.units[u] = self._bytes([self.id_of[s] if s in self.id_of else -ord(s) - 1 for s in self.symbols(u)])
-                continue
+    def _learn(self, units: list[str]) -> dict[str, bytes]:
+        """The encodings of units, relaxed in slices of about SLICE_CHARS characters."""
+        out, part, size = {}, [], 0
+        for k, u in enumerate(units, 1):
             part.append(u)
             size += len(u) + 1
-            if size >= SLICE_CHARS:
-                self.units.update(zip(part, self._relax(part), strict=True))
+            if size >= SLICE_CHARS or k == len(units):
+                out.update(zip(part, self._relax([x.replace("\0", NUL) for x in part]), strict=True))
                 part, size = [], 0
-        if part:
-            self.units.update(zip(part, self._relax(part), strict=True))
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.unit.findall(SPACE + text.replace(" ", SPACE)) if text else [] for text in texts]
-        if len(self.units) > CACHE:
-            self.units.clear()
-        if fresh := {u for own in split for u in own}.difference(self.units):
-            self._learn(list(fresh))
-        return [np.frombuffer(b"".join(map(self.units.__getitem__, own)), "<u2") for own in split]
+        known = self._learn(list({u for own in split for u in own}))
+        return [np.frombuffer(b"".join(map(known.__getitem__, own)), "<u2") for own in split]
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids; bytes that are no UTF-8 become replacement characters."""
@@ -299,7 +294,7 @@ _encoders: dict[int, Encoder] = {}
 
 
 def _encoder(vocabulary: Vocabulary) -> Encoder:
-    """The worker's encoder; tasks that follow one another in a worker share what it learned."""
+    """The worker's encoder; tasks that follow one another in a worker share it."""
     key = hash(vocabulary)
     if key not in _encoders:
         _encoders.clear()
@@ -307,6 +302,19 @@ def _encoder(vocabulary: Vocabulary) -> Encoder:
     return _encoders[key]
 
 
+def _parts(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """Texts of a column in order, null as empty, with the row of the first: at most BATCH_ROWS, and no more after BATCH_CHARS characters."""
+    first, part, size = 0, [], 0
+    for i, value in enumerate(column):
+        part.append(value.as_py() or "")
+        size += len(part[-1])
+        if len(part) == BATCH_ROWS or size >= BATCH_CHARS:
+            yield first, part
+            first, part, size = i + 1, [], 0
+    if part:
+        yield first, part
+
+
 def encode(docs: DataFrame, model_path: str = MODEL, check: bool = True) -> DataFrame:
     """doc_id, ids (array of int), round_trip of each row of docs. round_trip: decoding gives the text again, with `▁` read as a space; null unless `check`.
 
@@ -317,13 +325,12 @@ def encode(docs: DataFrame, model_path: str = MODEL, check: bool = True) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(held.value)
         for b in batches:
-            for lo in range(0, b.num_rows, BATCH_ROWS):
-                texts = [t or "" for t in b.column("text")[lo : lo + BATCH_ROWS].to_pylist()]
+            for lo, texts in _parts(b.column("text")):
                 ids = encoder.encode(texts)
                 same = [encoder.decode(i) == t.replace(SPACE, " ") if check else None for i, t in zip(ids, texts, strict=True)]
                 flat = np.concatenate([np.zeros(0, np.int32), *(i.astype(np.int32) for i in ids)])
                 offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id")[lo : lo + BATCH_ROWS], pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.array(same, pa.bool_())], names=["doc_id", "ids", "round_trip"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id")[lo : lo + len(texts)], pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.array(same, pa.bool_())], names=["doc_id", "ids", "round_trip"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, round_trip boolean")
 
@@ -347,13 +354,12 @@ def digest(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(held.value)
         for b in batches:
-            for lo in range(0, b.num_rows, BATCH_ROWS):
-                texts = [t or "" for t in b.column("text")[lo : lo + BATCH_ROWS].to_pylist()]
+            for lo, texts in _parts(b.column("text")):
                 rows = []
                 for i, t in zip(encoder.encode(texts), texts, strict=True):
                     again = encoder.decode(i)
                     rows.append((len(i), hashlib.sha256(i.tobytes()).hexdigest(), hashlib.sha256(again.encode()).hexdigest(), again == t.replace(SPACE, " ")))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id")[lo : lo + BATCH_ROWS], *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string(), pa.bool_())))], names=["doc_id", "n_tokens", "ids_sha256", "text_sha256", "round_trip"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id")[lo : lo + len(texts)], *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string(), pa.bool_())))], names=["doc_id", "n_tokens", "ids_sha256", "text_sha256", "round_trip"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, text_sha256 string, round_trip boolean")
 

@@ -133,7 +133,7 @@ def test_sentencepiece_ids_and_round_trip(spark, docs):
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
-    every = [t for t in texts(docs).values() if t] + ["  a b ", "", "ßé 你好 ​ x", "   ", "😀 family", "aaaaaaaaaaaaaaa" * 9, "x\x01\ty"]
+    every = [t for t in texts(docs).values() if t] + ["  a b ", "", "ßé 你好 ​ x", "   ", "😀 family", "aaaaaaaaaaaaaaa" * 9, "x\x01\ty", "a\0b \0\0c", "ab" * 20_000, "thequickbrownfox" * 3_000]
     encoder = pieces.Encoder(pieces.load())
     for t, ids in zip(every, encoder.encode(every), strict=True):
         assert ids.tolist() == sp.encode(t) and encoder.decode(ids) == t
