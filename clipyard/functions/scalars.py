@@ -53,6 +53,22 @@ def rate(fraction: Column) -> Column:
     return F.when(d == 0, 0.0).otherwise(n / d)
 
 
+PROBE = "streams array<struct<width:int,height:int,nb_frames:string,duration:string,avg_frame_rate:string,r_frame_rate:string>>, format struct<duration:string>"
+
+
+def probe(text: Column) -> Column:
+    """struct(duration, frame_count, width, height, fps) of a probe's JSON; null without a video stream. The average rate counts where it is over 0, then the nominal one, then 25; the stream's duration, then the file's, then 0; frames are computed where they are not given."""
+    p = F.from_json(text, PROBE)
+    s = F.get(p["streams"], 0)
+    known = lambda x: F.nullif(x, F.lit(""))
+    average = F.coalesce(rate(s["avg_frame_rate"]), F.lit(0.0))
+    nominal = F.coalesce(F.nullif(rate(s["r_frame_rate"]), F.lit(0.0)), F.lit(25.0))
+    fps = F.when(average > 0, average).otherwise(nominal)
+    duration = F.coalesce(known(s["duration"]), known(p["format"]["duration"]), F.lit("0")).cast("double")
+    given = F.when(s["nb_frames"] != "N/A", known(s["nb_frames"])).cast("long")
+    return F.when(s.isNotNull(), F.struct(duration.alias("duration"), F.coalesce(given, F.bround(duration * fps).cast("long")).alias("frame_count"), s["width"].alias("width"), s["height"].alias("height"), fps.alias("fps")))
+
+
 def capitalised(x: Column) -> Column:
     return F.concat(F.upper(F.left(x, F.lit(1))), F.lower(F.substring(x, 2, 1 << 20)))
 

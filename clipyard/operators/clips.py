@@ -43,6 +43,11 @@ def talking(d: DataFrame, speech: DataFrame, tolerance: float, least_motion: flo
     return inside(mouth_motion(d), speech, ["video_id"], "time_sec", tolerance).withColumn("is_talking", F.col("inside") & F.coalesce(moving & F.col("opening").isNotNull(), F.lit(False)))
 
 
+def long_enough(videos: DataFrame, min_len: float) -> DataFrame:
+    """Videos (duration) that can hold a clip; those of unknown duration go."""
+    return videos.where(F.col("duration") >= min_len)
+
+
 def runs(d: DataFrame, rules: Rules) -> DataFrame:
     """Islands of talking samples no more than max_gap apart: track, run_id (from 0), start, end (a period after the last), n."""
     w = Window.partitionBy(*TRACK).orderBy("time_sec", "frame")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipyard.functions.scalars import trim_bounds, video_id
+from clipyard.functions.scalars import capitalised, first_containing, mapped, trim_bounds, video_id
 
 
 def download_plan(links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -35,6 +35,33 @@ def manifest_rows(files: DataFrame, audio_root: str) -> DataFrame:
     return files.select(F.concat(folder, F.lit("__"), stem).alias("key"), stem.alias("clip_id"), F.col("path").alias("video_path"), F.concat(F.lit(audio_root), F.lit("/"), folder, F.lit("/"), stem, F.lit(".wav")).alias("audio_path"), folder.alias("video_id"), p["dialect"].alias("dialect"), p["environment"].alias("environment"))
 
 
+def audio_destination(video: Column, stem: Column, nested: bool) -> Column:
+    """Where extracted audio goes: a folder per video, or flat, where stems of several videos may collide."""
+    return F.concat(video, F.lit("/"), stem, F.lit(".wav")) if nested else F.concat(stem, F.lit(".wav"))
+
+
+def collisions(dest: DataFrame) -> DataFrame:
+    """Destinations (dest) of more than one row, and of how many."""
+    return dest.groupBy("dest").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def manifest_frame(entries: DataFrame, methods: dict[str, str], dialects: list[tuple[str, str]], environments: dict[str, str], splits: dict[str, str]) -> DataFrame:
+    """One row per manifest entry, names in place of labels: dialect and environment from their field, or else from the video id; n_donors from donor_audio_paths, or else the older donor_clips."""
+    m, vid = F.col("audio_manipulation"), F.coalesce("video_id", "entry_key")
+    blank = lambda x: F.coalesce(x, F.lit("")) == ""
+    none = F.array().cast("array<string>")
+    donors = F.when(F.size(F.coalesce(m["donor_audio_paths"], none)) > 0, m["donor_audio_paths"]).otherwise(F.coalesce(m["donor_clips"], none))
+    split = lambda c: mapped(F.coalesce(F.col("splits")[c], F.lit("unknown")), splits, F.coalesce(F.col("splits")[c], F.lit("unknown"))).alias(c)
+    method = F.coalesce(m["assigned_method"], F.lit("unassigned"))
+    guessed = F.when(F.contains(F.lower(vid), F.lit("itw")) | F.contains(F.lower(vid), F.lit("interview")), "In-the-Wild").otherwise("Studio")
+    return entries.select(
+        F.col("entry_key").alias("clip_id"), F.coalesce("video_id", F.lit("unknown")).alias("video_id"),
+        F.when(blank(F.col("dialect")), first_containing(vid, dialects, capitalised(vid))).otherwise(mapped(F.col("dialect"), dict(dialects), F.col("dialect"))).alias("dialect"),
+        F.when(blank(F.col("environment")), guessed).otherwise(mapped(F.col("environment"), environments, capitalised(F.col("environment")))).alias("environment"),
+        split("protocol_1_ood"), split("protocol_2_fewshot"), mapped(method, methods, method).alias("audio_method"), F.size(donors).alias("num_donors"),
+    )
+
+
 def frame_schedule(videos: DataFrame, sample_fps: float) -> DataFrame:
     """Frames to look at, and their times: every max(1, round(fps / sample_fps))-th."""
     step = F.greatest(F.lit(1), F.bround(F.col("fps") / sample_fps)).cast("long")
@@ -55,6 +82,12 @@ def flat(s: DataFrame) -> DataFrame:
     return s.select("sample_id", "key", "video_id", "path", "dialect", "environment", text("type", "unknown"), F.when(F.col("type") == "real", 0).otherwise(1).alias("label"), text("method", "none"), text("p1", "unassigned"), text("p2", "unassigned"))
 
 
+def missing(s: DataFrame, files: DataFrame) -> DataFrame:
+    """type, n and n_missing of samples: those whose path is not among the non-empty files."""
+    found = files.where("length > 0").select("path", F.lit(True).alias("there_")).distinct()
+    return s.join(found, "path", "left").groupBy("type").agg(F.count("*").alias("n"), F.count_if(F.col("there_").isNull()).alias("n_missing"))
+
+
 def pending(tasks: DataFrame, done: DataFrame, key: str = "path") -> DataFrame:
     """Tasks whose output (path) is not among the non-empty files."""
     return tasks.join(done.where("length > 0").select(key), key, "left_anti")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clipyard.functions.scalars import capitalised, first_containing, mapped
+
 
 def crosstab(df: DataFrame, row: str, column: str, values: list[str]) -> DataFrame:
     """Counts of column values by row, in the order given, others dropped; total over what is shown."""
@@ -21,7 +23,7 @@ def box_stats(df: DataFrame, by: list[str], x: str, whisker: float = 1.5, exact:
     reach = (F.col("q3") - F.col("q1")) * whisker
     s = s.withColumns({"lo": F.col("q1") - reach, "hi": F.col("q3") + reach})
     within = F.col(x).between(F.col("lo"), F.col("hi"))
-    return df.join(F.broadcast(s), by).groupBy(*by, "q1", "median", "q3").agg(F.min(F.when(within, F.col(x))).alias("whisker_lo"), F.max(F.when(within, F.col(x))).alias("whisker_hi"), F.count_if(~within).alias("outliers"))
+    return df.join(s, by).groupBy(*by, "q1", "median", "q3").agg(F.min(F.when(within, F.col(x))).alias("whisker_lo"), F.max(F.when(within, F.col(x))).alias("whisker_hi"), F.count_if(~within).alias("outliers"))
 
 
 def density(df: DataFrame, by: str, x: str, step: float, points: int = 200) -> DataFrame:
@@ -30,10 +32,40 @@ def density(df: DataFrame, by: str, x: str, step: float, points: int = 200) -> D
     bins = df.groupBy(by, (F.round(F.col(x) / step) * step).alias("v")).agg(F.count("*").alias("m"))
     grid = s.where("h > 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("at", F.col("a") - 3 * F.col("h") + F.col("i") * (F.col("b") - F.col("a") + 6 * F.col("h")) / (points - 1))
     z = (F.col("at") - F.col("v")) / F.col("h")
-    d = grid.join(F.broadcast(bins), by).groupBy(by, "i", "at").agg((F.sum(F.col("m") * F.exp(-z * z / 2)) / F.first("n") / F.first("h") / math.sqrt(2 * math.pi)).alias("density"))
+    d = grid.join(bins, by).groupBy(by, "i", "at").agg((F.sum(F.col("m") * F.exp(-z * z / 2)) / F.first("n") / F.first("h") / math.sqrt(2 * math.pi)).alias("density"))
     return d
 
 
+def wide(df: DataFrame, row: str, cell: Column, values: list[str]) -> DataFrame:
+    """Counts by row, a column for each of the values of `cell`."""
+    return df.withColumn("cell_", cell).groupBy(row).pivot("cell_", values).count().na.fill(0)
+
+
+def transfer(df: DataFrame, dialects: list[tuple[str, str]]) -> DataFrame:
+    """Counts of dialect by donor_dialect: from the field donor_dialect, or else the donor's video id, or else one count for each of the donor clips."""
+    named = lambda x: first_containing(x, dialects, capitalised(x))
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    found = F.when(~blank("donor_dialect"), F.array(mapped(F.col("donor_dialect"), dict(dialects), F.col("donor_dialect")))).when(~blank("donor_video_id"), F.array(named(F.col("donor_video_id")))).otherwise(F.transform("donor_clips", named))
+    return df.select("dialect", F.explode(found).alias("donor_dialect")).groupBy("dialect", "donor_dialect").agg(F.count("*").alias("n"))
+
+
+def first_errors(df: DataFrame, failed: Column, order: str, n: int = 10) -> DataFrame:
+    """The first n failed rows in the order, and how many there are in all."""
+    bad = df.where(failed)
+    total = bad.agg(F.count("*").alias("n_errors"))  # one row
+    return bad.orderBy(order).limit(n).join(F.broadcast(total))
+
+
+def in_order(df: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """`by`, n and place, from 1: those of the order first, in it; where none is there, by falling count. One row per category."""
+    c = df.groupBy(by).agg(F.count("*").alias("n"))
+    wanted = F.col(by).isin(order)
+    some = c.agg(F.coalesce(F.bool_or(wanted), F.lit(False)).alias("some"))
+    c = c.join(F.broadcast(some)).where(wanted | ~F.col("some"))
+    key = F.when(F.col("some"), preferred(F.col(by), order)).otherwise(-F.col("n"))
+    return c.select(by, "n", F.row_number().over(Window.orderBy(key, by)).alias("place"))
+
+
 def preferred(x: Column, order: list[str]) -> Column:
     """Sort key: place in the order, others after."""
     at = F.array_position(F.array(*(F.lit(v) for v in order)), x)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,12 +15,16 @@ from clipyard.sources.tables import table
 DAY = 86400.0
 RULES = clips.Rules(max_gap=DAY, min_len=DAY / 2, max_len=2 * DAY, period=3600.0, min_presence=0.1, min_face=0.2, min_speech=0.0005, per_video=5)
 METHODS = ["openvoice", "seed_vc", "cosyvoice"]
-METHOD_NAMES = {"real": "Real", "openvoice": "OpenVoice", "seed_vc": "Seed-VC", "cosyvoice": "CosyVoice"}
 #: Labels and their names; rules by contained text, longest match first.
 DIALECTS = [("rep_moldova", "Rep. Moldova"), ("moldova", "Moldova"), ("muntenia", "Muntenia"), ("transilvania", "Transilvania"), ("maramures", "Maramureș"), ("oltenia", "Oltenia")]
 QUERIES, SQL = {}, {}
 
 
+def unique() -> str:
+    """A name for files of one run."""
+    return uuid.uuid4().hex
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 CATALOGUE = "Link string, Speakers string, City string, Category string, Trim string, Gender string, Dialect string"
 DETECTIONS = "source_video string, source_fps double, source_frame_count bigint, sample_fps double, confidence_threshold double, frames array<struct<frame:bigint,time_sec:double,boxes:array<struct<bbox_xyxy:array<double>,confidence:double>>>>"
-MANIFEST = "map<string,struct<key:string,clip_id:string,video_path:string,audio_path:string,video_id:string,dialect:string,environment:string,splits:struct<protocol_1_ood:string,protocol_2_fewshot:string>,audio_manipulation:struct<assigned_method:string,donor_video_id:string,donor_audio_paths:array<string>,faked_audio_path:string>>>"
+MANIFEST = "map<string,struct<key:string,clip_id:string,video_path:string,audio_path:string,video_id:string,dialect:string,environment:string,splits:struct<protocol_1_ood:string,protocol_2_fewshot:string>,audio_manipulation:struct<assigned_method:string,donor_video_id:string,donor_audio_paths:array<string>,donor_clips:array<string>,faked_audio_path:string>>>"
 IGNORED = (r"(^|/)\.cache/", r"\.tmp$", r"\.pyc$", r"(^|/)__pycache__/", r"(^|/)\.git/")
 
 
@@ -18,11 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, a temporary one, in local mode only."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return path or tempfile.mkdtemp(prefix="spark-clipyard-")
+
+
 def scratch(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder (spark.checkpoint.dir; a temporary one only where that is unset) and read again."""
+    """df written to the shared folder and read again."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-clipyard-")
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -76,8 +83,15 @@ def publishable(files: DataFrame) -> DataFrame:
     return files.where(keep)
 
 
+def write_flat(df: DataFrame, path: str, parquet: bool = True) -> None:
+    """A flat table as CSV with a header under path/csv, and as Parquet under path/parquet unless that is not wanted."""
+    df.write.option("header", True).csv(f"{path}/csv")
+    if parquet:
+        df.write.parquet(f"{path}/parquet")
+
+
 def publish(df: DataFrame, path: str) -> None:
-    """Replaces a published table as a whole: written beside, then renamed, so readers see the old or the new."""
+    """Replaces a published table as a whole: written beside, then renamed, so no reader sees a part of it. Between the two renames there is none at all: a reader that finds no table tries again. The old one goes last, so a job lost before loses nothing."""
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 def pick_up(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, job: Callable[[DataFrame], DataFrame], key: str) -> None:
     """Runs job on the files in source not yet seen and appends rows whose key target does not hold. A repeated batch appends nothing twice."""
 
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
     def one(batch: DataFrame, _: int) -> None:
         new = job(batch)
-        try:
+        if fs.exists(path):
             new = new.join(spark.read.parquet(target).select(key), key, "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
         new.write.mode("append").parquet(target)
 
     stream = spark.readStream.schema(schema).json(source)

@@ -1,16 +1,23 @@
 import oracle
 import pytest
 
-from clipyard.functions import scalars as S
 from clipyard.operators.tracking import Tracker
+from clipyard.functions import audio
+from clipyard.functions import scalars as S
+from clipyard.plans import media
 from clipyard.plans import queries as q
+from clipyard.sources import tables
+from clipyard.streaming import incremental
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(q.SQL))
+QUERIES, SQL = q.QUERIES | media.QUERIES, q.SQL | media.SQL
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_equals_sql(spark, name):
-    assert oracle.compare(oracle.connect(SF), q.QUERIES[name](spark, SF), q.SQL[name]) is None
+    assert oracle.compare(oracle.connect(SF), QUERIES[name](spark, SF), SQL[name]) is None
 
 
 def test_tracker_ties_gaps_and_thresholds():
@@ -25,3 +32,49 @@ def test_tracker_ties_gaps_and_thresholds():
 def test_known_values(spark):
     row = spark.sql("SELECT '1:10:30-1:21:47' AS t, '1:24:7:41' AS u, 'https://youtu.be/frBTWyXiPF0?si=x' AS v").select(S.trim_bounds(S.F.col("t")), S.trim_bounds(S.F.col("u")), S.video_id(S.F.col("v"))).first()
     assert tuple(row[0]) == (4230.0, 4907.0, True) and row[1]["ok"] is False and row[2] == "frBTWyXiPF0"
+
+
+def test_sound_round_trips():
+    import numpy as np
+
+    t = np.arange(8000) / 8000
+    x = 0.5 * np.sin(2 * np.pi * 440 * t)
+    got, rate = audio.decoded(audio.encoded(x, 8000, 1))
+    assert rate == 8000 and np.abs(got - x).max() < 1e-4
+    up = audio.resampled(x, 8000, 16000)
+    want = 0.5 * np.sin(2 * np.pi * 440 * np.arange(16000) / 16000)
+    assert len(up) == 16000 and np.abs(up - want)[200:-200].max() < 5e-3
+    centroid, roll, cross = audio.spectrum_of(want, 16000)
+    assert 430 < centroid < 560 and 430 < roll < 460 and abs(cross - 880 / 16000) < 0.004
+    assert audio.header(b"RIFF") is None and audio.header(None) is None and audio.decoded(b"RIFFxxxxWAVEfmt ") is None
+
+
+def test_publish_replaces_and_flat_tables_read_back(spark, tmp_path):
+    d = spark.createDataFrame([(1, "a"), (2, None)], "k int, v string")
+    path = f"{tmp_path}/t"
+    tables.publish(d, path)
+    tables.publish(d.where("k = 2"), path)
+    assert [r["k"] for r in spark.read.parquet(path).collect()] == [2] and [p.name for p in tmp_path.iterdir()] == ["t"]
+    tables.write_flat(d, f"{tmp_path}/flat")
+    csv = spark.read.option("header", True).csv(f"{tmp_path}/flat/csv")
+    assert sorted((int(r["k"]), r["v"]) for r in csv.collect()) == [(1, "a"), (2, None)] and spark.read.parquet(f"{tmp_path}/flat/parquet").count() == 2
+
+
+def test_new_files_are_picked_up_once(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    run = lambda: incremental.pick_up(spark, str(source), "k int", f"{tmp_path}/out", f"{tmp_path}/seen", lambda b: b.distinct(), "k")
+    (source / "a.json").write_text('{"k": 1}\n{"k": 2}\n')
+    run()
+    (source / "b.json").write_text('{"k": 2}\n{"k": 3}\n')
+    run()
+    run()
+    assert sorted(r["k"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 2, 3]
+
+
+def test_timelines_are_read_from_nested_folders(spark, tmp_path):
+    for name, frames in (("a", '[{"frame": 0, "time_sec": 0.0, "boxes": [{"bbox_xyxy": [1, 2, 3, 4], "confidence": 0.9}]}, {"frame": 5, "time_sec": 0.2, "boxes": []}]'), ("b", "[]")):
+        (tmp_path / name / "x").mkdir(parents=True)
+        (tmp_path / name / "x" / "detections.json").write_text(f'{{"source_video": "{name}", "frames": {frames}}}')
+    got = tables.flattened(tables.timelines(spark, str(tmp_path))).orderBy("video_id", "sample_idx").collect()
+    assert [(r["video_id"], r["sample_idx"], r["x1"]) for r in got] == [("a", 0, 1.0), ("a", 1, None), ("b", None, None)]
