@@ -15,12 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset (local mode)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder; where neither is set, a folder of our own, in local mode only."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-clipyard-"))
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
     return held.get()

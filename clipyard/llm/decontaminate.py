@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from clipyard.llm.common import gram_hashes, prefix_hash, span_hash, table
 
-GRAM, MATCH, MISMATCH, GAP, THRESHOLD = 4, 1, -1, -1, 0.5
+GRAM, MATCH, MISMATCH, GAP, THRESHOLD = 3, 1, -1, -1, 0.5
 BLOCK_CHARS = 16 << 20
 _FOLD = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i > 127 else 32 for i in range(256))
 

@@ -1,9 +1,9 @@
 """Operator 3. Language of a text: the nearest of several TF-IDF centroids per language, by cosine.
 
 Features are counts of character n-grams (n = 1, 2, 3 over lower-cased text, runs of non-letters as one space) in
-hashed buckets, log-damped, times IDF, normalised. Each language gets up to `per_language` centroids by spherical
-k-means, so that prose, upper-case noise or short lines of one language need not share one mean. A text whose best
-cosine is below its centroid's radius (the lowest cosine of that language's training rows, less a margin) is rejected.
+hashed buckets, log-damped, times IDF, normalised. Each language gets up to `per_language` centroids by bisecting
+spherical k-means, so that prose, upper-case noise or short lines of one language need not share one mean. A text whose best
+cosine is below its centroid's radius (`margin` times the cosine that all but LOW of the centroid's training rows reach) is rejected.
 
 The classifier is fitted on a bounded sample of labelled rows (`sample_rows`, chosen by hash of doc_id, whole texts);
 prediction covers every row.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from clipyard.llm.common import mix, table
 
-BUCKETS, PER_LANGUAGE, SAMPLE_ROWS, LEAST_ROWS, MARGIN = 4096, 4, 3000, 15, 0.5
+BUCKETS, PER_LANGUAGE, SAMPLE_ROWS, LEAST_ROWS, LEAST_SHARE, LOW, MARGIN = 4096, 4, 3000, 15, 0.05, 0.01, 0.5
 UNKNOWN = "und"
 _ASCII_LETTER = re.compile("[A-Za-z]")
 _PIECE = 1 << 20
@@ -78,21 +78,36 @@ class Model:
 
 
 def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means from farthest-first seeds; rows of x are unit vectors."""
-    centers = [x.mean(axis=0)]
-    near = x @ centers[0]
-    for _ in range(min(k, len(x)) - 1):
-        centers.append(x[int(np.argmin(near))])
-        near = np.maximum(near, x @ centers[-1])
-    c = np.array(centers)
-    for _ in range(rounds):
-        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-        own = np.argmax(x @ c.T, axis=1)
-        c = np.array([x[own == i].mean(axis=0) if (own == i).any() else c[i] for i in range(len(c))])
-    c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-    own = np.argmax(x @ c.T, axis=1)
-    used = [i for i in range(len(c)) if (own == i).any()]
-    c = c[used]
+    """Bisecting spherical k-means; rows of x are unit vectors. The cluster whose rows are farthest from its centroid in sum is cut in two, from the two halves of its main axis, unless that leaves less than LEAST_SHARE of all rows on one side; so no centroid stands for a single odd text."""
+
+    def centroid(rows: np.ndarray) -> np.ndarray:
+        c = x[rows].mean(axis=0)
+        return c / max(float(np.linalg.norm(c)), 1e-12)
+
+    least = max(1, int(np.ceil(LEAST_SHARE * len(x))))
+    parts, whole = [np.arange(len(x))], set()
+    while len(parts) < k:
+        spread = [-1.0 if i in whole or len(p) < 2 * least else float((1 - x[p] @ centroid(p)).sum()) for i, p in enumerate(parts)]
+        at = int(np.argmax(spread))
+        if spread[at] <= 1e-9:
+            break
+        p = parts[at]
+        rest = x[p] - x[p].mean(axis=0)
+        axis = rest[int(np.argmax((rest * rest).sum(axis=1)))]
+        for _ in range(8):
+            axis = rest.T @ (rest @ axis)
+            axis /= max(float(np.linalg.norm(axis)), 1e-12)
+        side = rest @ axis > 0
+        for _ in range(rounds):
+            if not side.any() or side.all():
+                break
+            side = x[p] @ centroid(p[side]) > x[p] @ centroid(p[~side])
+        if min(side.sum(), (~side).sum()) < least:
+            whole.add(at)
+            continue
+        parts[at] = p[side]
+        parts.append(p[~side])
+    c = np.array([centroid(p) for p in parts])
     return c, np.argmax(x @ c.T, axis=1)
 
 
@@ -127,7 +142,7 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, per_language: int =
         for i in range(len(c)):
             centroids.append(c[i])
             labels.append(lang)
-            radius.append(max(0.0, float(near[at == i].min()) * margin))
+            radius.append(max(0.0, float(np.quantile(near[at == i], LOW)) * margin) if (at == i).any() else 0.0)
     return Model(idf, np.array(centroids, np.float32), tuple(labels), np.array(radius))
 
 

@@ -30,7 +30,7 @@ from clipyard.llm.common import mix, partitions, prefix_hash, row_key, scratch,
 
 LENGTH, GRAM = 200, 64
 _CHUNK = 1 << 22
-_RUN = 200_000
+_RUN, _RANGE = 200_000, 20_000
 
 
 def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -311,9 +311,10 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     found = keyed.mapInArrow(_emit_anchors(length, gram), "h long, known boolean, lead long, k_id long, k_text long, at long, left int, more int")
     twice = F.col("known") | (F.count("*").over(Window.partitionBy("h")) > 1)
     again = scratch(found.withColumn("twice", twice).where("twice").select("k_id", "k_text", "lead", "at", "left", "more"), "suffix-anchors")
-    stats = again.agg(F.count("*").alias("n"), F.percentile_approx("lead", [i / 512 for i in range(1, 512)], 5000).alias("cuts")).first()
-    ranges = max(1, min(512, max(partitions(spark), stats["n"] // 20_000)))
-    cuts = sorted(set((stats["cuts"] or [])[:: max(1, 512 // ranges)]))
+    # As many ranges as the rows ask for: about _RANGE suffixes each.
+    ranges = max(1, partitions(spark), again.count() // _RANGE)
+    points = [i / ranges for i in range(1, ranges)]
+    cuts = sorted(set(again.agg(F.percentile_approx("lead", points, 20 * ranges).alias("cuts")).first()["cuts"] or [])) if points else []
     own = again.groupBy("k_id", "k_text").agg(F.collect_list(F.struct("at", "left", "more")).alias("where"))
     blocks = keyed.join(own, ["k_id", "k_text"]).mapInArrow(_emit_runs(length, cuts), "dest int, block binary")
     spans = blocks.repartition(len(cuts) + 1, "dest").sortWithinPartitions("dest").mapInArrow(_emit_repeats(length, gram), "k_id long, k_text long, first long, last long")

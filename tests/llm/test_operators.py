@@ -84,6 +84,16 @@ def test_language_on_held_out_rows(spark, docs):
     assert sum(r["lang"] == r["lang_pred"] for r in out) >= 0.95 * len(out)
 
 
+def test_language_clusters_and_rejection(spark, docs):
+    model = langid.fit(docs.where(~langid.held_out()))
+    assert all(model.labels.count(lang) >= 2 for lang in set(model.labels))
+    other = ["Съешь же ещё этих мягких французских булок да выпей чаю, и пусть всё будет хорошо в этом доме", "我能吞下玻璃而不伤身体，这是一个很长的句子，用来测试语言识别的拒绝", "zxqj kvvw qqpz xkcd vbnm hjkl zzzz wqwq xvxv jjkk ppqq zzxx", "12345 6789"]
+    got = langid.predict(spark.createDataFrame(list(enumerate(other)), "doc_id long, text string"), model).collect()
+    assert all(r["rejected"] for r in got)
+    known = langid.predict(docs.where(langid.held_out()), model).where("lang_pred = lang AND length(text) > 20")
+    assert known.where("rejected").count() <= 0.02 * known.count()
+
+
 def test_language_learns_every_language(spark):
     rows = [(i * 10 + k, f"l{i:03}", " ".join([chr(0x4E00 + i) * 3, chr(0x4E00 + i) * 2, "abc"[: k % 3]])) for i in range(230) for k in range(10)]
     d = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(4)
@@ -186,6 +196,24 @@ def test_decontamination_finds_edited_copies_beside_a_verbatim_one(spark):
     assert set(got) == set(range(1, 8)) and got[1] == 1 and all(got[i] >= 26 / 40 for i in range(2, 8))
 
 
+@pytest.mark.parametrize("percent", [0, 5, 10, 15, 20])
+def test_decontamination_recall_of_edited_copies(percent):
+    rng = random.Random(percent)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    items = [[word() for _ in range(40)] for _ in range(60)]
+    held = decontaminate.items_of([(i, " ".join(w)) for i, w in enumerate(items)])
+    found = 0
+    for i, w in enumerate(items):
+        copy = list(w)
+        for k in rng.sample(range(40), 40 * percent // 100):
+            copy[k] = word()
+        text = " ".join([*(word() for _ in range(30)), *copy, *(word() for _ in range(30))])
+        own = decontaminate.words(text)[0]
+        best = max([decontaminate.align(held.words[j], own[lo:hi][None])[0][0] / 40 for j, lo, hi in decontaminate._passages(own, held, decontaminate.GRAM) if j == i], default=0)
+        found += best >= decontaminate.THRESHOLD
+    assert found >= 0.9 * len(items)
+
+
 def test_chains_find_an_edited_passage(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
