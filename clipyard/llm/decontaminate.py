@@ -1,8 +1,8 @@
 """Operator 2. Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment over words.
 
 Every n-gram of a test item is a seed. None is left out for being common in the corpus: how often an n-gram stands
-there depends on how often, and how whole, its item leaked. Where seeds of an item stand close together in a text, the
-passage around them is aligned with the item, edits and gaps allowed; the score over the item's length decides.
+there depends on how often, and how whole, its item leaked. Where two seeds of an item stand close together in a text (two
+trigrams: all that share four words in a row do, and most copies with a fifth of the words changed), the passage around them is aligned with the item, edits and gaps allowed; the score over the item's length decides.
 
 The items are held in memory in blocks of at most `BLOCK_CHARS` characters; each block is searched in all texts, so a
 large benchmark takes more passes and not more memory. Nothing of the corpus is shuffled.
@@ -85,7 +85,7 @@ def align(item: np.ndarray, passages: np.ndarray, match: int = MATCH, mismatch:
 
 
 def _passages(own: np.ndarray, items: Items, gram: int) -> Iterator[tuple[int, int, int]]:
-    """(item, first word, end) of the stretches around its seeds, each as long as the item with half of it to spare on both sides; close ones are one."""
+    """(item, first word, end) of the stretches around two of its seeds or more (one, where it has no more), each as long as the item with half of it to spare on both sides; close ones are one."""
     grams = gram_hashes(own, gram)
     at = _hits(grams, items.seeds)
     if not len(at):
@@ -98,6 +98,8 @@ def _passages(own: np.ndarray, items: Items, gram: int) -> Iterator[tuple[int, i
     first = np.flatnonzero(np.concatenate([[True], (item[1:] != item[:-1]) | (start[1:] - start[:-1] > np.array([len(items.words[i]) // 2 + 1 for i in item[1:]]))]))
     for a, b in zip(first, np.append(first[1:], len(item)), strict=True):
         n = len(items.words[item[a]])
+        if b - a < min(2, n - gram + 1):
+            continue
         yield int(item[a]), max(0, int(start[a]) - n // 2 - 1), min(len(own), int(start[b - 1]) + n + n // 2 + 1)
 
 
