@@ -73,20 +73,93 @@ FORMS = (
     (r"licen[cs]e[sd]? (?:is |as |type )?(?:the )?X\b", "licen", 4, 0.8),
     (r"\bX licen[cs]e\b", "licen", 5, 0.75),
 )
-#: Whole sentences of well-known texts: label, keyword, expression.
+#: Sentences of well-known texts and notices: label, keyword, expression over single-spaced words.
 TEXTS = (
-    ("mit", "permission is hereby", r"permission is hereby granted free of charge to any person obtaining a copy"),
-    ("isc", "permission to use", r"permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee"),
-    ("bsd", "redistribution and use", r"redistribution and use in source and binary forms with or without modification"),
-    ("apache-2", "apache org", r"www apache org licenses license 2 0"),
-    ("gpl", "gnu org", r"www gnu org licenses(?: gpl)?"),
+    ("mit", "permission is hereby", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "permission is hereby", r"permission is hereby granted free of charge to any person obtaining a copy(?! of this software)"),
+    ("mit", "substantial portions", r"(?:the )?above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit-0", "without restriction", r"deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so the software is provided as is"),
+    ("isc", "permission to use", r"permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted provided that"),
+    ("0bsd", "permission to use", r"permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted the software is provided"),
+    ("isc", "permission to use", r"permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee(?! is hereby granted)"),
+    ("hpnd", "permission to use", r"permission to use copy modify and distribute this software and its documentation for any purpose (?:and )?without fee is hereby granted"),
+    ("postgresql", "written agreement", r"for any purpose without fee and without a written agreement is hereby granted"),
+    ("bsd", "redistribution and use", r"redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd-3-clause", "endorse or promote", r"neither the names? of .{0,200}?may be used to endorse or promote products derived from this software"),
+    ("bsd-4-clause", "advertising materials", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("bsd-clear", "express or implied licenses", r"no express or implied licenses to any party s patent rights are granted by this license"),
+    ("apache-1.1", "apache software foundation", r"this product includes software developed by the apache software foundation"),
+    ("apache-2", "apache org", r"(?:www )?apache org licenses license 2 0"),
+    ("apache-2", "apache license", r"licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
+    ("apache-2", "apache license", r"apache license version 2 0 january 2004"),
+    ("llvm-exception", "llvm exception", r"(?:with|and) (?:the )?llvm exceptions?"),
+    ("gpl", "gnu org", r"(?:www )?gnu org licenses(?: gpl)?"),
+    ("gpl-1-or-later", "redistribute it", r"redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 1(?: of the license)? or at your option any later version"),
+    ("gpl-2-or-later", "redistribute it", r"redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2(?: of the license)? or at your option any later version"),
+    ("gpl-3-or-later", "redistribute it", r"redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3(?: of the license)? or at your option any later version"),
+    ("gpl-2", "redistribute it", r"redistribute it and or modify it under the terms of (?:version 2 of )?the gnu general public license(?: version 2)? (?:as published by the free software foundation )?version 2"),
     ("gpl", "redistribute it", r"redistribute it and or modify it under the terms of the gnu general public license"),
+    ("lgpl-2.1-or-later", "redistribute it", r"redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1(?: of the license)? or at your option any later version"),
+    ("lgpl-3-or-later", "redistribute it", r"redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3(?: of the license)? or at your option any later version"),
+    ("lgpl-2-or-later", "redistribute it", r"redistribute it and or modify it under the terms of the gnu library general public license as published by the free software foundation either version 2(?: of the license)? or at your option any later version"),
+    ("lgpl", "redistribute it", r"redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
+    ("agpl-3-or-later", "redistribute it", r"redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3(?: of the license)? or at your option any later version"),
+    ("agpl", "redistribute it", r"redistribute it and or modify it under the terms of the gnu affero general public license"),
+    ("gpl", "general public license along with", r"you should have received a copy of the gnu general public license along with"),
+    ("lgpl", "general public license along with", r"you should have received a copy of the gnu (?:lesser|library) general public license along with"),
+    ("agpl", "general public license along with", r"you should have received a copy of the gnu affero general public license along with"),
+    ("gpl", "everyone is permitted", r"everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"),
+    ("gfdl", "copy distribute and or modify", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("gpl-classpath-exception", "classpath exception", r"(?:with|and) (?:the )?classpath exception"),
+    ("gpl-linking-exception", "special exception", r"as a special exception the copyright holders (?:of this library )?give you permission to link"),
+    ("mpl-1.1", "mozilla public license", r"the contents of this file are subject to the mozilla public license version 1 1"),
+    ("mpl-2", "mozilla public license", r"this source code form is subject to the terms of the mozilla public license v(?:ersion)? 2 0"),
+    ("mpl", "mozilla org", r"(?:www )?mozilla org mpl"),
+    ("epl-1", "eclipse public license", r"made available under the terms of the eclipse public license v(?:ersion)? 1 0"),
+    ("epl-2", "eclipse public license", r"made available under the terms of the eclipse public license (?:v(?:ersion)? )?2 0"),
+    ("epl", "eclipse org", r"(?:www )?eclipse org legal epl"),
+    ("cddl", "common development and distribution", r"subject to the terms of the common development and distribution license"),
+    ("cpl-1", "common public license", r"(?:under the terms of )?the common public license(?: v(?:ersion)?)? 1 0"),
+    ("ms-pl", "microsoft public license", r"microsoft public license(?: ms pl)?"),
+    ("ms-rl", "microsoft reciprocal license", r"microsoft reciprocal license(?: ms rl)?"),
+    ("artistic", "artistic license", r"under the (?:same )?terms (?:of|as) (?:the )?(?:perl )?artistic license"),
+    ("perl", "same terms as perl", r"under the same terms as perl(?: itself)?"),
+    ("ruby", "same terms as ruby", r"under the same terms as ruby(?: itself)?"),
+    ("zlib", "altered source versions", r"altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("zlib", "as is without any express", r"this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
+    ("boost", "boost software license", r"distributed under the boost software license version 1 0"),
+    ("ncsa", "deal with the software", r"to deal with the software without restriction"),
+    ("openssl", "openssl toolkit", r"developed by the openssl project for use in the openssl toolkit"),
+    ("ofl", "open font license", r"this font software is licensed under the sil open font license version 1 1"),
+    ("python", "python software foundation", r"python software foundation license version 2"),
+    ("php-3.01", "php license", r"subject to version 3 01? of the php license"),
+    ("w3c", "w3c software", r"w3c software (?:notice and|and document) license"),
+    ("json", "good not evil", r"the software shall be used for good not evil"),
+    ("beerware", "buy me a beer", r"you can buy me a beer in return"),
+    ("wtfpl", "what the", r"do what the f[a-z]{3} you want to(?: public license)?"),
     ("unlicense", "public domain", r"free and unencumbered software released into the public domain"),
+    ("cc0", "waived all copyright", r"has waived all copyright and related or neighboring rights"),
+    ("cc0", "creativecommons org", r"creativecommons org publicdomain zero 1 0"),
+    ("cc-by-sa", "creativecommons org", r"creativecommons org licenses by sa(?: [1-4] [05])?"),
+    ("cc-by-nc-sa", "creativecommons org", r"creativecommons org licenses by nc sa(?: [1-4] [05])?"),
+    ("cc-by-nc-nd", "creativecommons org", r"creativecommons org licenses by nc nd(?: [1-4] [05])?"),
+    ("cc-by-nc", "creativecommons org", r"creativecommons org licenses by nc(?! (?:sa|nd))(?: [1-4] [05])?"),
+    ("cc-by-nd", "creativecommons org", r"creativecommons org licenses by nd(?: [1-4] [05])?"),
+    ("cc-by", "creativecommons org", r"creativecommons org licenses by(?! (?:nc|nd|sa))(?: [1-4] [05])?"),
     ("public-domain", "public domain", r"(?:in|into|to) the public domain"),
+    ("public-domain", "no copyright is claimed", r"no copyright is claimed"),
+    ("no-derivatives", "no derivative works", r"no derivative works (?:are )?(?:permitted|allowed)"),
+    ("non-commercial", "commercial use", r"(?:for )?non ?commercial use only|commercial use is (?:not permitted|prohibited|forbidden)|not for commercial use"),
+    ("research-only", "research", r"(?:for )?(?:academic (?:and|or) )?research (?:purposes|use) only"),
+    ("proprietary", "confidential", r"(?:proprietary and confidential|confidential and proprietary)"),
+    ("proprietary", "strictly prohibited", r"unauthori[sz]ed (?:copying|use|reproduction|distribution)[a-z ]{0,120}is strictly prohibited"),
+    ("proprietary", "may be reproduced", r"no part of this (?:publication|work|document|book) may be reproduced"),
+    ("proprietary", "written permission", r"without (?:the )?(?:express |prior )*written permission of"),
     ("all-rights-reserved", "all rights", r"all rights (?:are )?reserved"),
+    ("dual", "dual licensed", r"dual licensed under"),
 )
 #: One of these stands in every match: keywords of the forms and of TEXTS.
-GATE = ("licen", *(f"{w} under" for w in ("released", "distributed", "available", "published", "provided", "shared")), *(key for _, key, _ in TEXTS))
+GATE = ("licen", *(f"{w} under" for w in ("released", "distributed", "available", "published", "provided", "shared")), *dict.fromkeys(key for _, key, _ in TEXTS))
 
 
 def rules() -> list[dict]:

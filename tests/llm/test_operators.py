@@ -132,7 +132,9 @@ def test_licenses_against_an_ungated_scan(spark, docs):
     far = " ".join(f"w{i}" for i in range(17))
     odd = [
         "Released under Apache 2.0", "distributed under the BSD 3-Clause", f"license {far} released under the terms of the GNU General Public License version 2", "published under attribution share alike 4.0",
-        "released under zero clause BSD", "licensed under Responsible AI", "provided under open data commons attribution license", "redistribute it and/or modify it under the terms of the GNU General Public License", f"GPL license {far} {far} {far} licensed under the GPL version 3, MIT license MIT license",
+        "released under zero clause BSD", "licensed under Responsible AI", "provided under open data commons attribution license", "redistribute it and/or modify it under the terms of the GNU General Public License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software)",
+        "modify it under: redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "https://creativecommons.org/licenses/by-nc-sa/4.0/ and https://creativecommons.org/licenses/by/3.0/",
+        "Neither the name of the Foo Bar Institute nor the names of its contributors may be used to endorse or promote products derived from this software", "Unauthorized copying of this file, via any medium is strictly prohibited. Proprietary and confidential", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", f"GPL license {far} {far} {far} licensed under the GPL version 3, MIT license MIT license",
     ]
     every = {i: t for i, t in enumerate(odd)} | {1000 + i: t for i, t in list(texts(docs).items())[:400]}
     got = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame(list(every.items()), "doc_id long, text string")).collect()}
