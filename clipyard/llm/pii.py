@@ -247,7 +247,7 @@ def spans_digest(kinds: list[int], starts: list[int], ends: list[int]) -> str:
 def find(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT, window: int = WINDOW) -> DataFrame:
     """doc_id, base_kinds, base_starts, base_ends, kinds, starts, ends: base spans, then all spans by start, then kind; one row per row of docs. A null text is empty."""
     found = scratch(detect_base(docs, window), "pii-found")
-    terms = disclosed_in(docs, disclosing_terms(docs, found, alpha, support))
+    terms = scratch(disclosed_in(docs, disclosing_terms(docs, found, alpha, support)), "pii-terms")  # a table of known size, so that few terms are sent to the texts
     keyed = docs.select("text", *row_key())
     spans = scratch(keyed.join(terms, ["k_id", "k_text"]).mapInArrow(_term_spans, "k_id long, k_text long, t_starts array<int>, t_ends array<int>"), "pii-spans").dropDuplicates(["k_id", "k_text"])
     own = F.arrays_zip("starts", "kinds", "ends")
