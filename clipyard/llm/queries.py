@@ -3,4 +3,4 @@
 from clipyard.llm import chains, decontaminate, fingerprints, langid, licenses, ngram_join, pieces, pii, suffix_dedup, warc
 
 QUERIES = {f.__name__: f for f in (pii.op1_pii, decontaminate.op2_decontaminate, langid.op3_langid, licenses.op4_licenses, pieces.op5_sentencepiece, suffix_dedup.op6_suffix_dedup, ngram_join.op7_ngram_join, fingerprints.op8_fingerprints, chains.op9_chains, warc.op10_warc)}
-SQL = {"op10_warc": warc.ORACLE}
+SQL = {"op6_suffix_dedup": suffix_dedup.ORACLE, "op7_ngram_join": ngram_join.ORACLE, "op10_warc": warc.ORACLE}

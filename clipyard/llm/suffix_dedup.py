@@ -362,5 +362,19 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
 
 
+ORACLE = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS x, encode(coalesce(text, '')) AS y FROM documents),
+w AS (SELECT r, unnest(range(0, len(x) // 2 - 199)) AS i, y FROM d WHERE len(x) >= 400),
+h AS (SELECT r, i, md5_number(array_slice(y, i + 1, i + 200)) AS h FROM w),
+a AS (SELECT r, i FROM h WHERE h IN (SELECT h FROM h GROUP BY h HAVING count(*) > 1)),
+b AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 0 ELSE 1 END AS new FROM a),
+c AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM b),
+s AS (SELECT r, k, min(i) AS lo, max(i) + 200 AS hi FROM c GROUP BY ALL),
+g AS (SELECT s.*, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS prev FROM s),
+t AS (SELECT r, sum(hi - lo) AS gone, count(*) AS n, string_agg(substr(x, 2 * prev + 1, 2 * (lo - prev)), '' ORDER BY lo) AS kept, max(hi) AS tail FROM g JOIN d USING (r) GROUP BY 1)
+SELECT doc_id, len(x) // 2 AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(tail, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN t USING (r)
+"""
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents")).drop("kept")

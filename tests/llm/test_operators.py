@@ -183,6 +183,11 @@ def test_ngram_join_by_brute_force(docs):
     assert got == {i: (len(s), find(i)) for i, s in sets.items()}
 
 
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_equals_sql(spark, name):
+    assert oracle.compare(oracle.connect(SF), queries.QUERIES[name](spark, SF), queries.SQL[name]) is None
+
+
 def test_decontamination_finds_every_exact_passage(spark, docs):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()}
@@ -305,7 +310,6 @@ def test_warc_by_sql(spark):
     d = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = sorted((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.read(warc.write(warc.plan(d))).collect())
     assert got[:3] == [(1, "revisit", 3, 1203), (2, "revisit", 3, 1203), (3, "response", None, 1203)] and all(g[1] == "response" for g in got[3:])
-    assert oracle.compare(oracle.connect(SF), queries.QUERIES["op10_warc"](spark, SF), queries.SQL["op10_warc"]) is None
 
 
 RUNS = {
