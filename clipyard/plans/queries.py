@@ -177,7 +177,10 @@ def nearest_detection(spark: SparkSession, d: str) -> DataFrame:
     return intervals.nearest(det.select("video_id", "frame"), det.where("is_talking").select("video_id", "frame", "confidence"), ["video_id"], 200, "confidence").select("frame", "near_frame")
 
 
-@query()
+@query(f"""WITH {DET}, w AS (SELECT video_id, track_id, frame, time_sec AS s, time_sec + 43200.0::DOUBLE + confidence * 86400.0::DOUBLE AS e, confidence AS c FROM det WHERE is_talking),
+l AS (SELECT video_id, track_id, list([{{'frame': frame, 's': s, 'e': e, 'c': c}}] ORDER BY c DESC, s, frame) AS l FROM w GROUP BY ALL),
+k AS (SELECT video_id, track_id, unnest(list_reduce(l, lambda a, x: CASE WHEN len(list_filter(a, lambda y: y.s < x[1].e AND x[1].s < y.e)) > 0 THEN a ELSE list_concat(a, x) END)) AS k FROM l)
+SELECT video_id, track_id, k.frame AS frame, k.s AS start, k.e AS "end", k.c AS confidence FROM k""")
 def suppress_overlaps(spark: SparkSession, d: str) -> DataFrame:
     """Windows of half a day to two days after each talking sample overlap; the best by confidence stay."""
     w = detections(spark, d).where("is_talking").select("video_id", "track_id", "frame", F.col("time_sec").alias("start"), (F.col("time_sec") + DAY / 2 + F.col("confidence") * DAY).alias("end"), "confidence")
