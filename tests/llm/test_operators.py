@@ -291,21 +291,6 @@ def test_chains_find_a_passage_whose_parts_stand_in_earlier_documents(spark):
     assert got[7] and got[9] and got[10]
 
 
-def test_chains_of_frequent_seeds_are_the_same(spark, monkeypatch):
-    rng = random.Random(31)
-    some = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
-    common, halves = some(70), [some(30), some(30)]
-    every = [f"{some(40)} {common} {some(rng.randrange(60))}" for _ in range(40)] + [f"{some(20)} {halves[0]}" for _ in range(5)] + [f"{halves[1]} {some(20)}" for _ in range(5)] + [f"{some(20)} {' '.join(halves)} {some(20)}" for _ in range(6)] + [common] * 12
-    d = spark.createDataFrame(list(enumerate(every)), "doc_id long, text string")
-    want = sorted(map(tuple, chains.passages(d).collect()))
-    assert len(want) > 50
-    for keys in (8, 60, 4096):
-        monkeypatch.setattr(chains, "HOT_KEYS", keys)
-        monkeypatch.setattr(chains, "HOT_LEAST", 1)
-        monkeypatch.setattr(chains, "HOT_SAMPLE", 1)
-        assert sorted(map(tuple, chains.passages(d).collect())) == want
-
-
 def test_fingerprint_ranges_by_bisection(spark):
     from bisect import bisect_left
 
