@@ -94,15 +94,18 @@ def quality(d: DataFrame, speech: DataFrame, cuts: DataFrame, rules: Rules) -> D
 
 
 def suppressed(w: DataFrame, order: list[Column]) -> DataFrame:
-    """Of each track's windows, best first, those that overlap no better kept one (ends may touch)."""
-    ranked = w.withColumn("rank_", F.row_number().over(Window.partitionBy(*TRACK).orderBy(*order)))
+    """Of each track's windows, best first, those that overlap no better kept one (ends may touch). Windows are gathered by stretches of a track that no window crosses the end of."""
+    by_time = Window.partitionBy(*TRACK).orderBy("start", "end")
+    apart = F.col("start") >= F.max("end").over(by_time.rowsBetween(Window.unboundedPreceding, -1))
+    cut = w.withColumn("apart_", apart.cast("int")).withColumn("stretch_", F.coalesce(F.sum("apart_").over(by_time.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))).drop("apart_")
+    ranked = cut.withColumn("rank_", F.row_number().over(Window.partitionBy(*TRACK, "stretch_").orderBy(*order)))
     item = F.struct("rank_", *(c for c in w.columns if c not in TRACK))
     kept = F.aggregate(
         F.array_sort(F.collect_list(item)),
         F.filter(F.array_sort(F.collect_list(item)), lambda x: F.lit(False)),
         lambda acc, c: F.when(F.exists(acc, lambda k: (k["start"] < c["end"]) & (c["start"] < k["end"])), acc).otherwise(F.concat(acc, F.array(c))),
     )
-    return ranked.groupBy(*TRACK).agg(kept.alias("k")).select(*TRACK, F.inline("k")).select(*w.columns)
+    return ranked.groupBy(*TRACK, "stretch_").agg(kept.alias("k")).select(*TRACK, F.inline("k")).select(*w.columns)
 
 
 ROUNDED = {"talking": 4, "speech": 4, "face": 4, "presence": 4}
