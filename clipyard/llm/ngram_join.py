@@ -373,17 +373,22 @@ def similar(docs: DataFrame, n: int, percent: int) -> DataFrame:
         rest = met.where("met > 2").join(roots, "node", "left").select("h", "node", "n", "met", F.coalesce("root", "node").alias("comp"))
         return rest.withColumns({"lo": F.min("comp").over(w), "hi": F.max("comp").over(w)}).where("lo <> hi").drop("lo", "hi")
 
+    def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+        """Links with the same components as all that gave roots, and these: of a component settled before, each node keeps one link."""
+        return roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(links)
+
     pair = lambda x, y: (F.least(x, y).alias("u"), F.greatest(x, y).alias("v"))
     stars = bounded(met.where("node <> leader.node").where(100 * F.least("n", "leader.n") >= percent * F.greatest("n", "leader.n")).select(*pair("node", "leader.node")).distinct(), "ngram-stars")
     links = scratch(_verify(docs, reps, stars, n, percent), "ngram-links")
-    apart = scratch(across(components(links)).select("node", "comp").distinct(), "ngram-apart")
+    roots = components(links)
+    apart = scratch(across(roots).select("node", "comp").distinct(), "ngram-apart")
 
     keyed = apart.join(nodes.select("node", "keys"), "node").select("node", "comp", F.explode("keys").alias("key"))
     ends = keyed.groupBy("key").agg(F.min(F.struct("node", "comp")).alias("a"), F.max(F.struct("node", "comp")).alias("b")).where("a.node <> b.node")
     led = keyed.join(ends, "key").select("node", "comp", F.explode(F.array("a", "b")).alias("x")).where("comp <> x.comp")
     more_stars = bounded(led.select(*pair("node", "x.node")).distinct().join(stars, ["u", "v"], "left_anti"), "ngram-more-stars")
-    links = scratch(links.union(_verify(docs, reps, more_stars, n, percent)), "ngram-links")
-    rest = across(components(links))
+    roots = components(joined(roots, _verify(docs, reps, more_stars, n, percent)))
+    rest = across(roots)
 
     # Bands of sizes by powers of two: a row's partners of no greater size are in its own band, or in those below down to that of percent of its size.
     in_band = lambda x: F.length(F.bin(x))
@@ -400,8 +405,7 @@ def similar(docs: DataFrame, n: int, percent: int) -> DataFrame:
     keys = ["h", "band", "slice"]
     crossed = placed.repartition(partitions(spark), *keys).sortWithinPartitions(*keys, "role").mapInArrow(_trees(percent), "u long, v long").distinct()
     crossed = scratch(crossed.join(stars.union(more_stars), ["u", "v"], "left_anti"), "ngram-crossed")
-    more = _verify(docs, reps, crossed, n, percent)
-    final = components(links.union(more))
+    final = components(joined(roots, _verify(docs, reps, crossed, n, percent)))
     return found.where(F.col("block").isNull()).join(final, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), "node", F.when(F.col("n") > 0, F.coalesce("root", "node")).alias("root"))
 
 
