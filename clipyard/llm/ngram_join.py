@@ -112,7 +112,7 @@ class CountTree:
 
     def search(self, points: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query, point) index pairs whose sizes and bound allow the similarity."""
-        room = max(64, (1 << 24) // max(1, points.shape[1]))
+        room = max(64, (1 << 22) // max(1, points.shape[1]))
         found_q, found_p = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         stack = [(len(self.levels) - 1, np.repeat(np.arange(len(sizes)), len(self.levels[-1][0])), np.tile(np.arange(len(self.levels[-1][0])), len(sizes)))]
         while stack:
