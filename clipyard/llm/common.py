@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +43,21 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def tidy(run: Callable) -> Callable:
+    """run, after which the worker gives freed memory back to the system: idle workers stay beside those of other stages."""
+
+    def whole(batches):
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+        if trim:
+            trim(0)
+
+    return whole
+
+
 def row_key() -> list:
     """Join key of a row that keeps rows with the same doc_id but other texts apart. Rows equal in both share it, and share their result."""
     return [F.coalesce(F.col("doc_id"), F.lit(-1)).alias("k_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("k_text")]
@@ -66,7 +83,7 @@ def only_near(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(own[b.column("slot_").to_numpy()])).drop_columns(["slot_"])
 
-    return df.withColumn("slot_", slot).mapInArrow(run, df.schema)
+    return df.withColumn("slot_", slot).mapInArrow(tidy(run), df.schema)
 
 
 # --- polynomial hashes of byte strings, modulo 2**64 -------------------------------------------

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipyard.llm.common import gram_hashes, prefix_hash, span_hash, table
+from clipyard.llm.common import gram_hashes, prefix_hash, span_hash, table, tidy
 
 GRAM, MATCH, MISMATCH, GAP, THRESHOLD = 3, 1, -1, -1, 0.5
 BLOCK_CHARS = 16 << 20
@@ -152,7 +152,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, g
     out = spark.createDataFrame([], "doc_id long, k_text long, item_id long, score double, end_word long")
     for rows in _blocks(benchmark, block_chars):
         held = spark.sparkContext.broadcast(items_of(rows, gram))  # block_chars bounds it
-        out = out.union(texts.mapInArrow(_search(held, gram, threshold), "doc_id long, k_text long, item_id long, score double, end_word long"))
+        out = out.union(texts.mapInArrow(tidy(_search(held, gram, threshold)), "doc_id long, k_text long, item_id long, score double, end_word long"))
     return out
 
 

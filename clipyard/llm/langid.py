@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipyard.llm.common import mix, table
+from clipyard.llm.common import mix, table, tidy
 
 BUCKETS, PER_LANGUAGE, SAMPLE_ROWS, LEAST_ROWS, LEAST_SHARE, LOW, MARGIN = 4096, 4, 3000, 15, 0.05, 0.01, 0.5
 UNKNOWN = "und"
@@ -128,7 +128,7 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, per_language: int =
             kept = [(lang.as_py(), counts(text.as_py(), buckets).astype(np.float32).tobytes()) for lang, text in zip(b.column("lang"), b.column("text"), strict=True) if has_letter(text.as_py())]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in kept], pa.string()), pa.array([x[1] for x in kept], pa.binary())], names=["lang", "v"])
 
-    got = sorted((r["lang"], bytes(r["v"])) for r in sample.mapInArrow(vectors, "lang string, v binary").collect())
+    got = sorted((r["lang"], bytes(r["v"])) for r in sample.mapInArrow(tidy(vectors), "lang string, v binary").collect())
     langs = np.array([g[0] for g in got])
     x = np.log1p(np.array([np.frombuffer(g[1], np.float32) for g in got]).reshape(len(got), buckets))
     idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
@@ -172,7 +172,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     kept = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score", "rejected")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double, rejected boolean")
+    return docs.mapInArrow(tidy(run), f"{schema}, lang_pred string, score double, rejected boolean")
 
 
 def held_out():

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clipyard.llm.common import gram_hashes, mix, only_near, partitions, row_key, scratch, table, word_hashes
+from clipyard.llm.common import gram_hashes, mix, only_near, partitions, row_key, scratch, table, tidy, word_hashes
 from clipyard.llm.graph import components
 
 WIDTH, BLOCK = 1 << 20, 1 << 12
@@ -332,7 +332,7 @@ def _verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame, n: int, percent:
     texts = scratch(near.join(wanted, ["k_id", "k_text"]).select("node", "text").dropDuplicates(["node"]), "ngram-texts")
     side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
     joined = pairs.join(side("v"), "v").join(side("u"), "u")
-    return joined.select("u", "v", "text_u", "text_v").mapInArrow(_verified(n, percent), "u long, v long")
+    return joined.select("u", "v", "text_u", "text_v").mapInArrow(tidy(_verified(n, percent)), "u long, v long")
 
 
 def similar(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -342,14 +342,14 @@ def similar(docs: DataFrame, n: int, percent: int) -> DataFrame:
     and link with nothing: root is null.
     """
     spark = docs.sparkSession
-    found = scratch(docs.select("doc_id", "text", *row_key()).mapInArrow(_emit_nodes(n), "block int, doc_id long, k_id long, k_text long, node long, n long, vec binary, keys array<long>"), "ngram-nodes")
-    parts = found.where(F.col("block").isNotNull()).select("block", "vec").repartition(min(16, partitions(spark)), "block").mapInArrow(_sum_blocks, "block int, vec binary").collect()
+    found = scratch(docs.select("doc_id", "text", *row_key()).mapInArrow(tidy(_emit_nodes(n)), "block int, doc_id long, k_id long, k_text long, node long, n long, vec binary, keys array<long>"), "ngram-nodes")
+    parts = found.where(F.col("block").isNotNull()).select("block", "vec").repartition(min(16, partitions(spark)), "block").mapInArrow(tidy(_sum_blocks), "block int, vec binary").collect()
     seen = np.zeros(WIDTH, np.int64)  # WIDTH counts whatever the corpus
     for r in parts:
         seen[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["vec"], "<i4")
     sketch = spark.sparkContext.broadcast(seen.astype(np.int32))
 
-    rows = docs.select("text").mapInArrow(_prefixes(n, percent, sketch), "h long, node long, n long")
+    rows = docs.select("text").mapInArrow(tidy(_prefixes(n, percent, sketch)), "h long, node long, n long")
     w = Window.partitionBy("h")
     met = rows.repartition(partitions(spark), "h").groupBy("h", "node", "n").agg(F.lit(1).alias("one")).select("h", "node", "n", F.count("*").over(w).alias("met"))
     # Rows of an n-gram by size: where the next is too large for the one before, so are all after it for all before it, and a new group begins.
@@ -366,7 +366,7 @@ def similar(docs: DataFrame, n: int, percent: int) -> DataFrame:
     reps = nodes.select("node", "rep.*")
 
     def bounded(pairs: DataFrame, name: str) -> DataFrame:
-        return scratch(pairs.join(point("u"), "u").join(point("v"), "v").mapInArrow(_bounded(percent), "u long, v long"), name)
+        return scratch(pairs.join(point("u"), "u").join(point("v"), "v").mapInArrow(tidy(_bounded(percent)), "u long, v long"), name)
 
     def across(roots: DataFrame) -> DataFrame:
         """Rows of met whose n-gram joins several components. Groups of two were settled by their star."""
@@ -403,7 +403,7 @@ def similar(docs: DataFrame, n: int, percent: int) -> DataFrame:
     lows = rest.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("h")), 1, LOWS).alias("lows"))
     placed = rest.select("h", "node", "n", "comp", F.inline(F.concat(here, there))).join(nodes.select("node", "vec").join(lows, "node"), "node")
     keys = ["h", "band", "slice"]
-    crossed = placed.repartition(partitions(spark), *keys).sortWithinPartitions(*keys, "role").mapInArrow(_trees(percent), "u long, v long").distinct()
+    crossed = placed.repartition(partitions(spark), *keys).sortWithinPartitions(*keys, "role").mapInArrow(tidy(_trees(percent)), "u long, v long").distinct()
     crossed = scratch(crossed.join(stars.union(more_stars), ["u", "v"], "left_anti"), "ngram-crossed")
     final = components(joined(roots, _verify(docs, reps, crossed, n, percent)))
     return found.where(F.col("block").isNull()).join(final, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), "node", F.when(F.col("n") > 0, F.coalesce("root", "node")).alias("root"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipyard.llm.common import table
+from clipyard.llm.common import table, tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -332,7 +332,7 @@ def encode(docs: DataFrame, model_path: str = MODEL, check: bool = True) -> Data
                 offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id")[lo : lo + len(texts)], pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.array(same, pa.bool_())], names=["doc_id", "ids", "round_trip"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, round_trip boolean")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, ids array<int>, round_trip boolean")
 
 
 def decode(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
@@ -344,7 +344,7 @@ def decode(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([None if i is None else encoder.decode(np.array(i, np.int64)) for i in b.column("ids").to_pylist()], pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id long, text string")
 
 
 def digest(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
@@ -361,7 +361,7 @@ def digest(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
                     rows.append((len(i), hashlib.sha256(i.tobytes()).hexdigest(), hashlib.sha256(again.encode()).hexdigest(), again == t.replace(SPACE, " ")))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id")[lo : lo + len(texts)], *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string(), pa.bool_())))], names=["doc_id", "n_tokens", "ids_sha256", "text_sha256", "round_trip"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, text_sha256 string, round_trip boolean")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, text_sha256 string, round_trip boolean")
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipyard.llm.common import row_key, scratch, table
+from clipyard.llm.common import row_key, scratch, table, tidy
 
 KINDS = ("email", "ip", "card", "phone", "term", "secret")
 TERM, SECRET = 4, 5
@@ -140,7 +140,7 @@ def detect_base(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             )
 
     return docs.select("doc_id", "text", *row_key()).mapInArrow(
-        run, "doc_id long, k_id long, k_text long, kinds array<int>, starts array<int>, ends array<int>, entities array<string>, near array<struct<entity:string,term:string,mark:string>>"
+        tidy(run), "doc_id long, k_id long, k_text long, kinds array<int>, starts array<int>, ends array<int>, entities array<string>, near array<struct<entity:string,term:string,mark:string>>"
     )
 
 
@@ -234,7 +234,7 @@ def sanitise(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT, wind
     keyed = docs.withColumns({"clipyard_id": id_key, "clipyard_text": text_key})
     terms = terms.select(F.col("k_id").alias("clipyard_id"), F.col("k_text").alias("clipyard_text"), F.col("terms").alias("clipyard_terms"))
     joined = keyed.join(terms, ["clipyard_id", "clipyard_text"], "left").select(*(F.col(f"`{c}`") for c in docs.columns), "clipyard_terms")
-    out = joined.mapInArrow(run, docs.schema)
+    out = joined.mapInArrow(tidy(run), docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out
@@ -249,7 +249,7 @@ def find(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT, window:
     found = scratch(detect_base(docs, window), "pii-found")
     terms = scratch(disclosed_in(docs, disclosing_terms(docs, found, alpha, support)), "pii-terms")  # a table of known size, so that few terms are sent to the texts
     keyed = docs.select("text", *row_key())
-    spans = scratch(keyed.join(terms, ["k_id", "k_text"]).mapInArrow(_term_spans, "k_id long, k_text long, t_starts array<int>, t_ends array<int>"), "pii-spans").dropDuplicates(["k_id", "k_text"])
+    spans = scratch(keyed.join(terms, ["k_id", "k_text"]).mapInArrow(tidy(_term_spans), "k_id long, k_text long, t_starts array<int>, t_ends array<int>"), "pii-spans").dropDuplicates(["k_id", "k_text"])
     own = F.arrays_zip("starts", "kinds", "ends")
     more = F.transform(F.arrays_zip("t_starts", "t_ends"), lambda x: F.struct(x["t_starts"].alias("starts"), F.lit(TERM).alias("kinds"), x["t_ends"].alias("ends")))
     joined = found.join(spans, ["k_id", "k_text"], "left").withColumn("base", F.filter(own, lambda x: x["kinds"] < TERM))
