@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, and their SQL where SQL can express them over whole tables."""
 
-from clipyard.llm import chains, decontaminate, fingerprints, langid, licenses, ngram_join, pieces, pii, suffix_dedup, warc
+from clipyard.llm import chains, decontaminate, fingerprints, infill, langid, licenses, ngram_join, pieces, pii, ranked, suffix_dedup, token_counts, warc
 
-QUERIES = {f.__name__: f for f in (pii.op1_pii, decontaminate.op2_decontaminate, langid.op3_langid, licenses.op4_licenses, pieces.op5_sentencepiece, suffix_dedup.op6_suffix_dedup, ngram_join.op7_ngram_join, fingerprints.op8_fingerprints, chains.op9_chains, warc.op10_warc)}
-SQL = {"op6_suffix_dedup": suffix_dedup.ORACLE, "op7_ngram_join": ngram_join.ORACLE, "op10_warc": warc.ORACLE}
+QUERIES = {f.__name__: f for f in (pii.op1_pii, decontaminate.op2_decontaminate, langid.op3_langid, licenses.op4_licenses, pieces.op5_sentencepiece, suffix_dedup.op6_suffix_dedup, ngram_join.op7_ngram_join, fingerprints.op8_fingerprints, chains.op9_chains, warc.op10_warc, token_counts.op11_token_counts, infill.op12_infill, ranked.op13_ranked_search)}
+SQL = {"op6_suffix_dedup": suffix_dedup.ORACLE, "op7_ngram_join": ngram_join.ORACLE, "op10_warc": warc.ORACLE, "op12_infill": infill.ORACLE, "op13_ranked_search": ranked.ORACLE}
