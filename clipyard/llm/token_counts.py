@@ -2,9 +2,9 @@
 
 For each prefix of a pre-token there is exactly one token that its encoding ends with: the one that ends there and that
 the merges leave side by side with the last token of the prefix before it. So going from left to right,
-count[i] = count[i - length of that token] + 1 gives the exact number of tokens of every prefix. Pre-tokens are taken
-in sorted order, so that those with the same beginning share its table. The counts of a text's prefixes are those of
-its pre-tokens upon the sums before them, with three rules where a text that ends early is cut in other pre-tokens than
+count[i] = count[i - length of that token] + 1 gives the exact number of tokens of every prefix. The different
+pre-tokens of a batch go through this in step. The counts of a text's prefixes are those of its pre-tokens upon the
+sums before them, with three rules where a text that ends early is cut in other pre-tokens than
 the whole: in white space before a word, in a contraction, and in the text of an added token.
 
 The table answers questions of budget (tokens of the first n characters) and truncation (the longest prefix within a
@@ -15,11 +15,12 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 import unicodedata
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, cached_property
 from itertools import groupby
 
 import numpy as np
@@ -27,12 +28,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipyard.llm.common import table, tidy
+from clipyard.llm.common import mix, table, tidy
 
 TOKENIZER, LIMIT = "byte_bpe_50k.json", 512
 BATCH_ROWS, BATCH_CHARS = 1000, 4_000_000
-#: Bounds of what a worker keeps: answers about pairs of tokens, and tables of pieces of at most PIECE_CHARS characters.
-PAIRS, PIECES, PIECE_CHARS = 1 << 19, 250_000, 32
+#: Bounds of what a worker keeps: bits of the number of answers about pairs of tokens, and tables of pieces of at most PIECE_CHARS characters.
+PAIR_BITS, PIECES, PIECE_CHARS = 19, 250_000, 32
+#: Pre-tokens of up to LONG bytes are gone through in step, at most WORDS at once.
+LONG, WORDS = 64, 32_768
+ABSENT = -2
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
@@ -103,19 +108,67 @@ def load(path: str | None = None) -> Vocabulary:
     return Vocabulary(ids, merges, tuple(sorted(plain, key=len, reverse=True)), *_classes(Tokenizer.from_file(path)))
 
 
+class Ends:
+    """Ends of tokens by a hash of their bytes, so that a search from a place to the left knows when to stop: the token's id where an end is a token, else -1. A token found so is compared byte by byte."""
+
+    def __init__(self, tokens: dict[bytes, int]):
+        words = list(tokens)
+        data, size = np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words])
+        end = np.cumsum(size) - 1
+        self.depth = int(size.max())
+        self.power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(self.depth - 1, _BASE)]), dtype=np.uint64)
+        key, keys, values = np.zeros(len(words), np.uint64), [], []
+        ids = np.array([tokens[w] for w in words])
+        for n in range(1, self.depth + 1):
+            live = np.flatnonzero(size >= n)
+            key[live] += self.term(data[end[live] - n + 1], n)
+            keys.append(key[live].copy())
+            values.append(np.where(size[live] == n, ids[live], -1))
+        keys, values = np.concatenate(keys), np.concatenate(values)
+        order = np.lexsort((-values, keys))
+        keys, values = keys[order], values[order]
+        first = np.concatenate([[True], keys[1:] != keys[:-1]])
+        keys, values = keys[first], values[first]
+        self.bits = int(4 * len(keys)).bit_length()
+        self.keys, self.values = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, ABSENT)
+        slot = self._slot(keys)
+        while len(keys):  # each key takes its slot, or the next one that is free
+            free = np.flatnonzero(self.values[slot] == ABSENT)
+            _, one = np.unique(slot[free], return_index=True)
+            put = free[one]
+            self.keys[slot[put]], self.values[slot[put]] = keys[put], values[put]
+            keys, values, slot = (np.delete(x, put) for x in (keys, values, slot))
+            slot = (slot + 1) & ((1 << self.bits) - 1)
+        self.tail = np.zeros(int(ids.max()) + 1, np.uint64)
+        self.tail[ids] = [int.from_bytes(w[-8:], "big") for w in words]
+
+    def term(self, byte: np.ndarray, n: int) -> np.ndarray:
+        """What the n-th byte from the end adds to the hash."""
+        return (byte.astype(np.uint64) + np.uint64(1)) * self.power[n - 1]
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (mix(keys) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slot(keys)
+        value, wrong = self.values[slot], np.flatnonzero(self.keys[slot] != keys)
+        while len(wrong := wrong[value[wrong] != ABSENT]):
+            slot[wrong] = (slot[wrong] + 1) & ((1 << self.bits) - 1)
+            value[wrong] = self.values[slot[wrong]]
+            wrong = wrong[self.keys[slot[wrong]] != keys[wrong]]
+        return value
+
+
 class Counter:
     """Counts of tokens of every prefix of texts."""
 
     def __init__(self, v: Vocabulary):
         self.v = v
         self.raw = {i: t for t, i in v.tokens.items()}
-        # Ends of tokens, so that a search from a place to the left knows when to stop; -1 where the end is no token.
-        self.ends: dict[bytes, int] = {}
-        for t in v.tokens:
-            for i in range(len(t)):
-                self.ends.setdefault(t[i:], v.tokens.get(t[i:], -1))
+        self.ends = Ends(v.tokens)
         self.size = max(v.tokens.values()) + 2
-        self.pairs: dict[int, bool] = {}
+        self.halves: dict[int, tuple[int, int, int] | None] = {}
+        self.pair_key, self.pair_ok = np.full(1 << PAIR_BITS, -1, np.int64), np.zeros(1 << PAIR_BITS, bool)
         letters, numbers, spaces = v.letters, v.numbers, v.spaces
         body = f"[{letters}]+|[{numbers}]+|[^{spaces}{letters}{numbers}]+"
         # A unit is white space with the word behind it: the counts of its prefixes depend on nothing before it.
@@ -127,57 +180,141 @@ class Counter:
         self.known: dict[str, bytes] = {}
         self.added = re.compile("|".join(map(re.escape, v.added))) if v.added else None
 
-    def merged(self, ids: list[int]) -> list[int]:
-        """What the merges make of tokens: earliest merge first, then leftmost."""
-        while len(ids) > 1:
-            found = [(*self.v.merges.get(pair, (len(self.v.merges), -1)), i) for i, pair in enumerate(zip(ids, ids[1:]))]
-            rank, new, i = min(found, key=lambda f: (f[0], f[2]))
-            if new < 0:
-                break
-            ids = [*ids[:i], new, *ids[i + 2 :]]
-        return ids
+    @cached_property
+    def suffixes(self) -> dict[bytes, int]:
+        """The ends of tokens as a dictionary, for long pre-tokens."""
+        out: dict[bytes, int] = {}
+        for t in self.v.tokens:
+            for i in range(len(t)):
+                out.setdefault(t[i:], self.v.tokens.get(t[i:], -1))
+        return out
+
+    def made(self, token: int) -> tuple[int, int, int] | None:
+        """(order of the last merge, left half, right half) as the merges make a token of its bytes, earliest merge first, then leftmost; order -1 for a byte, None if they make something else of them."""
+        if token not in self.halves:
+            raw = self.raw[token]
+            ids, half = [self.v.tokens[raw[i : i + 1]] for i in range(len(raw))], (-1, -1, -1)
+            while len(ids) > 1:
+                rank, new, i = min((*self.v.merges.get(pair, (len(self.v.merges), -1)), i) for i, pair in enumerate(zip(ids, ids[1:])))
+                if new < 0:
+                    break
+                half = (rank, ids[i], ids[i + 1])
+                ids = [*ids[:i], new, *ids[i + 2 :]]
+            self.halves[token] = half if ids == [token] else None
+        return self.halves[token]
 
     def beside(self, a: int, b: int) -> bool:
-        """Whether the merges leave tokens a and b side by side (a = -1: whether they make b alone of its bytes)."""
+        """Whether the merges leave tokens a and b side by side (a = -1: whether they make b alone of its bytes).
+
+        They do unless a pair across the border merges before one of its sides has grown further. So the later merge of
+        the two is undone, again and again, and each pair that then meets at the border is looked up. At equal order the
+        left one merges first.
+        """
+        if self.made(b) is None or a >= 0 and self.made(a) is None:
+            return False
+        before = len(self.v.merges) + 1
+        while a >= 0:
+            if self.v.merges.get((a, b), (before,))[0] < before:
+                return False
+            (left, _, a_half), (right, b_half, _) = self.made(a), self.made(b)
+            if left < 0 > right:
+                return True
+            if left > right:
+                a, before = a_half, left
+            else:
+                b, before = b_half, right + 1
+        return True
+
+    def prefixes(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """For each pre-token, the tokens of its first 1, 2, ... bytes, as 32-bit numbers."""
+        out = {w: self._of_long(w) for w in words if len(w) > LONG}
+        short = sorted((w for w in words if len(w) <= LONG), key=len, reverse=True)
+        for lo in range(0, len(short), WORDS):
+            out.update(self._of_short(short[lo : lo + WORDS]))
+        return out
+
+    def _of_short(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Many pre-tokens in step, longest first: at each length of prefix, the longest token is tried first in all of them."""
+        data = np.frombuffer(b"".join(words), np.uint8)
+        size = np.array([len(w) for w in words])
+        start = np.cumsum(size) - size
+        into = np.arange(len(data)) - np.repeat(start, size) + 1
+        ending = self._ending(data, into)
+        held = start + np.arange(len(words))  # the place of each word's empty prefix
+        last, count = np.full(len(data) + len(words), -1, np.int64), np.zeros(len(data) + len(words), np.int32)
+        for i in range(1, int(size[0]) + 1):
+            left = np.arange(np.searchsorted(-size, -i, side="right"))
+            for n in range(min(i, len(ending)), 0, -1):
+                token = ending[n - 1][start[left] + i - 1]
+                has = np.flatnonzero(token >= 0)
+                if not len(has):
+                    continue
+                token, before = token[has], held[left[has]] + i - n
+                if n > 1:
+                    ok = self._beside(last[before], token)
+                    has, token, before = has[ok], token[ok], before[ok]
+                last[before + n], count[before + n] = token, count[before] + 1
+                left = np.delete(left, has)
+        flat = count.tobytes()
+        return ((w, flat[4 * (p + 1) : 4 * (p + 1 + len(w))]) for w, p in zip(words, held.tolist(), strict=True))
+
+    def _ending(self, data: np.ndarray, into: np.ndarray) -> list[np.ndarray]:
+        """For lengths 1, 2, ...: the token of that length that ends with each byte, -1 where there is none. into: bytes of the word up to there."""
+        out, live, key = [], np.arange(len(data)), np.zeros(len(data), np.uint64)
+        tail = np.zeros(len(data), np.uint64)  # the last eight bytes
+        for k in range(min(8, len(data))):
+            tail[k:] |= data[: len(data) - k].astype(np.uint64) << np.uint64(8 * k)
+        raw = data.tobytes()
+        for n in range(1, self.ends.depth + 1):
+            live = live[into[live] >= n]
+            key[live] += self.ends.term(data[live - n + 1], n)
+            value = self.ends.get(key[live])
+            live, value = live[value != ABSENT], value[value != ABSENT]
+            if not len(live):
+                break
+            at, token = live[value >= 0], value[value >= 0]
+            if n <= 8:
+                same = (tail[at] ^ self.ends.tail[token]) & np.uint64((1 << 8 * n) - 1) == 0
+            else:
+                same = np.array([raw[e - n + 1 : e + 1] == self.raw[t] for e, t in zip(at.tolist(), token.tolist(), strict=True)], bool)
+            own = np.full(len(data), -1, np.int64)
+            own[at[same]] = token[same]
+            out.append(own)
+        return out
+
+    def _beside(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """beside() of many pairs; answers stay in a table where newer ones take the place of older ones."""
         key = (a + 1) * self.size + b
-        ok = self.pairs.get(key)
-        if ok is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            own = [] if a < 0 else [a]
-            text = (b"" if a < 0 else self.raw[a]) + self.raw[b]
-            ok = self.pairs[key] = self.merged([self.v.tokens[text[i : i + 1]] for i in range(len(text))]) == [*own, b]
+        slot = (mix(key) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        ok = self.pair_ok[slot]
+        missed = np.flatnonzero(self.pair_key[slot] != key)
+        if len(missed):
+            new, back = np.unique(key[missed], return_inverse=True)
+            found = np.array([self.beside(k // self.size - 1, k % self.size) for k in new.tolist()])
+            ok[missed] = found[back]
+            self.pair_key[slot[missed]], self.pair_ok[slot[missed]] = key[missed], ok[missed]
         return ok
 
-    def prefixes(self, words: set[bytes]) -> dict[bytes, array]:
-        """For each pre-token, the tokens of its first 1, 2, ... bytes. Those that begin alike follow one another and share what they share."""
-        out, ends, beside = {}, self.ends.get, self.beside
-        last, count, before = [-1], [0], b""
-        for w in sorted(words):
-            shared = 0
-            for x, y in zip(before, w):
-                if x != y:
+    def _of_long(self, w: bytes) -> bytes:
+        """One long pre-token, prefix after prefix."""
+        last, count, known = [-1], array("i", [0]), self.suffixes
+        for i in range(1, len(w) + 1):
+            lo, found = i - 1, []
+            token = known.get(w[lo:i])
+            while token is not None:
+                if token >= 0:
+                    found.append((lo, token))
+                if not lo:
                     break
-                shared += 1
-            del last[shared + 1 :], count[shared + 1 :]
-            for i in range(shared + 1, len(w) + 1):
-                lo, found = i - 1, []
-                token = ends(w[lo:i])
-                while token is not None:
-                    if token >= 0:
-                        found.append((lo, token))
-                    if not lo:
-                        break
-                    lo -= 1
-                    token = ends(w[lo:i])
-                while found:  # the longest first; the last is the single byte
-                    lo, token = found.pop()
-                    if not found or beside(last[lo], token):
-                        break
-                last.append(token)
-                count.append(count[lo] + 1)
-            out[w], before = array("i", count[1:]), w
-        return out
+                lo -= 1
+                token = known.get(w[lo:i])
+            while found:  # the longest first; the last is the single byte
+                lo, token = found.pop()
+                if not found or self._beside(np.array([last[lo]]), np.array([token]))[0]:
+                    break
+            last.append(token)
+            count.append(count[lo] + 1)
+        return count[1:].tobytes()
 
     def _new_tables(self, pieces: list[str]) -> dict[str, bytes]:
         """For each piece, the tokens of its first 1, 2, ... code points, as 32-bit numbers."""
@@ -195,29 +332,34 @@ class Counter:
                 words.update(x.encode() for x in (space + tail, space[:-1], space[-1:].strip(" "), " " * (space[-1:] == " ") + short + word) if x)
         known = self.prefixes(words)
 
-        def at_chars(raw: bytes, n: int) -> array:
+        def at_chars(raw: bytes, n: int) -> bytes:
             counts = known[raw]
-            return counts if len(raw) == n else array("i", [c for c, following in zip(counts, raw[1:] + b" ") if following & 0xC0 != 0x80])
+            return counts if len(raw) == n else b"".join([counts[4 * i : 4 * i + 4] for i, following in enumerate(raw[1:] + b" ") if following & 0xC0 != 0x80])
+
+        def numbers(raw: bytes, n: int) -> array:
+            out = array("i")
+            out.frombytes(at_chars(raw, n))
+            return out
 
         out = {}
         for p, raw, n, mark in plain:
             counts = at_chars(raw, n)
-            out[p] = (counts + array("i", [counts[-1] + 1]) if mark else counts).tobytes()
+            out[p] = counts + (int.from_bytes(counts[-4:], sys.byteorder) + 1).to_bytes(4, sys.byteorder) if mark else counts
         for p, units in cut.items():
             base, counts = 0, array("i")
             for space, short, word, tail in units:
                 run = space + tail
                 if run:  # a text that ends in white space has it as one pre-token
-                    counts.extend([base + c for c in at_chars(run.encode(), len(run))])
+                    counts.extend([base + c for c in numbers(run.encode(), len(run))])
                 if tail:
                     continue
                 if len(space) > 1:
-                    base += known[space[:-1].encode()][-1]
+                    base += numbers(space[:-1].encode(), len(space) - 1)[-1]
                 blank = space[-1:] == " "
                 if space and not blank:
-                    base += known[space[-1].encode()][-1]
+                    base += numbers(space[-1].encode(), 1)[-1]
                 word = " " * blank + short + word
-                own = at_chars(word.encode(), len(word))
+                own = numbers(word.encode(), len(word))
                 if len(short) == 3:
                     own = [1, 2, own[2]]  # `'` and one letter of a longer contraction are two pre-tokens
                 counts.extend([base + c for c in own[blank:]])

@@ -58,7 +58,8 @@ def test_words_of_many_tokens(counter, library):
 
 def test_small_caches_change_nothing(library, monkeypatch):
     monkeypatch.setattr(token_counts, "PIECES", 3)
-    monkeypatch.setattr(token_counts, "PAIRS", 2)
+    monkeypatch.setattr(token_counts, "PAIR_BITS", 2)
+    monkeypatch.setattr(token_counts, "WORDS", 2)
     own = token_counts.Counter(token_counts.load())
     texts = ["one two three four five", "two three", "six one, two!", "five six"]
     for _ in range(2):
