@@ -7,7 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipyard.operators.intervals import coverage, inside
+from clipyard.operators.intervals import best_overlap, coverage, cuts_inside, inside
+from clipyard.operators.scans import Scan, numbered, ordered
+from clipyard.sources.tables import scratch
 
 TRACK = ["video_id", "track_id"]
 
@@ -31,16 +33,16 @@ class Rules:
             raise ValueError("lengths must be positive and max_len at least min_len")
 
 
-def mouth_motion(d: DataFrame) -> DataFrame:
+def mouth_motion(d: DataFrame, most: int | None = None) -> DataFrame:
     """d (track, time_sec, opening) with motion: change of opening against the last one that is not null; 0 for the first and for nulls."""
-    w = Window.partitionBy(*TRACK).orderBy("time_sec", "frame").rowsBetween(Window.unboundedPreceding, -1)
-    return d.withColumn("motion", F.coalesce(F.abs(F.col("opening") - F.last("opening", ignorenulls=True).over(w)), F.lit(0.0)))
+    seen = ordered(d, TRACK, ["time_sec", "frame"], most).scan(last_=Scan("last", F.col("opening"), own=False)).result()
+    return seen.withColumn("motion", F.coalesce(F.abs(F.col("opening") - F.col("last_")), F.lit(0.0))).drop("last_")
 
 
-def talking(d: DataFrame, speech: DataFrame, tolerance: float, least_motion: float, least_opening: float) -> DataFrame:
+def talking(d: DataFrame, speech: DataFrame, tolerance: float, least_motion: float, least_opening: float, most: int | None = None) -> DataFrame:
     """d with is_talking: in speech, and the mouth moves or is open enough; never where the opening is null."""
     moving = (F.col("motion") >= least_motion) | (F.col("opening") >= least_opening)
-    return inside(mouth_motion(d), speech, ["video_id"], "time_sec", tolerance).withColumn("is_talking", F.col("inside") & F.coalesce(moving & F.col("opening").isNotNull(), F.lit(False)))
+    return inside(mouth_motion(d, most), speech, ["video_id"], "time_sec", tolerance, most).withColumn("is_talking", F.col("inside") & F.coalesce(moving & F.col("opening").isNotNull(), F.lit(False)))
 
 
 def long_enough(videos: DataFrame, min_len: float) -> DataFrame:
@@ -48,12 +50,12 @@ def long_enough(videos: DataFrame, min_len: float) -> DataFrame:
     return videos.where(F.col("duration") >= min_len)
 
 
-def runs(d: DataFrame, rules: Rules) -> DataFrame:
+def runs(d: DataFrame, rules: Rules, most: int | None = None) -> DataFrame:
     """Islands of talking samples no more than max_gap apart: track, run_id (from 0), start, end (a period after the last), n."""
-    w = Window.partitionBy(*TRACK).orderBy("time_sec", "frame")
-    gap = F.col("time_sec") - F.lag("time_sec").over(w)
-    run = F.sum(F.when(gap > rules.max_gap, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return d.where("is_talking").withColumn("run_id", run).groupBy(*TRACK, "run_id").agg(F.min("time_sec").alias("start"), (F.max("time_sec") + rules.period).alias("end"), F.count("*").alias("n"))
+    seen = ordered(d.where("is_talking"), TRACK, ["time_sec", "frame"], most).scan(before_=Scan("last", F.col("time_sec"), own=False))
+    apart = F.when(F.col("time_sec") - F.col("before_") > rules.max_gap, 1).otherwise(0)
+    run = seen.with_columns(apart_=apart).scan(run_id=Scan("sum", F.col("apart_"))).result()
+    return run.groupBy(*TRACK, "run_id").agg(F.min("time_sec").alias("start"), (F.max("time_sec") + rules.period).alias("end"), F.count("*").alias("n"))
 
 
 def tiles(r: DataFrame, rules: Rules) -> DataFrame:
@@ -85,27 +87,61 @@ def gate(w: DataFrame, rules: Rules) -> Column:
 def quality(d: DataFrame, speech: DataFrame, cuts: DataFrame, rules: Rules) -> DataFrame:
     """Every window with its statistics and reject_reason."""
     w = window_stats(tiles(runs(d, rules), rules), d, rules)
-    w = coverage(w, speech, ["video_id"], rules.max_len).withColumnRenamed("covered", "speech")
-    bins = F.sequence(F.floor(F.col("start") / rules.max_len), F.floor(F.col("end") / rules.max_len))
-    cut = cuts.select("video_id", "cut", F.floor(F.col("cut") / rules.max_len).alias("bin"))
-    n = w.select(*TRACK, "start", "end", F.explode(bins).alias("bin")).join(cut, ["video_id", "bin"]).where("start < cut AND cut < end").groupBy(*TRACK, "start", "end").agg(F.count("*").alias("n_cuts"))
-    w = w.join(n, [*TRACK, "start", "end"], "left").withColumn("n_cuts", F.coalesce("n_cuts", F.lit(0)))
+    w = coverage(w, speech, ["video_id"], rules.max_len, rules.max_len).withColumnRenamed("covered", "speech")
+    n = cuts_inside(w, cuts, ["video_id"], rules.max_len, rules.max_len)
+    w = w.join(n, ["video_id", "start", "end"], "left").withColumn("n_cuts", F.coalesce("n_cuts", F.lit(0)))
     return w.withColumn("reject_reason", gate(w, rules))
 
 
-def suppressed(w: DataFrame, order: list[Column]) -> DataFrame:
-    """Of each track's windows, best first, those that overlap no better kept one (ends may touch). Windows are gathered by stretches of a track that no window crosses the end of."""
-    by_time = Window.partitionBy(*TRACK).orderBy("start", "end")
-    apart = F.col("start") >= F.max("end").over(by_time.rowsBetween(Window.unboundedPreceding, -1))
-    cut = w.withColumn("apart_", apart.cast("int")).withColumn("stretch_", F.coalesce(F.sum("apart_").over(by_time.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))).drop("apart_")
-    ranked = cut.withColumn("rank_", F.row_number().over(Window.partitionBy(*TRACK, "stretch_").orderBy(*order)))
-    item = F.struct("rank_", *(c for c in w.columns if c not in TRACK))
+#: Windows of a stretch that are gathered in one array.
+IN_ARRAY = 1000
+
+
+def suppressed(w: DataFrame, order: list[Column], in_array: int = IN_ARRAY, most: int | None = None) -> DataFrame:
+    """Of each track's windows (start before end), best first, those that overlap no better kept one (ends may touch).
+
+    order: ascending columns, without ties in a track. A stretch is as many windows as overlap one after another. Those
+    of up to in_array windows are gone through in one array each, longer ones in rounds over all of them.
+    """
+    seen = ordered(w, TRACK, ["start", "end"], most).scan(reach_=Scan("max", F.col("end"), own=False))
+    apart = F.when(F.col("start") >= F.col("reach_"), 1).otherwise(0)
+    cut = scratch(seen.with_columns(apart_=apart).scan(stretch_=Scan("sum", F.col("apart_"))).result().drop("reach_", "apart_"), "stretches")
+    size = cut.groupBy(*TRACK, "stretch_").agg(F.count("*").alias("n_"))
+    large = size.where(F.col("n_") > in_array).drop("n_")
+    key = [*TRACK, "stretch_"]
+    if large.isEmpty():
+        return _by_array(cut, order).select(*w.columns)
+    small = _by_array(cut.join(large, key, "left_anti"), order)
+    return small.unionByName(_by_rounds(cut.join(large, key, "left_semi"), key, order, most)).select(*w.columns)
+
+
+def _by_array(cut: DataFrame, order: list[Column]) -> DataFrame:
+    """Kept windows of stretches (stretch_), each gathered in an array."""
+    item = F.struct(F.struct(*order).alias("rank_"), *(c for c in cut.columns if c not in (*TRACK, "stretch_")))
+    best_first = F.array_sort(F.collect_list(item))
     kept = F.aggregate(
-        F.array_sort(F.collect_list(item)),
-        F.filter(F.array_sort(F.collect_list(item)), lambda x: F.lit(False)),
+        best_first,
+        F.filter(best_first, lambda x: F.lit(False)),
         lambda acc, c: F.when(F.exists(acc, lambda k: (k["start"] < c["end"]) & (c["start"] < k["end"])), acc).otherwise(F.concat(acc, F.array(c))),
     )
-    return ranked.groupBy(*TRACK, "stretch_").agg(kept.alias("k")).select(*TRACK, F.inline("k")).select(*w.columns)
+    return cut.groupBy(*TRACK, "stretch_").agg(kept.alias("k")).select(*TRACK, "stretch_", F.inline("k")).drop("rank_")
+
+
+def _by_rounds(cut: DataFrame, key: list[str], order: list[Column], most: int | None) -> DataFrame:
+    """Kept windows of stretches of any size. In each round the windows that are better than all they overlap stay, and those that overlap one of them go; what is left are the windows of the next round. It ends, since the best of what is left always stays."""
+    names = [f"o{i}_" for i in range(len(order))]
+    placed = scratch(numbered(cut.withColumns(dict(zip(names, order, strict=True))), key, names, "p", most).drop(*names), "ranked")
+    ends = placed.select(*key, "p", F.explode(F.array(F.struct(F.col("end").alias("t"), F.lit(0).alias("kind")), F.struct(F.col("start").alias("t"), F.lit(1).alias("kind")))).alias("x")).select(*key, "p", "x.*")
+    counted = ordered(ends, key, ["t", "kind", "p"], most).scan(at=Scan("sum", F.col("kind"), own=False)).result()
+    live = counted.groupBy(*key, "p").agg(F.max(F.when(F.col("kind") == 1, F.col("at"))).cast("long").alias("i"), F.max(F.when(F.col("kind") == 0, F.col("at"))).cast("long").alias("j"))
+    live = scratch(live, "windows")
+    levels = int(live.agg(F.max(F.col("j") - F.col("i"))).first()[0]).bit_length() - 1
+    kept = None
+    while not live.isEmpty():
+        stay = scratch(live.join(best_overlap(live, live, key, levels), [*key, "p"]).where("best = p").drop("best"), "kept")
+        kept = stay if kept is None else kept.unionByName(stay)
+        live = scratch(live.join(best_overlap(live, stay, key, levels), [*key, "p"], "left_anti"), "windows")
+    return placed.join(kept.select(*key, "p"), [*key, "p"], "left_semi").drop("p")
 
 
 ROUNDED = {"talking": 4, "speech": 4, "face": 4, "presence": 4}
@@ -114,10 +150,9 @@ ROUNDED = {"talking": 4, "speech": 4, "face": 4, "presence": 4}
 def top(w: DataFrame, rules: Rules) -> DataFrame:
     """The best per_video accepted windows of each video by rounded (talking, speech, face, presence), then track and start; ordinal from 0 and file name. Runs that are a period apart or more can't overlap, so suppression is skipped then."""
     ok = w.where("reject_reason IS NULL").withColumns({c: F.round(c, n) for c, n in ROUNDED.items()})
-    order = [F.desc(c) for c in ROUNDED]
     if rules.max_gap < rules.period:
-        ok = suppressed(ok, [*order, F.col("start")])
-    rn = F.row_number().over(Window.partitionBy("video_id").orderBy(*order, "track_id", "start"))
+        ok = suppressed(ok, [*(-F.col(c) for c in ROUNDED), F.col("start")])
+    rn = F.row_number().over(Window.partitionBy("video_id").orderBy(*(F.desc(c) for c in ROUNDED), "track_id", "start"))
     ok = ok.withColumn("ordinal", rn - 1).where(F.col("ordinal") < rules.per_video)
     return ok.withColumn("clip_filename", F.format_string("%03d_%010.3f.mp4", "ordinal", F.round("start", 3)))
 

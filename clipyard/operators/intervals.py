@@ -1,62 +1,141 @@
-"""Interval operators: overlap, containment, cuts, nearest sample. Equi-joins on (key, bin) stand in for range joins."""
+"""Interval operators: overlap, containment, cuts, nearest sample.
+
+Overlaps are found by an index of levels: an interval stands at the first level whose bins are as wide as it is long,
+each level's twice as wide as those below, so it meets two bins at most however long it is. Two intervals meet at the
+higher of their levels; the other one climbs there. Equi-joins on (key, level, bin) stand in for range joins.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clipyard.operators.scans import Scan, ordered
+
+
+def level_of(length: Column, unit: float) -> Column:
+    """The first level with bins as wide as length, but for what a sum of floats is off."""
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(length, F.lit(unit)) / unit) - 1e-9)).cast("int")
+
+
+def _bins(start: Column, end: Column, level: Column, unit: float) -> Column:
+    at = lambda x: F.floor(x / (unit * F.pow(F.lit(2.0), level)))
+    return F.sequence(at(start), F.greatest(at(start), at(end)))
+
+
+def _placed(df: DataFrame, levels: DataFrame | list[int], home: str, climbed: str, unit: float) -> DataFrame:
+    """Rows of df (a_, b_, l_) by part, level and bin: at home in the parts `home`, at each higher one of the other side's levels in the parts `climbed`."""
+    if isinstance(levels, list):
+        with_levels = df.withColumn("levels_", F.array(*(F.lit(x) for x in levels)).cast("array<int>"))
+    else:
+        with_levels = df.join(F.broadcast(levels))  # one row
+
+    def at(parts: tuple[int, ...], level: Column) -> Column:
+        of = lambda part: F.transform(_bins(F.col("a_"), F.col("b_"), level, unit), lambda b: F.struct(F.lit(part).alias("part_"), level.alias("level_"), b.alias("bin_")))
+        return F.flatten(F.array(*map(of, parts)))
 
-def _bin(x: Column | str, width: float) -> Column:
-    return F.floor((F.col(x) if isinstance(x, str) else x) / width)
+    places = F.concat(at(home, F.col("l_")), F.flatten(F.transform(F.filter("levels_", lambda x: x > F.col("l_")), lambda x: at(climbed, x))))
+    return with_levels.withColumn("p_", F.explode(places)).select(*df.columns, "p_.*").drop("levels_")
 
 
-def _bins(df: DataFrame, start: str, end: str, width: float) -> DataFrame:
-    return df.withColumn("bin", F.explode(F.sequence(_bin(start, width), F.greatest(_bin(start, width), _bin(end, width)))))
+def overlapping(one: DataFrame, two: DataFrame, key: list[str], unit: float, longest: float | None = None) -> DataFrame:
+    """Pairs of one (key, start, end) and two (key, s, e) with s < end and e > start, each once, with all columns of both. A point is an interval that ends where it starts.
 
+    An interval takes two bins at most at its own level and two at each higher level that the other side has, so its
+    rows grow with the logarithm of the longest length. unit: bins of the lowest level. longest: bound of the lengths
+    in one, where known, which spares a look at them.
+    """
+    left = one.withColumns({"a_": F.col("start"), "b_": F.col("end"), "l_": level_of(F.col("end") - F.col("start"), unit)})
+    right = two.withColumns({"a_": F.col("s"), "b_": F.col("e"), "l_": level_of(F.col("e") - F.col("s"), unit)})
+    of = lambda df: df.agg(F.collect_set("l_").alias("levels_"))  # noqa: E731  a few dozen numbers at most
+    bound = None if longest is None else list(range(max(0, int(-(-longest // unit)) - 1).bit_length() + 1))
+    # Pairs at the left one's level, with the right one at home or climbed, are part 0; those at the right one's higher level part 1.
+    left = _placed(left, of(right), (0,), (1,), unit).select(*one.columns, F.col("l_").alias("ll_"), "part_", "level_", "bin_")
+    right = _placed(right, of(left.select(F.col("ll_").alias("l_"))) if bound is None else bound, (0, 1), (0,), unit).select(*two.columns, F.col("l_").alias("lr_"), "part_", "level_", "bin_")
+    met = left.join(right, [*key, "part_", "level_", "bin_"])
+    first = F.floor(F.greatest("start", "s") / (unit * F.pow(F.lit(2.0), F.col("level_")))) == F.col("bin_")  # of two bins that both are in
+    return met.where(first & (F.col("s") < F.col("end")) & (F.col("e") > F.col("start"))).drop("part_", "level_", "bin_", "ll_", "lr_")
 
-def coverage(windows: DataFrame, intervals: DataFrame, key: list[str], width: float) -> DataFrame:
-    """windows (key, start, end) with `covered`: seconds of intervals (key, s, e) in each over its length; overlapping intervals count each. A pair meets in the bin of its larger start alone."""
-    one = _bins(windows.select(*key, "start", "end").distinct(), "start", "end", width)
-    two = _bins(intervals.select(*key, "s", "e"), "s", "e", width)
-    met = one.join(two, [*key, "bin"]).where((F.col("bin") == _bin(F.greatest("start", "s"), width)) & (F.col("s") < F.col("end")) & (F.col("e") > F.col("start")))
-    seconds = met.groupBy(*key, "start", "end").agg(F.sum(F.greatest(F.lit(0.0), F.least("end", "e") - F.greatest("start", "s"))).alias("secs"))
+
+def coverage(windows: DataFrame, intervals: DataFrame, key: list[str], unit: float, longest: float | None = None) -> DataFrame:
+    """windows (key, start, end) with `covered`: seconds of intervals (key, s, e) in each over its length; overlapping intervals count each."""
+    met = overlapping(windows.select(*key, "start", "end").distinct(), intervals.select(*key, "s", "e"), key, unit, longest)
+    seconds = met.groupBy(*key, "start", "end").agg(F.sum(F.least("end", "e") - F.greatest("start", "s")).alias("secs"))
     return windows.join(seconds, [*key, "start", "end"], "left").withColumn("covered", F.coalesce(F.col("secs"), F.lit(0.0)) / (F.col("end") - F.col("start"))).drop("secs")
 
 
-def merged(intervals: DataFrame, key: list[str], tolerance: float = 0.0) -> DataFrame:
+def cuts_inside(windows: DataFrame, cuts: DataFrame, key: list[str], unit: float, longest: float | None = None) -> DataFrame:
+    """key, start, end, n_cuts of windows with cuts (key, cut) strictly inside."""
+    points = cuts.select(*key, F.col("cut").alias("s"), F.col("cut").alias("e"))
+    return overlapping(windows.select(*key, "start", "end").distinct(), points, key, unit, longest).groupBy(*key, "start", "end").agg(F.count("*").alias("n_cuts"))
+
+
+def without_cuts(windows: DataFrame, cuts: DataFrame, key: list[str], unit: float, longest: float | None = None) -> DataFrame:
+    """windows with no cut (key, cut) strictly inside."""
+    return windows.join(cuts_inside(windows, cuts, key, unit, longest), [*key, "start", "end"], "left_anti")
+
+
+def merged(intervals: DataFrame, key: list[str], tolerance: float = 0.0, most: int | None = None) -> DataFrame:
     """Disjoint intervals (key, s, e) that cover the given ones, each widened by tolerance."""
     wide = intervals.select(*key, (F.col("s") - tolerance).alias("s"), (F.col("e") + tolerance).alias("e"))
-    w = Window.partitionBy(*key).orderBy("s", "e")
-    reach = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum(F.when(F.col("s") <= F.col("reach"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return wide.withColumn("reach", reach).withColumn("island", island).groupBy(*key, "island").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("island")
+    seen = ordered(wide, key, ["s", "e"], most).scan(reach=Scan("max", F.col("e"), own=False))
+    apart = F.when(F.col("s") <= F.col("reach"), 0).otherwise(1)
+    island = seen.with_columns(new_=apart).scan(island=Scan("sum", F.col("new_"))).result()
+    return island.groupBy(*key, "island").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("island")
 
 
-def inside(points: DataFrame, intervals: DataFrame, key: list[str], time: str, tolerance: float) -> DataFrame:
-    """points with `inside`: time in any interval widened by tolerance, ends included. The last merged interval that starts at or before the point decides, so one ordered pass per key does."""
-    m = merged(intervals, key, tolerance).select(*key, F.col("s").alias("t_"), F.col("e").alias("until"), F.lit(0).alias("kind"))
+def inside(points: DataFrame, intervals: DataFrame, key: list[str], time: str, tolerance: float, most: int | None = None) -> DataFrame:
+    """points with `inside`: time in any interval widened by tolerance, ends included. The last merged interval that starts at or before the point decides, so one ordered scan does."""
+    m = merged(intervals, key, tolerance, most).select(*key, F.col("s").alias("t_"), F.col("e").alias("until"), F.lit(0).alias("kind"))
     p = points.withColumns({"t_": F.col(time), "kind": F.lit(1), "until": F.lit(None).cast("double")})
-    w = Window.partitionBy(*key).orderBy("t_", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    both = p.unionByName(m, allowMissingColumns=True).withColumn("open", F.last("until", ignorenulls=True).over(w))
+    both = ordered(p.unionByName(m, allowMissingColumns=True), key, ["t_", "kind"], most).scan(open=Scan("last", F.col("until"))).result()
     return both.where("kind = 1").withColumn("inside", F.coalesce(F.col("t_") <= F.col("open"), F.lit(False))).drop("t_", "kind", "until", "open")
 
 
-def without_cuts(windows: DataFrame, cuts: DataFrame, key: list[str], width: float) -> DataFrame:
-    """windows with no cut (key, cut) strictly inside."""
-    one = _bins(windows.withColumn("w_", F.struct(*key, "start", "end")), "start", "end", width)
-    two = cuts.select(*key, "cut", _bin("cut", width).alias("bin"))
-    bad = one.join(two, [*key, "bin"]).where("start < cut AND cut < end").select("w_.*").distinct()
-    return windows.join(bad, [*key, "start", "end"], "left_anti")
-
-
-def nearest(frames: DataFrame, samples: DataFrame, key: list[str], most: int, value: str) -> DataFrame:
-    """frames (key, frame) with the frame and value of the nearest sample within `most` frames; the earlier of two as near."""
+def nearest(frames: DataFrame, samples: DataFrame, key: list[str], reach: int, value: str, most: int | None = None) -> DataFrame:
+    """frames (key, frame) with the frame and value of the nearest sample within `reach` frames; the earlier of two as near."""
     s = samples.select(*key, "frame", F.struct("frame", value).alias("held"), F.lit(0).alias("kind"))
     f = frames.withColumn("kind", F.lit(1))
-    w = Window.partitionBy(*key).orderBy("frame", "kind")
-    both = f.unionByName(s, allowMissingColumns=True).withColumns({"prev_": F.last("held", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "next_": F.first("held", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    both = ordered(f.unionByName(s, allowMissingColumns=True), key, ["frame", "kind"], most).scan(prev_=Scan("last", F.col("held")), next_=Scan("last", F.col("held"), back=True)).result()
     back, ahead = F.col("frame") - F.col("prev_.frame"), F.col("next_.frame") - F.col("frame")
     pick = F.when(F.col("next_").isNull() | (back <= ahead), F.col("prev_")).otherwise(F.col("next_"))
     out = both.where("kind = 1").withColumn("pick_", pick)
-    near = F.abs(F.col("pick_.frame") - F.col("frame")) <= most
+    near = F.abs(F.col("pick_.frame") - F.col("frame")) <= reach
     return out.select(*frames.columns, F.when(near, F.col("pick_.frame")).alias("near_frame"), F.when(near, F.col(f"pick_.{value}")).alias(value))
+
+
+# --- best of what overlaps ----------------------------------------------------------------------
+
+
+def _cover(i: Column, j: Column, levels: int) -> Column:
+    """Nodes (level, node) of a binary tree over 0, 1, ... that together hold [i, j) and nothing else: two at each level at most."""
+
+    def at(level: Column) -> Column:
+        size = F.pow(F.lit(2.0), level).cast("long")
+        lo, hi = F.floor((i + size - 1) / size), F.floor(j / size)
+        left = F.when((lo < hi) & (lo % 2 == 1), F.struct(level.alias("level"), lo.alias("node")))
+        right = F.when((lo < hi) & (hi % 2 == 1), F.struct(level.alias("level"), (hi - 1).alias("node")))
+        return F.array_compact(F.array(left, right))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), at))
+
+
+def _above(i: Column, levels: int) -> Column:
+    """The nodes of the tree that hold i, up to the level."""
+    return F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda level: F.struct(level.alias("level"), F.floor(i / F.pow(F.lit(2.0), level).cast("long")).alias("node")))
+
+
+def best_overlap(of: DataFrame, to: DataFrame, key: list[str], levels: int) -> DataFrame:
+    """key, p and best: the least p in `to` among the windows that overlap each window of `of`.
+
+    Windows are (key, p, i, j): i is the place of their start among all starts of the key, j the number of starts before
+    their end, so two overlap if the place of one lies in [i, j) of the other. Both ways go over the nodes of a tree:
+    places tell all nodes above them, intervals the few that cover them, and only the least p of a node travels.
+    levels: of the tree, log2 of the largest j - i. No pair of windows is ever made.
+    """
+    held = lambda name, nodes: F.transform(nodes, lambda x: F.struct(F.lit(name).alias("way"), x["level"].alias("level"), x["node"].alias("node")))
+    i, j = F.col("i"), F.col("j")
+    told = to.select(*key, "p", F.explode(F.concat(held(0, _above(i, levels)), held(1, _cover(i, j, levels)))).alias("x")).groupBy(*key, "x.way", "x.level", "x.node").agg(F.min("p").alias("best"))
+    asked = of.select(*key, "p", F.explode(F.concat(held(0, _cover(i, j, levels)), held(1, _above(i, levels)))).alias("x")).select(*key, "p", "x.*")
+    return asked.join(told, [*key, "way", "level", "node"]).groupBy(*key, "p").agg(F.min("best").alias("best"))
+

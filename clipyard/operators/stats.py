@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipyard.functions.scalars import capitalised, first_containing, mapped
+from clipyard.operators.scans import Scan, ordered
 
 
 def crosstab(df: DataFrame, row: str, column: str, values: list[str]) -> DataFrame:
@@ -16,14 +17,26 @@ def crosstab(df: DataFrame, row: str, column: str, values: list[str]) -> DataFra
     return out.withColumn("total", sum((F.col(v) for v in values), F.lit(0)))
 
 
-def box_stats(df: DataFrame, by: list[str], x: str, whisker: float = 1.5, exact: bool = True) -> DataFrame:
-    """Quartiles, ends of whiskers (the last values within `whisker` interquartile ranges) and number of outliers."""
-    q = F.percentile(x, F.array(*(F.lit(p) for p in (0.25, 0.5, 0.75)))) if exact else F.percentile_approx(x, [0.25, 0.5, 0.75], 10000)
-    s = df.groupBy(*by).agg(q.alias("q")).select(*by, *(F.col("q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))))
+def box_stats(df: DataFrame, by: list[str], x: str, whisker: float = 1.5, most: int | None = None) -> DataFrame:
+    """Quartiles (between neighbours in proportion), ends of whiskers (the last values within `whisker` interquartile ranges) and number of outliers.
+
+    Exact: equal values are counted first, a scan in order gives each value the places it takes, and a quartile is read
+    off at its place. No group's values are gathered.
+    """
+    values = df.where(F.col(x).isNotNull()).groupBy(*by, F.col(x).alias("v_")).agg(F.count("*").alias("n_"))
+    placed = ordered(values, by, ["v_"], most).scan(before_=Scan("sum", F.col("n_"), own=False)).result()
+    size = df.where(F.col(x).isNotNull()).groupBy(*by).agg(F.count("*").alias("all_"))
+    held = placed.join(size, by)
+    picks = []
+    for name, share in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
+        place = F.lit(share) * (F.col("all_") - 1)
+        at = lambda p: F.max(F.when((F.col("before_") <= p) & (p < F.col("before_") + F.col("n_")), F.col("v_")))
+        picks += [at(F.floor(place)).alias(f"{name}_lo"), at(F.ceil(place)).alias(f"{name}_hi"), F.max(place - F.floor(place)).alias(f"{name}_w")]
+    s = held.groupBy(*by).agg(*picks)
+    s = s.select(*by, *((F.col(f"{q}_lo") * (1 - F.col(f"{q}_w")) + F.col(f"{q}_hi") * F.col(f"{q}_w")).alias(q) for q in ("q1", "median", "q3")))
     reach = (F.col("q3") - F.col("q1")) * whisker
-    s = s.withColumns({"lo": F.col("q1") - reach, "hi": F.col("q3") + reach})
-    within = F.col(x).between(F.col("lo"), F.col("hi"))
-    return df.join(s, by).groupBy(*by, "q1", "median", "q3").agg(F.min(F.when(within, F.col(x))).alias("whisker_lo"), F.max(F.when(within, F.col(x))).alias("whisker_hi"), F.count_if(~within).alias("outliers"))
+    within = F.col("v_").between(F.col("q1") - reach, F.col("q3") + reach)
+    return values.join(s, by).groupBy(*by, "q1", "median", "q3").agg(F.min(F.when(within, F.col("v_"))).alias("whisker_lo"), F.max(F.when(within, F.col("v_"))).alias("whisker_hi"), F.coalesce(F.sum(F.when(~within, F.col("n_"))), F.lit(0)).alias("outliers"))
 
 
 def density(df: DataFrame, by: str, x: str, step: float, points: int = 200) -> DataFrame:

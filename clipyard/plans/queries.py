@@ -184,7 +184,7 @@ SELECT video_id, track_id, k.frame AS frame, k.s AS start, k.e AS "end", k.c AS
 def suppress_overlaps(spark: SparkSession, d: str) -> DataFrame:
     """Windows of half a day to two days after each talking sample overlap; the best by confidence stay."""
     w = detections(spark, d).where("is_talking").select("video_id", "track_id", "frame", F.col("time_sec").alias("start"), (F.col("time_sec") + DAY / 2 + F.col("confidence") * DAY).alias("end"), "confidence")
-    return clips.suppressed(w, [F.desc("confidence"), F.col("start"), F.col("frame")])
+    return clips.suppressed(w, [-F.col("confidence"), F.col("start"), F.col("frame")])
 
 
 @query()
@@ -336,12 +336,20 @@ def assign_methods(spark: SparkSession, d: str) -> DataFrame:
 
 
 DONORS = METHODS_SQL + """,
-dv AS (SELECT p1, p2, video_id, row_number() OVER (PARTITION BY p1, p2 ORDER BY video_id) - 1 AS idx, count(*) OVER (PARTITION BY p1, p2) AS n, list(audio_path) AS paths FROM me GROUP BY p1, p2, video_id),
+dv AS (SELECT p1, p2, video_id, row_number() OVER (PARTITION BY p1, p2 ORDER BY video_id) - 1 AS idx, count(*) OVER (PARTITION BY p1, p2) AS n, count(*) AS n_clips FROM me GROUP BY p1, p2, video_id),
 dr AS (SELECT me.*, dv.idx AS own, n, CASE WHEN n > 1 THEN CAST('0x' || substr(md5('1337|' || key), 1, 8) AS BIGINT) % (n - 1) END AS r FROM me JOIN dv USING (p1, p2, video_id)),
-dn AS (SELECT dr.*, dv.video_id AS donor_video_id, dv.paths FROM dr LEFT JOIN dv ON dv.p1 = dr.p1 AND dv.p2 = dr.p2 AND dv.idx = r + CASE WHEN r >= own THEN 1 ELSE 0 END)"""
-
-
-@query(f"WITH {DONORS} SELECT key, donor_video_id, array_to_string(list_transform(list_sort(list_transform(coalesce(paths, []), lambda p: md5('1337|' || key || '|' || p) || p))[1:3], lambda x: substr(x, 33)), ',') AS donors FROM dn")
+dn AS (SELECT dr.*, dv.video_id AS donor_video_id, dv.n_clips FROM dr LEFT JOIN dv ON dv.p1 = dr.p1 AND dv.p2 = dr.p2 AND dv.idx = r + CASE WHEN r >= own THEN 1 ELSE 0 END)"""
+#: The places that a clip draws among its donor's clips: each among those left, past the ones before it.
+PLACES = DONORS + """,
+pl AS (SELECT video_id, audio_path, row_number() OVER (PARTITION BY video_id ORDER BY audio_path, key) - 1 AS place FROM me),
+h AS (SELECT key, donor_video_id, n_clips AS c, CASE WHEN n_clips > 0 THEN CAST('0x' || substr(md5('1337|' || key || '|0'), 1, 8) AS BIGINT) % n_clips END AS a0, CASE WHEN n_clips > 1 THEN CAST('0x' || substr(md5('1337|' || key || '|1'), 1, 8) AS BIGINT) % (n_clips - 1) END AS r1, CASE WHEN n_clips > 2 THEN CAST('0x' || substr(md5('1337|' || key || '|2'), 1, 8) AS BIGINT) % (n_clips - 2) END AS r2 FROM dn),
+h1 AS (SELECT *, r1 + CASE WHEN r1 >= a0 THEN 1 ELSE 0 END AS a1 FROM h),
+h2 AS (SELECT *, r2 + CASE WHEN r2 >= least(a0, a1) THEN 1 ELSE 0 END AS b2 FROM h1),
+h3 AS (SELECT *, b2 + CASE WHEN b2 >= greatest(a0, a1) THEN 1 ELSE 0 END AS a2 FROM h2),
+ho AS (SELECT key, donor_video_id, unnest([{'t': 0, 'place': a0}, {'t': 1, 'place': a1}, {'t': 2, 'place': a2}], recursive := true) FROM h3)"""
+
+
+@query(f"WITH {PLACES} SELECT ho.key, ho.donor_video_id, coalesce(string_agg(audio_path, ',' ORDER BY t), '') AS donors FROM ho LEFT JOIN pl ON pl.video_id = ho.donor_video_id AND pl.place = ho.place GROUP BY ALL")
 def assign_donors(spark: SparkSession, d: str) -> DataFrame:
     return splits.assign_donors(split_rows(spark, d), 1337).select("key", "donor_video_id", F.array_join("donor_audio_paths", ",").alias("donors"))
 

@@ -4,7 +4,7 @@ import pytest
 from clipyard.operators.tracking import Tracker
 from clipyard.functions import audio
 from clipyard.functions import scalars as S
-from clipyard.plans import media
+from clipyard.plans import media, skew
 from clipyard.plans import queries as q
 from clipyard.sources import tables
 from clipyard.streaming import incremental
@@ -12,7 +12,7 @@ from clipyard.streaming import incremental
 SF = "/root/testdata/sf0.001"
 
 
-QUERIES, SQL = q.QUERIES | media.QUERIES, q.SQL | media.SQL
+QUERIES, SQL = q.QUERIES | media.QUERIES | skew.QUERIES, q.SQL | media.SQL | skew.SQL
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
