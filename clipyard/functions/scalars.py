@@ -117,9 +117,10 @@ def crest_db(wave: Column) -> Column:
 
 def crossfade(first: Column, second: Column, overlap: int) -> Column:
     """second with its first `overlap` samples faded in over the last of first, cosine-squared; of a shorter second only what it has."""
-    step = 3.141592653589793 / 2 / max(1, overlap - 1)
+    quarter = 3.141592653589793 / 2
+    step = quarter / max(1, overlap - 1)
     fade = lambda i: F.pow(F.cos(i.cast("double") * step), F.lit(2.0))
-    rise = lambda i: F.pow(F.cos((overlap - 1 - i).cast("double") * step), F.lit(2.0))
+    rise = lambda i: F.pow(F.cos(quarter - i.cast("double") * step), F.lit(2.0))
     tail = F.slice(first, F.greatest(F.size(first) - overlap + 1, F.lit(1)), overlap)
     return F.transform(second, lambda x, i: F.when(i < overlap, x * rise(i) + F.get(tail, i) * fade(i)).otherwise(x))
 

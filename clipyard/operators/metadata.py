@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipyard.functions.scalars import capitalised, first_containing, mapped, trim_bounds, video_id
+from clipyard.functions import labels
+from clipyard.functions.scalars import trim_bounds, video_id
 
 
 def download_plan(links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(planned, rejected) of catalogue rows (Link, Category, Trim, dialect, file_order, row_order). Blank links go; an output name is planned once, by its first row."""
+    """(planned, rejected) of catalogue rows (Link, Category, Trim, dialect, file_order, row_order). Blank links go; a blank category stays blank, and is unknown only where its file has no such column; an output name is planned once, by its first row."""
     squeezed = lambda c: F.lower(F.replace(c, F.lit(" "), F.lit("")))
     rows = links.where(F.trim("Link") != "").withColumns({"vid": video_id(F.trim("Link")), "t": trim_bounds(F.col("Trim"))})
     suffix = F.when(F.col("t.start").isNull(), "full").otherwise(F.concat(F.col("t.start").cast("long").cast("string"), F.lit("s-"), F.col("t.end").cast("long").cast("string"), F.lit("s")))
@@ -45,20 +46,18 @@ def collisions(dest: DataFrame) -> DataFrame:
     return dest.groupBy("dest").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def manifest_frame(entries: DataFrame, methods: dict[str, str], dialects: list[tuple[str, str]], environments: dict[str, str], splits: dict[str, str]) -> DataFrame:
-    """One row per manifest entry, names in place of labels: dialect and environment from their field, or else from the video id; n_donors from donor_audio_paths, or else the older donor_clips."""
-    m, vid = F.col("audio_manipulation"), F.coalesce("video_id", "entry_key")
-    blank = lambda x: F.coalesce(x, F.lit("")) == ""
+def donor_paths(manipulation: Column) -> Column:
+    """donor_audio_paths, or else the older donor_clips."""
     none = F.array().cast("array<string>")
-    donors = F.when(F.size(F.coalesce(m["donor_audio_paths"], none)) > 0, m["donor_audio_paths"]).otherwise(F.coalesce(m["donor_clips"], none))
-    split = lambda c: mapped(F.coalesce(F.col("splits")[c], F.lit("unknown")), splits, F.coalesce(F.col("splits")[c], F.lit("unknown"))).alias(c)
-    method = F.coalesce(m["assigned_method"], F.lit("unassigned"))
-    guessed = F.when(F.contains(F.lower(vid), F.lit("itw")) | F.contains(F.lower(vid), F.lit("interview")), "In-the-Wild").otherwise("Studio")
+    return F.when(F.size(F.coalesce(manipulation["donor_audio_paths"], none)) > 0, manipulation["donor_audio_paths"]).otherwise(F.coalesce(manipulation["donor_clips"], none))
+
+
+def manifest_frame(entries: DataFrame) -> DataFrame:
+    """One row per manifest entry, names in place of labels: dialect and environment from their field, or else from the video id; num_donors by donor_paths."""
+    m, vid = F.col("audio_manipulation"), F.coalesce("video_id", "entry_key")
     return entries.select(
-        F.col("entry_key").alias("clip_id"), F.coalesce("video_id", F.lit("unknown")).alias("video_id"),
-        F.when(blank(F.col("dialect")), first_containing(vid, dialects, capitalised(vid))).otherwise(mapped(F.col("dialect"), dict(dialects), F.col("dialect"))).alias("dialect"),
-        F.when(blank(F.col("environment")), guessed).otherwise(mapped(F.col("environment"), environments, capitalised(F.col("environment")))).alias("environment"),
-        split("protocol_1_ood"), split("protocol_2_fewshot"), mapped(method, methods, method).alias("audio_method"), F.size(donors).alias("num_donors"),
+        F.col("entry_key").alias("clip_id"), F.coalesce("video_id", F.lit("unknown")).alias("video_id"), labels.dialect(F.col("dialect"), vid).alias("dialect"), labels.environment(F.col("environment"), vid).alias("environment"),
+        *(labels.split(F.col("splits")[c]).alias(c) for c in ("protocol_1_ood", "protocol_2_fewshot")), labels.method(m["assigned_method"]).alias("audio_method"), F.size(donor_paths(m)).alias("num_donors"),
     )
 
 
@@ -93,6 +92,15 @@ def pending(tasks: DataFrame, done: DataFrame, key: str = "path") -> DataFrame:
     return tasks.join(done.where("length > 0").select(key), key, "left_anti")
 
 
-def merge(old: DataFrame, new: DataFrame, key: str, column: str) -> DataFrame:
-    """old with column taken from new where new has the key."""
-    return old.join(new.select(key, F.col(column).alias("new_")), key, "left").withColumn(column, F.coalesce("new_", column)).drop("new_")
+def merge(old: DataFrame, new: DataFrame, key: str, column: str, order: str | None = None) -> DataFrame:
+    """old with column taken from new where new has the key. Of several new rows of one key the last by `order` counts (without an order, that of the largest value), so no row of old is doubled."""
+    last = new.groupBy(key).agg((F.max_by(column, order) if order else F.max(column)).alias("new_"))
+    return old.join(last, key, "left").withColumn(column, F.coalesce("new_", column)).drop("new_")
+
+
+def batch_summary(tasks: DataFrame, before: DataFrame, after: DataFrame, by: list[str]) -> DataFrame:
+    """What a batch did with its tasks (path of the output), by group: total; resumed (the output was there before it), completed by the batch itself, and failed."""
+    there = lambda files, name: files.where("length > 0").select("path", F.lit(True).alias(name)).distinct()
+    t = tasks.join(there(before, "before_"), "path", "left").join(there(after, "after_"), "path", "left")
+    old, new = F.col("before_").isNotNull(), F.col("after_").isNotNull()
+    return t.groupBy(*by).agg(F.count("*").alias("total"), F.count_if(old).alias("resumed"), F.count_if(~old & new).alias("completed"), F.count_if(~old & ~new).alias("failed"))

@@ -18,17 +18,17 @@ def _cut(rn: Column, n: Column, ratios: tuple[float, float]) -> Column:
     return F.when(rn <= train, "train").when(rn <= train + val, "val").otherwise("test")
 
 
-def assign_splits(clips: DataFrame, ood: list[str], seed: int, ratios=(0.7, 0.15), few_shot=(0.1, 0.1), most: int | None = None) -> DataFrame:
-    """clips with p1 and p2: a split per video, shuffled in each (dialect, environment) and cut by ratios, rounded down. Protocol 1 keeps dialects of `ood` for tests of their own, protocol 2 cuts them by few_shot. Only videos are shuffled; the clips join them."""
-    videos = clips.select("video_id", "dialect", "environment").dropDuplicates(["video_id"])
+def assign_splits(clips: DataFrame, ood: list[str], seed: int, ratios=(0.7, 0.15), few_shot=(0.1, 0.1), most: int | None = None, unit: str = "video_id") -> DataFrame:
+    """clips with p1 and p2: a split per video, shuffled in each (dialect, environment) and cut by ratios, rounded down. Protocol 1 keeps dialects of `ood` for tests of their own, protocol 2 cuts them by few_shot. Only videos are shuffled; the clips join them. unit: the column that is kept together, such as the source link of several videos, in place of the video."""
+    videos = clips.groupBy(F.col(unit).alias("unit_")).agg(F.min(F.struct("dialect", "environment")).alias("x")).select("unit_", "x.*")
     groups = videos.groupBy("dialect", "environment").agg(F.count("*").alias("n"))
-    drawn = numbered(videos.withColumn("ticket", ticket(seed, "video_id")), ["dialect", "environment"], ["ticket", "video_id"], "rn", most).drop("ticket")
+    drawn = numbered(videos.withColumn("ticket", ticket(seed, "unit_")), ["dialect", "environment"], ["ticket", "unit_"], "rn", most).drop("ticket")
     v = _with_groups(drawn, groups, ["dialect", "environment"]).withColumn("rn", F.col("rn") + 1)
     out = F.col("dialect").isin(ood)
     usual = _cut(F.col("rn"), F.col("n"), ratios)
     named = lambda x: F.when(x == "test", "test_id").otherwise(x)
-    v = v.select("video_id", F.when(out, F.concat(F.lit("test_ood_"), "dialect")).otherwise(named(usual)).alias("p1"), F.when(out, _cut(F.col("rn"), F.col("n"), few_shot)).otherwise(named(usual)).alias("p2"))
-    return clips.join(v, "video_id")
+    v = v.select("unit_", F.when(out, F.concat(F.lit("test_ood_"), "dialect")).otherwise(named(usual)).alias("p1"), F.when(out, _cut(F.col("rn"), F.col("n"), few_shot)).otherwise(named(usual)).alias("p2"))
+    return clips.join(v, F.col(unit) == F.col("unit_")).drop("unit_")
 
 
 def _with_groups(df: DataFrame, groups: DataFrame, key: list[str]) -> DataFrame:

@@ -7,7 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipyard.functions.scalars import capitalised, first_containing, mapped
+from clipyard.functions import labels
+from clipyard.functions.scalars import mapped
+from clipyard.operators.metadata import donor_paths
 from clipyard.operators.scans import Scan, ordered
 
 
@@ -54,12 +56,13 @@ def wide(df: DataFrame, row: str, cell: Column, values: list[str]) -> DataFrame:
     return df.withColumn("cell_", cell).groupBy(row).pivot("cell_", values).count().na.fill(0)
 
 
-def transfer(df: DataFrame, dialects: list[tuple[str, str]]) -> DataFrame:
-    """Counts of dialect by donor_dialect: from the field donor_dialect, or else the donor's video id, or else one count for each of the donor clips."""
-    named = lambda x: first_containing(x, dialects, capitalised(x))
-    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
-    found = F.when(~blank("donor_dialect"), F.array(mapped(F.col("donor_dialect"), dict(dialects), F.col("donor_dialect")))).when(~blank("donor_video_id"), F.array(named(F.col("donor_video_id")))).otherwise(F.transform("donor_clips", named))
-    return df.select("dialect", F.explode(found).alias("donor_dialect")).groupBy("dialect", "donor_dialect").agg(F.count("*").alias("n"))
+def transfer(entries: DataFrame, first_match: bool = False) -> DataFrame:
+    """Counts of dialect by donor_dialect of manifest entries (dialect, video_id, donor_dialect, donor_video_id, donor_audio_paths, donor_clips): the donor's by its field, or else by its video id, or else one count for the folder of each donor clip."""
+    named = lambda x: labels.dialect_in(x, first_match)
+    folder = lambda path: F.coalesce(F.element_at(F.split(path, "/"), F.when(F.size(F.split(path, "/")) > 1, -2)), F.lit(""))
+    own, field, video = F.coalesce("dialect", F.lit("")), F.col("donor_dialect"), F.col("donor_video_id")
+    found = F.when(~labels.blank(field), F.array(mapped(field, labels.DIALECTS, named(field)))).when(~labels.blank(video), F.array(named(video))).otherwise(F.transform(donor_paths(F.struct("donor_audio_paths", "donor_clips")), lambda p: named(folder(p))))
+    return entries.select(mapped(own, labels.DIALECTS, named(F.col("video_id"))).alias("dialect"), F.explode(found).alias("donor_dialect")).groupBy("dialect", "donor_dialect").agg(F.count("*").alias("n"))
 
 
 def first_errors(df: DataFrame, failed: Column, order: str, n: int = 10) -> DataFrame:

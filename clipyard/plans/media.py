@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipyard.functions import audio
+from clipyard.functions import audio, labels
 from clipyard.functions import scalars as S
 from clipyard.operators import clips, metadata, sound, stats
 from clipyard.plans import queries as q
@@ -13,10 +13,7 @@ from clipyard.sources import tables
 from clipyard.sources.tables import table
 
 QUERIES, SQL = {}, {}
-#: Labels and their names.
-METHOD_NAMES = {"openvoice": "OpenVoice", "seed_vc": "Seed-VC", "cosyvoice": "CosyVoice"}
-ENVIRONMENTS = {"studio": "Studio", "itw": "In-the-Wild"}
-SPLIT_NAMES = {"train": "Train", "val": "Val", "test": "Test"}
+METHOD_NAMES = {k: v for k, v in labels.METHODS.items() if k != "real"}
 
 
 def query(sql: str):
@@ -141,16 +138,22 @@ def mouth_opening(spark: SparkSession, d: str) -> DataFrame:
 # --- files --------------------------------------------------------------------------------------
 
 
-@query("SELECT n_name AS speakers, c_custkey AS k, CASE WHEN c_nationkey % 2 = 0 THEN 'rep_moldova' ELSE 'moldova' END AS dialect, CASE WHEN c_nationkey % 2 = 0 THEN 'f' END AS gender FROM customer JOIN nation ON n_nationkey = c_nationkey")
+@query("""SELECT n_name AS speakers, c_custkey AS k, CASE c_nationkey % 3 WHEN 0 THEN 'rep_moldova' WHEN 1 THEN 'moldova' ELSE ['banat', 'oltenia', ''][c_custkey % 3 + 1] END AS dialect, CASE WHEN c_nationkey % 3 = 0 THEN 'f' END AS gender,
+CASE WHEN c_nationkey % 3 = 0 THEN CASE WHEN c_custkey % 2 = 0 THEN 'news' ELSE '' END WHEN c_nationkey % 3 = 1 THEN 'unknown' ELSE 'talk' END AS category, row_number() OVER (PARTITION BY c_nationkey % 3 ORDER BY c_custkey) - 1 AS place FROM customer JOIN nation ON n_nationkey = c_nationkey""")
 def read_catalogue(spark: SparkSession, d: str) -> DataFrame:
-    """Two catalogues written as CSV, the older one without a column, and read as one."""
+    """Three catalogues written as CSV and read as one: with blank categories; an older one without two columns; one with a dialect of its own in each row."""
+    from pyspark.sql import Window
+
     c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
-    c = c.select(F.col("c_custkey").alias("Link"), F.col("n_name").alias("Speakers"), F.lit("f").alias("Gender"), (F.col("c_nationkey") % 2 == 0).alias("new"))
+    kind, k = F.col("c_nationkey") % 3, F.col("c_custkey")
+    own = F.element_at(F.array(F.lit("banat"), F.lit("oltenia"), F.lit("")), (k % 3 + 1).cast("int"))
+    c = c.select(kind.alias("kind"), k.alias("Link"), F.col("n_name").alias("Speakers"), F.when(kind == 2, "talk").when(k % 2 == 0, "news").otherwise("").alias("Category"), F.lit("f").alias("Gender"), own.alias("Dialect"))
     base = f"{tables.shared_dir(spark).rstrip('/')}/catalogue-{q.unique()}"
-    c.where("new").drop("new").write.option("header", True).csv(f"{base}/new")
-    c.where("NOT new").drop("new", "Gender").write.option("header", True).csv(f"{base}/old")
-    out = tables.catalogue(spark, {f"{base}/new": "rep_moldova", f"{base}/old": "moldova"})
-    return out.select(F.col("Speakers").alias("speakers"), F.col("Link").cast("long").alias("k"), F.col("dialect_of_file").alias("dialect"), F.col("Gender").alias("gender"))
+    for i, columns in enumerate((["Link", "Speakers", "Category", "Gender"], ["Link", "Speakers"], ["Link", "Speakers", "Category", "Dialect"])):
+        c.where(F.col("kind") == i).orderBy("Link").select(*columns).coalesce(1).write.option("header", True).csv(f"{base}/{i}")
+    out = tables.catalogue(spark, {f"{base}/{i}": x for i, x in enumerate(("rep_moldova", "moldova", "other"))})
+    place = F.row_number().over(Window.partitionBy("file_order").orderBy("row_order")) - 1
+    return out.select(F.col("Speakers").alias("speakers"), F.col("Link").cast("long").alias("k"), "dialect", F.col("Gender").alias("gender"), F.coalesce("Category", F.lit("unknown")).alias("category"), place.cast("long").alias("place"))
 
 
 @query("SELECT CAST(c_nationkey AS INT) AS folder, 1::BIGINT AS n_files, sum(strlen(c_name) + 1)::BIGINT AS bytes FROM customer GROUP BY 1")
@@ -167,7 +170,8 @@ def manifests(spark: SparkSession, d: str) -> DataFrame:
     m, k = q.clip_rows(spark, d).where("dialect IS NOT NULL AND video_id IS NOT NULL"), F.col("doc_id")
     some = lambda n: F.when(k % n > 0, F.transform(F.sequence(F.lit(1), (k % n).cast("int")), lambda i: F.concat(F.lit("d"), i.cast("string"))))
     manipulation = F.struct(F.when(k % 4 > 0, F.element_at(F.array(*(F.lit(x) for x in METHOD_NAMES)), (k % 3 + 1).cast("int"))).alias("assigned_method"), some(3).alias("donor_audio_paths"), some(5).alias("donor_clips"))
-    split = F.struct(F.when(k % 6 > 0, "train").alias("protocol_1_ood"), F.lit("odd_one").alias("protocol_2_fewshot"))
+    names = [*labels.SPLITS, "odd_one"]
+    split = F.struct(F.when(k % 6 > 0, "train").alias("protocol_1_ood"), F.element_at(F.array(*(F.lit(x) for x in names)), (k % len(names) + 1).cast("int")).alias("protocol_2_fewshot"))
     entry = F.struct(F.col("key"), F.when(k % 9 > 0, F.concat(F.lit("maramures_itw_"), k.cast("string"))).alias("video_id"), F.when(k % 2 == 0, F.col("dialect")).alias("dialect"), F.when(k % 5 > 0, F.col("environment")).alias("environment"), split.alias("splits"), manipulation.alias("audio_manipulation"))
     return m.groupBy(F.floor(k / 50).alias("file")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("c"), k.cast("string")), entry)))).alias("value"))
 
@@ -178,10 +182,10 @@ def read_manifest(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT 'c' || doc_id AS clip_id, CASE WHEN doc_id % 9 > 0 THEN 'maramures_itw_' || doc_id ELSE 'unknown' END AS video_id, CASE WHEN doc_id % 2 = 0 THEN lang WHEN doc_id % 9 > 0 THEN 'Maramureș' ELSE 'C' || doc_id END AS dialect,
-CASE WHEN doc_id % 5 > 0 THEN CASE WHEN CAST(regexp_extract(source, '(\\d+)$', 1) AS INT) % 2 = 0 THEN 'In-the-Wild' ELSE 'Studio' END WHEN doc_id % 9 > 0 THEN 'In-the-Wild' ELSE 'Studio' END AS environment, CASE WHEN doc_id % 6 > 0 THEN 'Train' ELSE 'unknown' END AS protocol_1_ood, 'odd_one' AS protocol_2_fewshot,
+CASE WHEN doc_id % 5 > 0 THEN CASE WHEN CAST(regexp_extract(source, '(\\d+)$', 1) AS INT) % 2 = 0 THEN 'In-the-Wild' ELSE 'Studio' END WHEN doc_id % 9 > 0 THEN 'In-the-Wild' ELSE 'Studio' END AS environment, CASE WHEN doc_id % 6 > 0 THEN 'Train' ELSE 'unknown' END AS protocol_1_ood, ['Train', 'Validation', 'Test (In-Domain)', 'Test OOD (Maramureș)', 'Test OOD (Rep. Moldova)', 'odd_one'][doc_id % 6 + 1] AS protocol_2_fewshot,
 CASE WHEN doc_id % 4 > 0 THEN ['OpenVoice', 'Seed-VC', 'CosyVoice'][doc_id % 3 + 1] ELSE 'unassigned' END AS audio_method, CAST(CASE WHEN doc_id % 3 > 0 THEN doc_id % 3 ELSE doc_id % 5 END AS INT) AS num_donors FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL AND doc_id IS NOT NULL""")
 def manifest_frame(spark: SparkSession, d: str) -> DataFrame:
-    return metadata.manifest_frame(tables.manifest(manifests(spark, d)), METHOD_NAMES, q.DIALECTS, ENVIRONMENTS, SPLIT_NAMES)
+    return metadata.manifest_frame(tables.manifest(manifests(spark, d)))
 
 
 @query(f"WITH {q.CLIPS}, p AS (SELECT 'nested' AS layout, dialect || '/' || doc_id % 100 || '.wav' AS dest FROM cl UNION ALL SELECT 'flat', doc_id % 100 || '.wav' FROM cl), c AS (SELECT layout, dest, count(*) AS n FROM p WHERE dest IS NOT NULL GROUP BY ALL) SELECT layout, dest, n FROM c WHERE n > 1")
@@ -212,12 +216,19 @@ def method_env_wide(spark: SparkSession, d: str) -> DataFrame:
     return stats.wide(q.method_rows(spark, d), "assigned_method", F.concat_ws("_", "dialect", "environment"), CELLS)
 
 
-@query("""WITH t AS (SELECT lang AS dialect, unnest(CASE doc_id % 3 WHEN 0 THEN ['Moldova'] WHEN 1 THEN ['Oltenia'] ELSE ['Muntenia', 'Clip_2'] END) AS donor_dialect FROM documents WHERE lang IS NOT NULL)
+@query("""WITH t AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'Rep. Moldova' ELSE 'Oltenia' END AS dialect,
+ unnest(CASE doc_id % 6 WHEN 0 THEN ['Moldova'] WHEN 1 THEN ['Oltenia'] WHEN 2 THEN ['Maramureș', 'Clip_2'] WHEN 3 THEN ['Oltenia', ''] WHEN 4 THEN ['Moldova'] ELSE ['Somewhere'] END) AS donor_dialect FROM documents)
 SELECT dialect, donor_dialect, count(*) AS n FROM t GROUP BY ALL""")
 def donor_transfer(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("doc_id") % 3
-    t = table(spark, d, "documents").where("lang IS NOT NULL").select(F.col("lang").alias("dialect"), F.when(k == 0, "moldova").alias("donor_dialect"), F.when(k == 1, "oltenia_studio_x").otherwise("").alias("donor_video_id"), F.array(F.lit("muntenia_1"), F.lit("clip_2")).alias("donor_clips"))
-    return stats.transfer(t, q.DIALECTS)
+    """Donors by field (a label, or text that holds one), by video, and by the folders of their clips under both names."""
+    k, none = (F.col("doc_id") % 6).cast("int"), F.lit(None).cast("array<string>")
+    paths = lambda *p: F.array(*(F.lit(x) for x in p))
+    t = table(spark, d, "documents").select(
+        F.when(F.col("doc_id") % 4 == 0, "REP_MOLDOVA").when(F.col("doc_id") % 4 == 1, "").alias("dialect"), F.when(F.col("doc_id") % 2 == 0, "rep_moldova_itw_1").otherwise("oltenia_2").alias("video_id"),
+        F.when(k == 0, "moldova").when(k == 4, "moldova_north").when(k == 5, "SOMEWHERE").alias("donor_dialect"), F.when(k == 1, "oltenia_studio_x").otherwise("").alias("donor_video_id"),
+        F.when(k == 2, paths("audio/muntenia/maramures_itw_1/a.wav", "x/clip_2/b.wav")).alias("donor_audio_paths"), F.when(k == 3, paths("/data/moldova/oltenia_studio_q/b.wav", "c.wav")).otherwise(none).alias("donor_clips"),
+    )
+    return stats.transfer(t)
 
 
 @query(f"WITH {q.METHODS_SQL}, c AS (SELECT assigned_method, count(*) AS n FROM me GROUP BY 1) SELECT 'known' AS kind, assigned_method, n, CAST(row_number() OVER (ORDER BY CASE assigned_method WHEN 'cosyvoice' THEN 1 ELSE 2 END) AS INT) AS place FROM c WHERE assigned_method IN ('cosyvoice', 'seed_vc') UNION ALL SELECT 'fallback', l_returnflag, n, CAST(row_number() OVER (ORDER BY n DESC, l_returnflag) AS INT) FROM (SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1)")

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clipyard.functions import labels
 from clipyard.functions import scalars as S
 from clipyard.operators import clips, intervals, metadata, splits, stats, tracking
 from clipyard.sources import tables
@@ -15,8 +16,6 @@ from clipyard.sources.tables import table
 DAY = 86400.0
 RULES = clips.Rules(max_gap=DAY, min_len=DAY / 2, max_len=2 * DAY, period=3600.0, min_presence=0.1, min_face=0.2, min_speech=0.0005, per_video=5)
 METHODS = ["openvoice", "seed_vc", "cosyvoice"]
-#: Labels and their names; rules by contained text, longest match first.
-DIALECTS = [("rep_moldova", "Rep. Moldova"), ("moldova", "Moldova"), ("muntenia", "Muntenia"), ("transilvania", "Transilvania"), ("maramures", "Maramureș"), ("oltenia", "Oltenia")]
 QUERIES, SQL = {}, {}
 
 
@@ -390,10 +389,20 @@ def existing_samples(spark: SparkSession, d: str) -> DataFrame:
     return clip_rows(spark, d).withColumnRenamed("audio_path", "path").join(files(spark, d).where("length > 0"), "path", "left_semi").select("key")
 
 
-@query(f"WITH {CLIPS} SELECT key, CASE WHEN doc_id % 3 <> 1 THEN 'new/' || doc_id ELSE audio_path END AS audio_path FROM cl")
+@query(f"WITH {CLIPS} SELECT key, CASE WHEN doc_id % 3 <> 1 THEN 'new/' || doc_id || '/' || doc_id % 2 ELSE audio_path END AS audio_path FROM cl")
 def merge_results(spark: SparkSession, d: str) -> DataFrame:
+    """Some keys have two results, of which the later one counts."""
     c = clip_rows(spark, d)
-    return metadata.merge(c, c.where("doc_id % 3 <> 1").select("key", F.concat(F.lit("new/"), F.col("doc_id").cast("string")).alias("audio_path")), "key", "audio_path").select("key", "audio_path")
+    turns = F.explode(F.sequence(F.lit(0), (F.col("doc_id") % 2).cast("int")))
+    new = c.where("doc_id % 3 <> 1").select("key", "doc_id", turns.alias("turn")).select("key", "turn", F.concat_ws("/", F.lit("new"), F.col("doc_id").cast("string"), F.col("turn").cast("string")).alias("audio_path"))
+    return metadata.merge(c, new, "key", "audio_path", "turn").select("key", "audio_path")
+
+
+@query(f"WITH {CLIPS}, t AS (SELECT environment, doc_id % 3 <> 1 AND doc_id % 10 <> 0 AS old, doc_id % 7 > 2 AS new FROM cl) SELECT environment, count(*) AS total, count(*) FILTER (old) AS resumed, count(*) FILTER (NOT old AND new) AS completed, count(*) FILTER (NOT old AND NOT new) AS failed FROM t GROUP BY 1")
+def batch_summary(spark: SparkSession, d: str) -> DataFrame:
+    c = clip_rows(spark, d).withColumnRenamed("audio_path", "path")
+    after = c.where("doc_id % 7 > 2").select("path", F.lit(1).alias("length"))
+    return metadata.batch_summary(c, files(spark, d), after, ["environment"])
 
 
 @query("SELECT page_id, 'p' || page_id AS rel FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT page_id, '../c/p' || page_id FROM pages WHERE page_id % 2 = 1")
@@ -412,12 +421,16 @@ def publishable_files(spark: SparkSession, d: str) -> DataFrame:
     return tables.publishable(clip_rows(spark, d).select(F.concat(F.lit("audio/"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 5 == 0, ".tmp").otherwise(".wav")).alias("path")))
 
 
-@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Rep. Moldova' WHEN 1 THEN 'Moldova' WHEN 2 THEN 'Maramureș' ELSE 'Other' END AS dialect, CASE WHEN doc_id % 2 = 0 THEN 'In-the-Wild' ELSE 'Studio' END AS environment FROM documents")
+@query("""WITH c AS (SELECT * FROM (VALUES (0, 'Rep. Moldova', 'Moldova', 'Rep. Moldova', 'In-the-Wild'), (1, 'Moldova', 'Moldova', 'Moldova', 'Studio'), (2, 'Maramureș', 'Maramureș', 'Maramureș', 'In-the-Wild'), (3, 'Elsewhere_q', 'Elsewhere_q', 'Other', 'Studio'), (4, 'Ardelean_x', 'Ardelean_x', 'Transilvania', 'Studio'), (5, 'Oltenia', 'Oltenia', 'oltenia', 'Studio'),
+(6, 'Banat_1', 'Banat_1', 'banat', 'Studio'), (7, 'Dobrogea_itw', 'Dobrogea_itw', 'dobrogea', 'In-the-Wild'), (8, 'Moldova', 'Moldova', 'Moldova', 'Car'), (9, 'Olt', 'Olt', 'Olt', 'In-the-Wild')) t(k, dialect, first_match, of_sound, environment)) SELECT doc_id, dialect, first_match, of_sound, environment FROM documents JOIN c ON k = doc_id % 10""")
 def normalize_labels(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("doc_id") % 4
-    vid = F.when(k == 0, "REP_moldova_itw_x").when(k == 1, "moldova_studio_y").when(k == 2, "maramures_interview_z").otherwise("elsewhere_q")
-    env = S.first_containing(vid, [("itw", "In-the-Wild"), ("interview", "In-the-Wild")], F.lit("Studio"))
-    return table(spark, d, "documents").select("doc_id", S.first_containing(vid, DIALECTS, F.lit("Other")).alias("dialect"), env.alias("environment"))
+    """Names by field, or else by video id, under both sets of rules."""
+    k = (F.col("doc_id") % 10).cast("int") + 1
+    of = lambda *values: F.element_at(F.array(*(F.lit(v).cast("string") for v in values)), k)
+    vid = of("REP_moldova_itw_x", "moldova_studio_y", "maramures_interview_z", "elsewhere_q", "ardelean_x", "oltenia_2", "banat_1", "dobrogea_itw", "x", "y")
+    field = of(None, "", None, None, None, None, None, None, "MOLDOVA", "Olt")
+    env = of(None, None, "", None, None, None, None, None, "cAR", "Interview")
+    return table(spark, d, "documents").select("doc_id", labels.dialect(field, vid).alias("dialect"), labels.dialect(field, vid, True).alias("first_match"), labels.dialect_of_sound(field, vid).alias("of_sound"), labels.environment(env, vid).alias("environment"))
 
 
 @query("SELECT doc_id FROM documents ORDER BY doc_id LIMIT 25")
@@ -527,8 +540,9 @@ def donor_prompts(spark: SparkSession, d: str) -> DataFrame:
     return g.select("label", F.size("e").cast("long").alias("n"), F.round(S.sum_of(F.transform("e", lambda z: z.cast("double"))), 5).alias("total"))
 
 
-@query("SELECT vec_id, round(CAST(embedding[1] AS DOUBLE) * pow(cos(pi() / 2), 2) + CAST(embedding[57] AS DOUBLE) * 1, 6) AS first_sample, round(CAST(embedding[64] AS DOUBLE), 6) AS last_sample FROM embeddings")
+@query("SELECT vec_id, round(CAST(embedding[57] AS DOUBLE), 6) AS first_sample, round(CAST(embedding[64] AS DOUBLE), 6) AS last_sample, round(CAST(embedding[64] AS DOUBLE), 6) AS first_of_one FROM embeddings")
 def crossfade_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Over eight samples, and over one, which is then the first chunk's last."""
     e = F.transform("embedding", lambda z: z.cast("double"))
-    x = table(spark, d, "embeddings").withColumn("c", S.crossfade(e, e, 8))
-    return x.select("vec_id", F.round(F.col("c")[0], 6).alias("first_sample"), F.round(F.element_at("c", -1), 6).alias("last_sample"))
+    x = table(spark, d, "embeddings").withColumns({"c": S.crossfade(e, e, 8), "one": S.crossfade(e, e, 1)})
+    return x.select("vec_id", F.round(F.col("c")[0], 6).alias("first_sample"), F.round(F.element_at("c", -1), 6).alias("last_sample"), F.round(F.col("one")[0], 6).alias("first_of_one"))

@@ -8,7 +8,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CATALOGUE = "Link string, Speakers string, City string, Category string, Trim string, Gender string, Dialect string"
 DETECTIONS = "source_video string, source_fps double, source_frame_count bigint, sample_fps double, confidence_threshold double, frames array<struct<frame:bigint,time_sec:double,boxes:array<struct<bbox_xyxy:array<double>,confidence:double>>>>"
 MANIFEST = "map<string,struct<key:string,clip_id:string,video_path:string,audio_path:string,video_id:string,dialect:string,environment:string,splits:struct<protocol_1_ood:string,protocol_2_fewshot:string>,audio_manipulation:struct<assigned_method:string,donor_video_id:string,donor_audio_paths:array<string>,donor_clips:array<string>,faked_audio_path:string>>>"
 IGNORED = (r"(^|/)\.cache/", r"\.tmp$", r"\.pyc$", r"(^|/)__pycache__/", r"(^|/)\.git/")
@@ -35,12 +34,15 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
 
 
 def catalogue(spark: SparkSession, files: dict[str, str]) -> DataFrame:
-    """Link catalogues by path, each with its dialect; older files lack some columns."""
+    """Link catalogues by path. dialect is that of the file's own column Dialect, or else the one given for the file. Columns that a file lacks are null, blank values are empty text. file_order and row_order give the order of rows."""
     out = None
     for order, (path, dialect) in enumerate(files.items()):
         names = spark.read.option("header", True).csv(path).columns
         one = spark.read.option("header", True).schema(", ".join(f"`{c}` string" for c in names)).csv(path)
-        one = one.withColumns({"file_order": F.lit(order), "row_order": F.monotonically_increasing_id(), "dialect_of_file": F.lit(dialect)})
+        place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("id"))  # by block of the file, however blocks are packed in tasks
+        one = one.withColumns({"file_order": F.lit(order), "row_order": place}).na.fill("", names)
+        one = one.withColumn("dialect_", F.coalesce(F.col("Dialect"), F.lit(dialect)) if "Dialect" in names else F.lit(dialect))
+        one = one.drop("Dialect").withColumnRenamed("dialect_", "dialect")
         out = one if out is None else out.unionByName(one, allowMissingColumns=True)
     return out
 
