@@ -9,7 +9,7 @@ from clipyard.functions import audio, labels
 from clipyard.functions import scalars as S
 from clipyard.operators import clips, metadata, sound, stats
 from clipyard.plans import queries as q
-from clipyard.sources import tables
+from clipyard.sources import sinks, tables
 from clipyard.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -24,6 +24,10 @@ def query(sql: str):
     return add
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{tables.shared_dir(spark).rstrip('/')}/{name}-{q.unique()}"
+
+
 # --- sound --------------------------------------------------------------------------------------
 
 
@@ -181,6 +185,21 @@ def read_manifest(spark: SparkSession, d: str) -> DataFrame:
     return tables.manifest(manifests(spark, d)).select("entry_key", "key", F.size(F.coalesce("audio_manipulation.donor_audio_paths", F.array().cast("array<string>"))).alias("n_paths"))
 
 
+@query("SELECT 'c' || doc_id AS entry_key, lang || '_' || source || '__' || doc_id || ' }, \"' AS key, CAST(greatest(doc_id % 3, 0) AS INT) AS n_paths FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL AND doc_id IS NOT NULL")
+def read_large_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """Manifests as files of large objects, with braces and quotes in their strings; no file is read as a whole."""
+    m = q.clip_rows(spark, d).where("dialect IS NOT NULL AND video_id IS NOT NULL")
+    k = F.col("doc_id")
+    paths = F.transform(F.when(k % 3 > 0, F.sequence(F.lit(1), (k % 3).cast("int"))).otherwise(F.array().cast("array<int>")), lambda i: F.concat(F.lit('\\{"'), i.cast("string"), F.lit("\\")))
+    entry = F.struct(F.concat("key", F.lit(' }, "')).alias("key"), F.struct(F.lit("x").alias("protocol_1_ood")).alias("splits"), F.struct(paths.alias("donor_audio_paths")).alias("audio_manipulation"))
+    text = F.concat(F.lit('"c'), k.cast("string"), F.lit('": '), F.to_json(entry))
+    whole = m.groupBy(F.floor(k / 400).alias("file")).agg(F.concat(F.lit("{\n"), F.array_join(F.collect_list(text), ",\n  "), F.lit("\n}")).alias("value"))
+    path = _folder(spark, "manifests")
+    whole.select("value").write.option("lineSep", "\n\n").text(path)
+    got = tables.large_manifest(spark, path, 100)
+    return got.select("entry_key", "key", F.size("audio_manipulation.donor_audio_paths").alias("n_paths"))
+
+
 @query("""SELECT 'c' || doc_id AS clip_id, CASE WHEN doc_id % 9 > 0 THEN 'maramures_itw_' || doc_id ELSE 'unknown' END AS video_id, CASE WHEN doc_id % 2 = 0 THEN lang WHEN doc_id % 9 > 0 THEN 'Maramureș' ELSE 'C' || doc_id END AS dialect,
 CASE WHEN doc_id % 5 > 0 THEN CASE WHEN CAST(regexp_extract(source, '(\\d+)$', 1) AS INT) % 2 = 0 THEN 'In-the-Wild' ELSE 'Studio' END WHEN doc_id % 9 > 0 THEN 'In-the-Wild' ELSE 'Studio' END AS environment, CASE WHEN doc_id % 6 > 0 THEN 'Train' ELSE 'unknown' END AS protocol_1_ood, ['Train', 'Validation', 'Test (In-Domain)', 'Test OOD (Maramureș)', 'Test OOD (Rep. Moldova)', 'odd_one'][doc_id % 6 + 1] AS protocol_2_fewshot,
 CASE WHEN doc_id % 4 > 0 THEN ['OpenVoice', 'Seed-VC', 'CosyVoice'][doc_id % 3 + 1] ELSE 'unassigned' END AS audio_method, CAST(CASE WHEN doc_id % 3 > 0 THEN doc_id % 3 ELSE doc_id % 5 END AS INT) AS num_donors FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL AND doc_id IS NOT NULL""")
@@ -252,3 +271,46 @@ def build_audit(spark: SparkSession, d: str) -> DataFrame:
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("type") == kind, kept)), F.lit(0)).alias(f"{kind}_rows")
     sums = by.agg(of("real"), of("fake"), F.coalesce(F.sum(kept), F.lit(0)).alias("total"), F.coalesce(F.sum("n_missing"), F.lit(0)).alias("missing"))
     return sums.join(F.broadcast(f.agg(F.count("*").alias("manifest_keys"))))
+
+
+# --- files of results ---------------------------------------------------------------------------
+
+
+@query(f"""WITH {q.TOP}, bx AS (SELECT t.video_id, t.a, quantile_cont(x1, 0.5) AS x1, quantile_cont(y1, 0.5) AS y1, quantile_cont(x2, 0.5) AS x2, quantile_cont(y2, 0.5) AS y2 FROM top t JOIN det d ON d.video_id = t.video_id AND d.time_sec >= t.a AND d.time_sec < t.b GROUP BY ALL)
+SELECT top.video_id || '/' || printf('%03d_%010.3f.mp4', ordinal, round(top.a, 3)) AS clip_filename, top.video_id AS source_video, round(b - top.a, 3) AS duration_sec, track_id, round(top.a, 3) AS start_sec, round(b, 3) AS end_sec, round(presence, 4) AS presence_ratio, round(speech, 4) AS speech_ratio,
+round(talking, 4) AS talking_ratio, round(face, 4) AS face_height_ratio, round(mean_confidence, 4) AS mean_confidence, '[' || concat_ws(', ', round(x1, 1), round(y1, 1), round(x2, 1), round(y2, 1)) || ']' AS median_bbox FROM top JOIN bx ON bx.video_id = top.video_id AND bx.a = top.a""")
+def clip_metadata_file(spark: SparkSession, d: str) -> DataFrame:
+    """The metadata file of the ranked clips, written and read again."""
+    _, w = q._quality(spark, d)
+    path = _folder(spark, "clips")
+    sinks.write_csv(sinks.clip_records(clips.top(w, q.RULES)), path, sinks.CLIPS)
+    return sinks.read_csv(spark, path, sinks.CLIPS)
+
+
+@query(f"""WITH {q.TOP} SELECT t.video_id, printf('%03d_%010.3f.mp4', ordinal, round(t.a, 3)) AS clip_filename, t.track_id AS speaker_track_id, round(t.a, 3) AS start_sec, d.frame, round(d.time_sec - round(t.a, 3), 3) AS time_sec, round(d.time_sec, 3) AS source_time_sec, round(d.x2, 1) AS x2, round(d.confidence, 4) AS confidence, d.is_talking
+FROM top t JOIN det d ON d.video_id = t.video_id AND round(t.a, 3) <= d.time_sec AND d.time_sec < t.b""")
+def annotation_files(spark: SparkSession, d: str) -> DataFrame:
+    """A file of annotations for each video, written and read again."""
+    det, w = q._quality(spark, d)
+    path = _folder(spark, "annotations")
+    sinks.write_by_video(sinks.annotation_records(clips.annotations(clips.top(w, q.RULES), det, q.RULES)), path)
+    a = sinks.read_by_video(spark, path, sinks.ANNOTATIONS)
+    return a.select("video_id", "clip_filename", "speaker_track_id", "start_sec", F.explode("boxes").alias("b")).select("video_id", "clip_filename", "speaker_track_id", "start_sec", "b.frame", "b.time_sec", "b.source_time_sec", F.col("b.bbox_xyxy")[2].alias("x2"), "b.confidence", "b.is_talking")
+
+
+@query(f"WITH {q.DET} SELECT video_id, dense_rank() OVER (PARTITION BY video_id ORDER BY frame) - 1 AS sample_idx, frame, CAST(floor(round(time_sec, 4)) AS BIGINT) AS second, round(x1, 2) AS x1, round(y2, 2) AS y2, round(confidence, 5) AS confidence FROM det")
+def timeline_files(spark: SparkSession, d: str) -> DataFrame:
+    """A timeline for each video, written as files that the reader of timelines finds, and read again."""
+    det = q.detections(spark, d).withColumns({"sample_idx": F.col("frame"), "box_idx": F.lit(0)})
+    path = _folder(spark, "timelines")
+    sinks.write_by_video(tables.nested(det).withColumn("source_video", F.col("video_id")), path)
+    t = spark.read.schema(tables.DETECTIONS).option("recursiveFileLookup", True).json(path)
+    return tables.flattened(t, 0.0).select("video_id", F.col("sample_idx").cast("long").alias("sample_idx"), "frame", F.floor("time_sec").alias("second"), "x1", "y2", "confidence")
+
+
+@query(SQL["audio_metrics"].replace("vec_id AS clip_id", "CAST(vec_id AS VARCHAR) AS clip_id"))
+def metrics_file(spark: SparkSession, d: str) -> DataFrame:
+    """The file of sound metrics, written and read again."""
+    path = _folder(spark, "metrics")
+    sinks.write_csv(audio_metrics(spark, d), path, sinks.METRICS)
+    return sinks.read_csv(spark, path, sinks.METRICS)

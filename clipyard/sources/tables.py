@@ -72,6 +72,32 @@ def manifest(texts: DataFrame) -> DataFrame:
     return texts.select(F.explode(F.from_json("value", MANIFEST)).alias("entry_key", "e")).select("entry_key", "e.*")
 
 
+def large_manifest(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+    """The same rows from files of keyed JSON objects (one, or several one after another), however large: a file is read by all tasks.
+
+    Spark reads the files in pieces that end with a closing brace, in splits of its own. Whether a piece begins inside a
+    string, and at which depth, depends on all before it, but only by sums: of the quotes, then of the braces outside
+    strings. Two ordered scans by file carry them across, a third counts the entries that ended before, and the pieces
+    of an entry, which come to the size of one entry, are put together again.
+    """
+    from clipyard.operators.scans import Scan, ordered
+
+    pieces = spark.read.option("lineSep", "}").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    order = ["block", "id"]
+    bare = F.regexp_replace("value", r"(?s)\\.", "")  # without escaped characters
+    o = ordered(scratch(pieces.withColumn("quotes", F.length(bare) - F.length(F.replace(bare, F.lit('"'), F.lit("")))), "pieces"), ["file"], order, most)
+    o = o.scan(quotes_before=Scan("sum", F.col("quotes"), own=False))
+    inside = F.col("quotes_before") % 2 == 1
+    outside = F.regexp_replace(F.concat(F.when(inside, '"').otherwise(""), bare), r'(?s)"[^"]*("|$)', "")
+    ends_inside = (F.col("quotes_before") + F.col("quotes")) % 2 == 1
+    o = o.with_columns(opened=F.length(outside) - F.length(F.replace(outside, F.lit("{"), F.lit(""))), closed=F.when(ends_inside, 0).otherwise(1))
+    o = o.scan(depth=Scan("sum", F.col("opened") - F.col("closed")))
+    o = o.with_columns(ended=F.when((F.col("closed") == 1) & (F.col("depth") == 1), 1).otherwise(0)).scan(entry=Scan("sum", F.col("ended"), own=False))
+    parts = o.result().groupBy("file", "entry").agg(F.max("ended").alias("whole"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "value"))), lambda x: x["value"]), "}").alias("text"))
+    one = parts.where("whole = 1").select(F.concat(F.lit("{"), F.regexp_replace("text", r"^[\s{},]*", ""), F.lit("}}")).alias("value"))
+    return manifest(one)
+
+
 def inventory(spark: SparkSession, root: str, suffixes: tuple[str, ...]) -> DataFrame:
     """path and length of files by suffix, whatever its case; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
@@ -92,16 +118,42 @@ def write_flat(df: DataFrame, path: str, parquet: bool = True) -> None:
         df.write.parquet(f"{path}/parquet")
 
 
-def publish(df: DataFrame, path: str) -> None:
-    """Replaces a published table as a whole: written beside, then renamed, so no reader sees a part of it. Between the two renames there is none at all: a reader that finds no table tries again. The old one goes last, so a job lost before loses nothing."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    new, old = (jvm.org.apache.hadoop.fs.Path(f"{path}.{x}-{uuid.uuid4().hex}") for x in ("new", "old"))
-    target = jvm.org.apache.hadoop.fs.Path(path)
+def _files(spark: SparkSession, path: str):
+    """(the file system of path, its class of paths)"""
+    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), of
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the versions under path, lowest first."""
+    fs, of = _files(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(of(path))] if fs.exists(of(path)) else []
+    return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit())
+
+
+def publish(df: DataFrame, path: str, keep: int = 2) -> int:
+    """Publishes df as the next version under path, and gives its number.
+
+    It is written beside and gets its name by one rename to a name that is not yet there: until then readers find the
+    version before, and from then on this one, never a part of a table and never none. A job lost before leaves a folder
+    without a version's name, which no reader looks at. The last `keep` versions stay, so that readers of the one before
+    can finish. One job publishes at a time; df may be read from an earlier version.
+    """
+    fs, of = _files(df.sparkSession, path)
+    new = of(f"{path}/_new-{uuid.uuid4().hex}")
     df.write.parquet(new.toString())
-    if fs.exists(target):
-        fs.rename(target, old)
-    fs.rename(new, target)
-    if fs.exists(old):
-        fs.delete(old, True)
+    held = versions(df.sparkSession, path)
+    number = held[-1] + 1 if held else 1
+    if not fs.rename(new, of(f"{path}/v{number:010d}")):
+        raise OSError(f"version {number} of {path} could not be named")
+    for old in held[: max(0, len(held) + 1 - keep)]:
+        fs.delete(of(f"{path}/v{old:010d}"), True)
+    return number
+
+
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version under path."""
+    held = versions(spark, path)
+    if not held:
+        raise FileNotFoundError(f"nothing is published under {path}")
+    return spark.read.parquet(f"{path}/v{held[-1]:010d}")
