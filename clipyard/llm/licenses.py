@@ -237,10 +237,12 @@ def _clusters(found: Column) -> Column:
 
 
 def _kept(found: Column) -> Column:
-    """Detections that no better one contains or lies in; better: less rank, then longer, then the earlier label."""
+    """Detections, the better ones first, that contain no better one that is kept and lie in none; better: less rank, then longer, then the earlier label. One that is itself suppressed suppresses nothing."""
     inside = lambda o, m: (o["start"] <= m["start"]) & (o["start"] + o["size"] >= m["start"] + m["size"])
-    order = lambda m: F.struct(m["rank"], -m["size"], m["label"], m["start"])
-    return F.filter(found, lambda m: ~F.exists(found, lambda o: (inside(o, m) | inside(m, o)) & (order(o) < order(m))))
+    in_order = F.array_sort(F.transform(found, lambda m: F.struct(m["rank"].alias("rank"), (-m["size"]).alias("less"), m["label"].alias("label"), m["start"].alias("start"), m.alias("m"))))
+    none = F.filter(found, lambda m: F.lit(False))
+    kept = F.aggregate(in_order, none, lambda acc, x: F.when(F.exists(acc, lambda o: inside(o, x["m"]) | inside(x["m"], o)), acc).otherwise(F.concat(acc, F.array(x["m"]))))
+    return F.when(F.size(found) > 1, kept).otherwise(found)
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -122,9 +122,11 @@ def _ungated(text):
     """Labels of all rules run over the whole text."""
     w = " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower()))
     found = [(m.start(), m.end(), r["rank"], r["label"]) for r in licenses.rules() for m in re.finditer(r["regex"], w)]
-    order = lambda m: (m[2], m[0] - m[1], m[3], m[0])
-    inside = lambda a, b: b[0] <= a[0] and a[1] <= b[1]
-    kept = {m[3] for m in found if not any((inside(o, m) or inside(m, o)) and order(o) < order(m) for o in found)}
+    left, kept = set(found), set()
+    while left:  # the best of what is left stays, and all that it contains or lies in goes
+        best = min(left, key=lambda m: (m[2], m[0] - m[1], m[3], m[0]))
+        kept.add(best[3])
+        left = {m for m in left if not (m[0] <= best[0] and best[1] <= m[1] or best[0] <= m[0] and m[1] <= best[1])}
     return ",".join(sorted(kept | {label for phrase, label in licenses.PHRASES if f" {phrase} " in f" {w} "}))
 
 
@@ -141,6 +143,18 @@ def test_licenses_against_an_ungated_scan(spark, docs):
     assert got == {i: _ungated(t) for i, t in every.items()} and all(got[i] for i in range(len(odd)))
 
 
+def test_a_suppressed_license_suppresses_nothing(spark):
+    t = "Neither the name of Foo, licensed under Apache 2.0, nor GPL license text, may be used to endorse or promote products derived from this software"
+    got = licenses.scan(spark.createDataFrame([(1, t)], "doc_id long, text string")).first()["labels"]
+    assert got == _ungated(t) and {"apache-2", "gpl"} <= set(got.split(","))
+
+
+def test_pii_terms_of_rows_given_twice(spark):
+    rows = [(i, f"word{i}a word{i}b secretname x@y.org word{i}c") for i in range(6)] + [(100 + i, f"plain text number{i}") for i in range(60)]
+    terms = lambda r: sorted(map(tuple, pii.disclosing_terms(d := spark.createDataFrame(r, "doc_id long, text string"), pii.detect_base(d)).collect()))
+    assert terms(rows) == terms(rows + rows) and terms(rows)
+
+
 def test_sentencepiece_ids_and_round_trip(spark, docs):
     import sentencepiece
 
