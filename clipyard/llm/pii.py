@@ -146,11 +146,11 @@ def detect_base(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, alpha: float = ALPHA, support: int = SUPPORT, remove_at: float = REMOVE_AT) -> DataFrame:
     """entity, term, action of the pairs over the threshold. n(t) counts all documents, n(c) and n(c,t) those with the entity. An entity that every document holds has no information to disclose."""
-    near = found.select("k_id", "k_text", F.explode("near").alias("x")).select("k_id", "k_text", "x.*")
-    # Counted in two steps, so that the rows of a kind do not meet in one task.
-    each = near.groupBy("entity", "term", "mark").agg(F.count_distinct("k_id", "k_text").alias("n"))
-    texts = near.groupBy("entity", "term", "k_id", "k_text").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    pairs = each.groupBy("entity", "term").agg(F.count("*").alias("n_marks")).where(F.col("n_marks") >= support).join(texts, ["entity", "term"])
+    # Counted in two steps, so that the rows of a kind do not meet in one task. All counts are of rows, so that rows given twice leave the ratio as it is.
+    marks = found.select(F.explode("near").alias("x")).select("x.*").groupBy("entity", "term", "mark").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count("*").alias("n_marks"))
+    beside = F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))
+    rows = found.select(F.explode(beside).alias("x")).groupBy("x.entity", "x.term").agg(F.count("*").alias("n_both"))
+    pairs = marks.where(F.col("n_marks") >= support).join(rows, ["entity", "term"])
     n_entity = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     wanted = scratch(pairs.join(n_entity, "entity"), "pii-pairs")
     # Words of the corpus: 8-byte hashes summed on the map side before any row moves; only candidates are kept after.
