@@ -11,6 +11,7 @@ from clipyard.functions import labels
 from clipyard.functions.scalars import mapped
 from clipyard.operators.metadata import donor_paths
 from clipyard.operators.scans import Scan, ordered
+from clipyard.sources.tables import scratch
 
 
 def crosstab(df: DataFrame, row: str, column: str, values: list[str]) -> DataFrame:
@@ -25,9 +26,9 @@ def box_stats(df: DataFrame, by: list[str], x: str, whisker: float = 1.5, most:
     Exact: equal values are counted first, a scan in order gives each value the places it takes, and a quartile is read
     off at its place. No group's values are gathered.
     """
-    values = df.where(F.col(x).isNotNull()).groupBy(*by, F.col(x).alias("v_")).agg(F.count("*").alias("n_"))
+    values = scratch(df.where(F.col(x).isNotNull()).groupBy(*by, F.col(x).alias("v_")).agg(F.count("*").alias("n_")), "values")
     placed = ordered(values, by, ["v_"], most).scan(before_=Scan("sum", F.col("n_"), own=False)).result()
-    size = df.where(F.col(x).isNotNull()).groupBy(*by).agg(F.count("*").alias("all_"))
+    size = values.groupBy(*by).agg(F.sum("n_").alias("all_"))
     held = placed.join(size, by)
     picks = []
     for name, share in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
