@@ -76,11 +76,16 @@ def resampled(x: np.ndarray, rate: int, target: int) -> np.ndarray:
     return out
 
 
-def encoded(x: np.ndarray, rate: int, channels: int) -> bytes:
-    """A WAV file of 16 bits; samples (interleaved) beyond -1 to 1 are clipped."""
-    body = np.clip(np.floor(x * 32768 + 0.5), -32768, 32767).astype("<i2").tobytes()
-    head = struct.pack("<HHIIHH", 1, channels, rate, rate * channels * 2, channels * 2, 16)
-    return b"RIFF" + struct.pack("<I", 36 + len(body)) + b"WAVEfmt " + struct.pack("<I", 16) + head + b"data" + struct.pack("<I", len(body)) + body
+def encoded(x: np.ndarray, rate: int, channels: int, bits: int = 16, floating: bool = False) -> bytes:
+    """A WAV file of samples (interleaved): whole numbers of 8 (unsigned), 16, 24 or 32 bits, those beyond -1 to 1 clipped, or floats of 32 or 64."""
+    if floating:
+        body = x.astype(f"<f{bits // 8}").tobytes()
+    else:
+        whole = np.clip(np.floor(x * 2.0 ** (bits - 1) + 0.5), -(2.0 ** (bits - 1)), 2.0 ** (bits - 1) - 1).astype(np.int64)
+        body = (whole + 128).astype(np.uint8).tobytes() if bits == 8 else whole.astype("<i8").view(np.uint8).reshape(-1, 8)[:, : bits // 8].tobytes()
+    head = struct.pack("<HHIIHH", 3 if floating else 1, channels, rate, rate * channels * bits // 8, channels * bits // 8, bits)
+    pad = b"\0" * (len(body) % 2)
+    return b"RIFF" + struct.pack("<I", 36 + len(body) + len(pad)) + b"WAVEfmt " + struct.pack("<I", 16) + head + b"data" + struct.pack("<I", len(body)) + body + pad
 
 
 def _frames(x: np.ndarray) -> Iterator[np.ndarray]:
@@ -126,6 +131,12 @@ def wav_file(samples: pd.Series, rate: pd.Series, channels: pd.Series) -> pd.Ser
     return pd.Series([None if x is None else encoded(np.asarray(x, np.float64), int(r), int(c)) for x, r, c in zip(samples, rate, channels, strict=True)], dtype=object)
 
 
+@F.pandas_udf(BinaryType())
+def wav_file_of(samples: pd.Series, rate: pd.Series, bits: pd.Series, floating: pd.Series) -> pd.Series:
+    """WAV files of one channel in any of the formats."""
+    return pd.Series([None if x is None else encoded(np.asarray(x, np.float64), int(r), 1, int(b), bool(f)) for x, r, b, f in zip(samples, rate, bits, floating, strict=True)], dtype=object)
+
+
 @F.pandas_udf(SPECTRAL)
 def spectral(wave: pd.Series) -> pd.DataFrame:
     """Spectral measures of samples at RATE; nulls where there are none."""

@@ -55,6 +55,49 @@ def decode_waveforms(spark: SparkSession, d: str) -> DataFrame:
     return w.select("vec_id", F.size("w").cast("long").alias("n"), F.round(F.get("w", F.lit(0)).cast("double"), 6).alias("first_sample"), F.round(S.sum_of(F.transform("w", lambda x: F.abs(x.cast("double")))), 4).alias("total"))
 
 
+#: Samples as each format holds them, and the kernel of resampling: a sinc over LOBES zeros on either side, under a squared cosine.
+FORMATS = "f AS (SELECT vec_id, list_transform(embedding, lambda x: CASE vec_id % 5 WHEN 0 THEN greatest(-128, least(127, floor(CAST(x AS DOUBLE) * 128 + 0.5))) / 128 WHEN 1 THEN greatest(-8388608, least(8388607, floor(CAST(x AS DOUBLE) * 8388608 + 0.5))) / 8388608 WHEN 2 THEN greatest(-2147483648, least(2147483647, floor(CAST(x AS DOUBLE) * 2147483648 + 0.5))) / 2147483648 ELSE CAST(x AS DOUBLE) END) AS e FROM embeddings)"
+KERNEL = f"""r AS (SELECT vec_id, e, 8000 + vec_id % 3 * 4000 AS rate, (8000 + vec_id % 3 * 4000) / 16000.0::DOUBLE AS ratio FROM f),
+o AS (SELECT *, unnest(range(0, CAST(ceil(len(e) / ratio) AS BIGINT))) AS a, {audio.KEPT}::DOUBLE AS band, CAST(ceil({audio.LOBES} / {audio.KEPT}::DOUBLE) AS BIGINT) AS reach FROM r WHERE rate < 16000),
+p AS (SELECT vec_id, a, e, a * rate // 16000 AS w, (a * rate % 16000) / 16000.0::DOUBLE AS part, band, unnest(range(-reach, reach + 1)) AS tap FROM o),
+t AS (SELECT vec_id, a, CASE WHEN w + tap BETWEEN 0 AND len(e) - 1 THEN e[w + tap + 1] ELSE 0 END AS x, greatest(-{audio.LOBES}, least({audio.LOBES}, (tap - part) * band)) AS z, band FROM p),
+q AS (SELECT vec_id, a, CAST(sum(x * CASE WHEN z = 0 THEN 1 ELSE sin(pi() * z) / (pi() * z) END * pow(cos(z * pi() / {audio.LOBES} / 2), 2) * band) AS FLOAT) AS x FROM t GROUP BY ALL
+UNION ALL SELECT vec_id, a, CAST(e[a + 1] AS FLOAT) FROM (SELECT vec_id, e, unnest(range(0, len(e))) AS a FROM r WHERE rate = 16000))"""
+
+
+@query(f"WITH {FORMATS}, {KERNEL} SELECT vec_id, a AS place, round(CAST(x AS DOUBLE), 4) AS sample FROM q")
+def decode_formats(spark: SparkSession, d: str) -> DataFrame:
+    """Files of 8, 24 and 32 bits and of floats, at 8, 12 and 16 kHz: every sample at the rate wanted."""
+    k = F.col("vec_id")
+    bits = F.element_at(F.array(*map(F.lit, (8, 24, 32, 32, 64))), (k % 5 + 1).cast("int"))
+    wave = audio.waveform(audio.wav_file_of("embedding", F.lit(8000) + k % 3 * 4000, bits, k % 5 > 2))
+    return table(spark, d, "embeddings").select(k, F.posexplode(wave).alias("place", "x")).select("vec_id", F.col("place").cast("long").alias("place"), F.round(F.col("x").cast("double"), 4).alias("sample"))
+
+
+JOINED = """n AS (SELECT label, embedding, vec_id, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) // 40 AS part FROM embeddings),
+w AS (SELECT label, part, list_transform(flatten(list(embedding ORDER BY vec_id)), lambda x: CAST(x AS DOUBLE)) AS e FROM n GROUP BY ALL),
+fr AS (SELECT *, unnest(range(0, len(e) // 512 + 1)) AS j FROM w),
+fx AS (SELECT label, part, j, list_transform(range(0, 2048), lambda i: CASE WHEN j * 512 - 1024 + i BETWEEN 0 AND len(e) - 1 THEN e[j * 512 - 1024 + i + 1] * (0.5 - 0.5 * cos(2 * pi() * i / 2048)) ELSE 0 END) AS x,
+  list_transform(range(0, 2048), lambda i: e[greatest(1, least(len(e), j * 512 - 1024 + i + 1))]) AS y FROM fr),
+tw AS (SELECT k, list_transform(range(0, 2048), lambda i: cos(2 * pi() * (k * i % 2048) / 2048)) AS c, list_transform(range(0, 2048), lambda i: sin(2 * pi() * (k * i % 2048) / 2048)) AS s FROM range(0, 1025) t(k)),
+m AS (SELECT label, part, j, k, sqrt(pow(list_inner_product(x, c), 2) + pow(list_inner_product(x, s), 2)) AS s FROM fx, tw),
+c AS (SELECT *, sum(s) OVER (PARTITION BY label, part, j ORDER BY k) AS so_far, sum(s) OVER (PARTITION BY label, part, j) AS total FROM m),
+f AS (SELECT label, part, j, sum(k * s) / sum(s) * 16000 / 2048 AS centroid, min(CASE WHEN so_far >= 0.85::DOUBLE * total THEN k END) * 16000 / 2048.0 AS roll FROM c GROUP BY ALL),
+z AS (SELECT label, part, j, len(list_filter(range(1, 2048), lambda i: (y[i] < 0) <> (y[i + 1] < 0))) / 2048.0 AS zcr FROM fx)"""
+
+
+@query(f"WITH {JOINED} SELECT label, part, count(*) AS n_frames, round(avg(centroid), 3) AS spectral_centroid, round(avg(CAST(roll AS DOUBLE)), 3) AS spectral_rolloff, round(avg(CAST(zcr AS DOUBLE)), 6) AS zero_crossing_rate FROM f JOIN z USING (label, part, j) GROUP BY ALL")
+def spectral_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Waves of forty embeddings each, which are several frames long."""
+    from clipyard.operators.scans import numbered
+
+    e = numbered(table(spark, d, "embeddings").select("label", "vec_id", "embedding"), ["label"], ["vec_id"], "place")
+    own = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"]))
+    w = e.groupBy("label", F.floor(F.col("place") / 40).alias("part")).agg(own.alias("wave")).withColumn("s", audio.spectral("wave"))
+    frames = F.floor(F.size("wave") / audio.HOP) + 1
+    return w.select("label", "part", frames.cast("long").alias("n_frames"), F.round("s.spectral_centroid", 3).alias("spectral_centroid"), F.round("s.spectral_rolloff", 3).alias("spectral_rolloff"), F.round("s.zero_crossing_rate", 6).alias("zero_crossing_rate"))
+
+
 #: One frame, the samples in its middle; magnitudes by the definition of the transform.
 SPECTRUM = """b AS (SELECT vec_id, unnest(range(0, 1025)) AS k, list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) * (0.5 - 0.5 * cos(2 * pi() * (1023 + i) / 2048))) AS e FROM embeddings),
 m AS (SELECT vec_id, k, sqrt(pow(list_sum(list_transform(e, lambda x, i: x * cos(2 * pi() * k * (1023 + i) / 2048))), 2) + pow(list_sum(list_transform(e, lambda x, i: x * sin(2 * pi() * k * (1023 + i) / 2048))), 2)) AS s FROM b),
