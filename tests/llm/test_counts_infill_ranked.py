@@ -205,6 +205,6 @@ def test_ranks_of_odd_rows(spark, odd):
     assert ranked.rank(odd.limit(0), items).count() == 0 == ranked.rank(odd, items.limit(0)).count()
 
 
-@pytest.mark.parametrize("name", ["op12_infill", "op13_ranked_search"])
+@pytest.mark.parametrize("name", ["op12_infill", "op13_ranked_search", "personal_data_counts", "license_words", "edited_texts"])
 def test_new_operators_equal_sql(spark, name):
     assert oracle.compare(oracle.connect(SF), queries.QUERIES[name](spark, SF), queries.SQL[name]) is None
