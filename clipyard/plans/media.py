@@ -357,3 +357,28 @@ def metrics_file(spark: SparkSession, d: str) -> DataFrame:
     path = _folder(spark, "metrics")
     sinks.write_csv(audio_metrics(spark, d), path, sinks.METRICS)
     return sinks.read_csv(spark, path, sinks.METRICS)
+
+
+@query("SELECT user_id, count(*) AS n, min(event_id) AS first_event FROM events GROUP BY 1")
+def published_table(spark: SparkSession, d: str) -> DataFrame:
+    """A table published three times, the last time from the version before; readers take the newest."""
+    path = _folder(spark, "published")
+    e = table(spark, d, "events")
+    tables.publish(e.select("user_id").limit(0), path)
+    tables.publish(e.groupBy("user_id").agg(F.count("*").alias("n")), path)
+    first = e.groupBy("user_id").agg(F.min("event_id").alias("first_event"))
+    tables.publish(tables.published(spark, path).join(first, "user_id"), path)
+    return tables.published(spark, path)
+
+
+@query("SELECT user_id AS k, min(CASE WHEN event_id % 3 < 2 THEN event_id END) AS v FROM events WHERE event_id % 3 < 2 GROUP BY 1 UNION ALL SELECT user_id, min(event_id) FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_id % 3 < 2) GROUP BY 1")
+def picked_up_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files that arrive in two turns; the rows of a key are taken once, from the first turn that has it, and a third run finds nothing new."""
+    from clipyard.streaming import incremental
+
+    base = _folder(spark, "arrivals")
+    e = table(spark, d, "events").select(F.col("user_id").alias("k"), F.col("event_id").alias("v"))
+    for turn in (F.col("v") % 3 < 2, F.col("v") % 3 == 2, F.lit(False)):
+        e.where(turn).write.mode("append").json(f"{base}/in")
+        incremental.pick_up(spark, f"{base}/in", "k long, v long", f"{base}/out", f"{base}/seen", lambda b: b, "k")
+    return spark.read.parquet(f"{base}/out").select("k", "v")

@@ -133,3 +133,16 @@ def test_quartiles_with_many_equal_values(spark):
     got = {r["g"]: r for r in stats.box_stats(df, ["g"], "x", most=1).collect()}
     want = {r["g"]: r["q"] for r in df.groupBy("g").agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).collect()}
     assert all([round(v, 9) for v in (got[g]["q1"], got[g]["median"], got[g]["q3"])] == [round(v, 9) for v in want[g]] for g in "abc") and got["c"]["outliers"] == 0
+
+
+def test_density_of_many_bins_equals_the_direct_sum(spark):
+    import numpy as np
+
+    df = spark.range(100_000).select((F.col("id") % 2).alias("g"), (F.pow((F.col("id") % 50_000) / 50_000.0, F.lit(2.0)) * 1000 + F.col("id") / 1e5).alias("x"))
+    for g, of in df.toPandas().groupby("g"):
+        x = of["x"].to_numpy()
+        v, m = np.unique(np.round(x / 0.001) * 0.001, return_counts=True)
+        h = x.std(ddof=1) * len(x) ** -0.2
+        got = stats.density(df.where(F.col("g") == g), "g", "x", 0.001).orderBy("i").select("at", "density").toPandas()
+        want = [(m * np.exp(-(((at - v) / h) ** 2) / 2)).sum() / len(x) / h / np.sqrt(2 * np.pi) for at in got["at"]]
+        assert len(v) > 40_000 and np.abs(got["density"] - want).max() < 1e-8
