@@ -22,7 +22,7 @@ def _plain(rows):
     return out
 
 
-@pytest.mark.parametrize("most,ranges", [(10**9, None), (0, 3), (0, 23), (50, None)])
+@pytest.mark.parametrize("most,ranges", [(10**9, None), (0, 23)])
 def test_scans_whatever_the_ranges(spark, most, ranges):
     rng = random.Random(1)
     rows = [(rng.choice(["a"] * 7 + ["b", "c", None]), t, rng.choice([None, None, 1, 2, 5, -3])) for t in range(400)]
@@ -61,12 +61,12 @@ def test_a_long_interval_takes_few_rows(spark):
     assert intervals._placed(year, list(range(30)), (0,), (1,), 10.0).count() <= 2 * 30
 
 
-@pytest.mark.parametrize("in_array,most", [(10**6, None), (0, None), (0, 10), (25, 0)])
+@pytest.mark.parametrize("in_array,most", [(10**6, None), (25, 0)])
 def test_suppression_by_plain_greed(spark, in_array, most):
     rng = random.Random(3)
     rows = []
     for track in range(3):
-        for i in range(70):
+        for i in range(50):
             s = rng.uniform(0, 300 if track else 60)
             rows.append(("v", track, i, s, s + rng.choice([1, 2, 8, 30]) * (0.2 + rng.random()), rng.randrange(12)))
     rows += [("w", 0, i, float(i), i + 1.0, 5) for i in range(20)] + [("x", 0, i, i * 1.0, i + 1.5, i) for i in range(40)]
@@ -80,7 +80,7 @@ def test_suppression_by_plain_greed(spark, in_array, most):
     assert {(r["video_id"], r["track_id"], r["i"]) for r in got.collect()} == want and got.columns == df.columns
 
 
-@pytest.mark.parametrize("samples,warm,most", [(2000, 50, None), (20, 10, 0), (6, 0, 0)])
+@pytest.mark.parametrize("samples,warm,most", [(20, 10, 0), (6, 0, None)])
 def test_tracks_in_slices_equal_one_tracker(spark, samples, warm, most):
     rng = random.Random(4)
     rows = []
