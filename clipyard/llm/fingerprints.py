@@ -90,11 +90,10 @@ def with_next(docs: DataFrame, buckets: int) -> DataFrame:
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), place.cast("int").alias("bucket"))
     order = F.struct(F.col("doc_id").isNull().alias("last"), -F.col("doc_id"), F.col("text"))
     first = own.groupBy("bucket").agg(F.min_by(F.struct("doc_id", "text"), order).alias("row"))
-    # Ranges without rows don't occur in `first`; this window runs over one row per range (at most `buckets`).
+    # Ranges without rows don't occur; the window runs over the numbers of ranges alone (at most `buckets`), not over texts.
     w = Window.orderBy("bucket")
-    extra = first.select(F.coalesce(F.lag("bucket").over(w), F.lit(-1)).alias("bucket"), F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
-    top = first.agg(F.max("bucket").alias("top"))
-    extra = extra.join(F.broadcast(top)).select("doc_id", "text", F.when(F.col("bucket") < 0, F.col("top")).otherwise(F.col("bucket")).alias("bucket"))
+    before = own.select("bucket").distinct().select("bucket", F.coalesce(F.lag("bucket").over(w), F.max("bucket").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("before"))
+    extra = first.join(F.broadcast(before), "bucket").select("row.doc_id", "row.text", F.col("before").alias("bucket"))
     both = own.withColumn("extra", F.lit(False)).unionByName(extra.withColumn("extra", F.lit(True)))
     w = Window.partitionBy("bucket").orderBy("extra", F.col("doc_id").desc_nulls_last(), "text")
     return both.repartitionById(buckets, F.col("bucket")).select("bucket", "extra", "doc_id", "text", F.row_number().over(w).alias("rn"), F.lead("text").over(w).alias("next"))
