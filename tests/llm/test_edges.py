@@ -165,3 +165,17 @@ def test_stages_on_odd_and_empty_tables(spark, odd, name):
     n = len(stage(spark, odd, SF).collect())
     assert n == 9 or name == "language ID" and n <= 6  # those without a letter go
     assert stage(spark, odd.limit(0), SF).count() == 0
+
+
+def test_chains_recall_of_changed_added_and_lost_words(spark):
+    rng = random.Random(77)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    some = lambda n: [word() for _ in range(n)]
+    rows = []
+    for i in range(60):
+        p, q = some(60), []
+        for k, w in enumerate(p):
+            q += rng.choice([[word()], [w, word()], []]) if k % 15 == 7 else [w]
+        rows += [(2 * i, " ".join(some(40) + p + some(40))), (2 * i + 1, " ".join(some(30) + q + some(50)))]
+    got = {r["doc_id"]: r["first_ids"] for r in chains.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[2 * i + 1] == [2 * i] for i in range(60)) >= 54 and not any(got[2 * i] for i in range(60))
