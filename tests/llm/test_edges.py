@@ -179,3 +179,29 @@ def test_chains_recall_of_changed_added_and_lost_words(spark):
         rows += [(2 * i, " ".join(some(40) + p + some(40))), (2 * i + 1, " ".join(some(30) + q + some(50)))]
     got = {r["doc_id"]: r["first_ids"] for r in chains.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert sum(got[2 * i + 1] == [2 * i] for i in range(60)) >= 54 and not any(got[2 * i] for i in range(60))
+
+
+def test_chains_find_all_passages_above_the_threshold(spark):
+    rng = random.Random(78)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    some = lambda n: [word() for _ in range(n)]
+    rows = []
+    for i, (n, every) in enumerate([(n, e) for n in (51, 60, 120) for e in (5, 6, 8, 10, 0) for _ in range(8)]):
+        p = some(n)
+        changed = {*range(3, n - 1, every)} if every else {*rng.sample(range(1, n - 1), n // 5)}
+        rows += [(2 * i, " ".join(some(40) + p + some(40))), (2 * i + 1, " ".join(some(30) + [word() if k in changed else w for k, w in enumerate(p)] + some(50)))]
+    got = {r["doc_id"]: (r["first_ids"], r["n_repeated"]) for r in chains.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in range(len(rows) // 2):
+        assert got[2 * i] == ([], 0) and got[2 * i + 1][0] == [2 * i] and got[2 * i + 1][1] >= max(50, 0.8 * (51, 60, 120)[i // 40])
+
+
+def test_chains_of_words_that_stand_in_many_places(spark):
+    rng = random.Random(79)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    some = lambda n: [word() for _ in range(n)]
+    p, line = some(70), some(8)
+    rows = [(i, some(20) + p[:35] + some(20) + line + p[31:]) for i in range(chains.MOST + 5)] + [(100 + i, some(30) + p + some(9) + line) for i in range(3)]
+    rows += [(200, some(30) + [word() if k % 8 == 4 else w for k, w in enumerate(p)])]
+    got = {r["doc_id"]: (r["first_ids"], r["spans"]) for r in chains.repeated(spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")).collect()}
+    assert got[101] == got[102] == ([100], "30:100") and got[0] == ([], "")
+    assert set(got[200][0]) <= {100, 101, 102}
