@@ -27,7 +27,7 @@ from clipyard.llm.common import table, tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-SLICE_CHARS, BATCH_ROWS, BATCH_CHARS, PAIRS = 250_000, 1000, 4_000_000, 1 << 20
+SLICE_CHARS, BATCH_ROWS, BATCH_CHARS, PAIRS = 100_000, 250, 500_000, 1 << 20
 #: Stands for NUL inside units, which separates them. Texts hold no lone surrogate.
 NUL = "\udc00"
 

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import tracemalloc
 
 import pytest
 
@@ -205,3 +206,16 @@ def test_chains_of_words_that_stand_in_many_places(spark):
     got = {r["doc_id"]: (r["first_ids"], r["spans"]) for r in chains.repeated(spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")).collect()}
     assert got[101] == got[102] == ([100], "30:100") and got[0] == ([], "")
     assert set(got[200][0]) <= {100, 101, 102}
+
+
+def test_encoding_holds_little_at_once():
+    import pyarrow as pa
+
+    rng = random.Random(80)
+    texts = [" ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(400)) for _ in range(1000)]
+    encoder = pieces.Encoder(pieces.load())
+    tracemalloc.start()
+    n = sum(len(i) for _, part in pieces._parts(pa.array(texts)) for i in encoder.encode(part))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 1000 * 400 and peak < 70e6
