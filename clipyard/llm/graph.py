@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipyard.llm.common import scratch
 
 
+def _least():
+    """The least neighbour of the row's u."""
+    return F.min("v").over(Window.partitionBy("u"))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
+    """May hold an edge more than once, in no more rows than edges has."""
     both = edges.union(edges.select("v", "u"))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    least = both.select("u", "v", F.least(_least(), F.col("u")).alias("m"))
+    return least.where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    joined = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return joined.union(least.select("u", "m")).where("u <> v").distinct()
+    least = down.select("u", "v", _least().alias("m"))
+    # The edge to the least neighbour stays, and links the node itself; the others link their ends.
+    return least.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _mark(edges: DataFrame) -> tuple:

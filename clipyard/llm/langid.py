@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipyard.llm.common import mix, table, tidy
+from clipyard.llm.common import mix, table, tidy, trim
 
 BUCKETS, PER_LANGUAGE, SAMPLE_ROWS, LEAST_ROWS, LEAST_SHARE, LOW, MARGIN = 4096, 4, 3000, 15, 0.05, 0.01, 0.5
 UNKNOWN = "und"
@@ -125,24 +125,38 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, per_language: int =
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kept = [(lang.as_py(), counts(text.as_py(), buckets).astype(np.float32).tobytes()) for lang, text in zip(b.column("lang"), b.column("text"), strict=True) if has_letter(text.as_py())]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in kept], pa.string()), pa.array([x[1] for x in kept], pa.binary())], names=["lang", "v"])
-
-    got = sorted((r["lang"], bytes(r["v"])) for r in sample.mapInArrow(tidy(vectors), "lang string, v binary").collect())
-    langs = np.array([g[0] for g in got])
-    x = np.log1p(np.array([np.frombuffer(g[1], np.float32) for g in got]).reshape(len(got), buckets))
-    idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
+            kept = []
+            for lang, text in zip(b.column("lang"), b.column("text"), strict=True):
+                if has_letter(text.as_py()):
+                    c = counts(text.as_py(), buckets).astype(np.float32)
+                    at = np.flatnonzero(c)
+                    kept.append((lang.as_py(), at.astype(np.int32).tobytes(), c[at].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in kept], kind) for i, kind in enumerate((pa.string(), pa.binary(), pa.binary()))], names=["lang", "at", "v"])
+
+    got = sample.mapInArrow(tidy(vectors), "lang string, at binary, v binary").collect()
+    langs, x = np.array([r["lang"] for r in got]), np.zeros((len(got), buckets), np.float32)
+    for row, r in zip(x, got, strict=True):
+        row[np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["v"], np.float32)
+    del got
+    # By language, then by the bytes of the counts: the order of rows, and so the model, doesn't depend on that of the table.
+    order = np.argsort(x.view(np.dtype((np.void, x.itemsize * buckets))).ravel(), kind="stable")
+    order = order[np.argsort(langs[order], kind="stable")]
+    langs, idf = langs[order], (np.log((1 + len(x)) / (1 + np.count_nonzero(x, axis=0))) + 1).astype(np.float32)
+    np.log1p(x, out=x)
     x *= idf
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    for lo in range(0, len(x), 256):
+        x[lo : lo + 256] /= np.maximum(np.linalg.norm(x[lo : lo + 256], axis=1, keepdims=True), 1e-12)
     centroids, labels, radius = [], [], []
     for lang in sorted(set(langs.tolist())):
-        own = x[langs == lang]
+        own = x[order[langs == lang]]
         c, at = _clusters(own, per_language)
         near = (own * c[at]).sum(axis=1)
         for i in range(len(c)):
             centroids.append(c[i])
             labels.append(lang)
             radius.append(max(0.0, float(np.quantile(near[at == i], LOW)) * margin) if (at == i).any() else 0.0)
+    x = own = None
+    trim()
     return Model(idf, np.array(centroids, np.float32), tuple(labels), np.array(radius))
 
 

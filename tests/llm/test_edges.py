@@ -9,7 +9,7 @@ import tracemalloc
 import pytest
 
 import corpus_pipeline
-from clipyard.llm import chains, decontaminate, fingerprints, langid, licenses, ngram_join, pieces, pii, suffix_dedup, warc
+from clipyard.llm import chains, decontaminate, fingerprints, graph, langid, licenses, ngram_join, pieces, pii, suffix_dedup, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, score double, labels string, item_id long, component_id long, fingerprint string, spans string, ids string"
 LONG, TIGHT, MAIL = "palabra " * 20_000, "ab" * 30_000, "a mail a@b.co under the MIT License here"
@@ -219,3 +219,33 @@ def test_encoding_holds_little_at_once():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert n > 1000 * 400 and peak < 70e6
+
+
+def test_components_take_few_exchanges(spark):
+    """A round of stars deals its edges out three times at most; components equal those of a plain search."""
+    rng = random.Random(11)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 470)] + [(500, i) for i in range(501, 560)] + [(3, 3)]
+    edges = spark.createDataFrame(links, "u long, v long")
+    assert graph._small_star(graph._large_star(edges))._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 3
+    root = {x: x for link in links for x in link}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for u, v in links:
+        lo, hi = sorted((top(u), top(v)))
+        root[hi] = lo
+    assert sorted(tuple(r) for r in graph.components(edges).collect()) == sorted((x, top(x)) for x in root if top(x) != x)
+
+
+def test_language_model_in_little_memory(spark):
+    """The driver holds the sampled vectors, 48 MB here, once, and part of them again while it sorts and clusters."""
+    rows = spark.range(3000).selectExpr("id AS doc_id", "'some words of the number ' || id AS text", "IF(id % 2 = 0, 'a', 'b') AS lang")
+    langid.fit(rows)
+    tracemalloc.start()
+    model = langid.fit(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(model.labels) == {"a", "b"} and peak < 150e6
