@@ -249,3 +249,28 @@ def test_language_model_in_little_memory(spark):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert set(model.labels) == {"a", "b"} and peak < 150e6
+
+
+def test_chains_give_every_match_in_any_order_of_texts(spark):
+    """A seed in few places links all of them, within a run too, whatever order the texts come in."""
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(900)]
+    texts = [" ".join(base), " ".join(base[300:]), " ".join(["x", "y", *base])]
+    want = sorted([(11, 10, p, p + 300) for p in range(597)] + [(12, 10, p + 2, p) for p in range(897)] + [(12, 11, p + 2, p - 300) for p in range(300, 897)])
+    for order in ((0, 1, 2), (2, 0, 1)):
+        batch = pa.RecordBatch.from_arrays([pa.array(order), pa.array([10 + i for i in order]), pa.array([texts[i] for i in order])], names=["k_id", "k", "text"])
+        got = [tuple(r.values()) for b in chains._matched(chains._grams(50, False, 1)(iter([batch]))) for r in b.to_pylist()]
+        assert sorted(got) == want
+
+
+def test_chains_of_matches_in_single_batches(spark):
+    """Matches that stand alone are in no chain; those that a batch's end parts from their company are."""
+    import pyarrow as pa
+
+    rows = [(1, 2, 5, 5), (1, 2, 90, 40), (1, 2, 94, 44), (1, 3, 100, 52), (1, 3, 190, 52), (2, 3, 0, 0), (2, 3, 20, 20), (2, 3, 65, 65)]
+    for size in (1, 2, 3, 8):
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[lo : lo + size]], pa.int64() if i < 2 else pa.int32()) for i in range(4)], names=["k", "l", "pos", "l_pos"]) for lo in range(0, len(rows), size)]
+        got = [tuple(r.values()) for b in chains._chains(iter(batches)) for r in b.to_pylist()]
+        assert got == [(1, 2, [90, 94], [40, 44]), (2, 3, [0, 20], [0, 20])]
