@@ -274,3 +274,32 @@ def test_chains_of_matches_in_single_batches(spark):
         batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[lo : lo + size]], pa.int64() if i < 2 else pa.int32()) for i in range(4)], names=["k", "l", "pos", "l_pos"]) for lo in range(0, len(rows), size)]
         got = [tuple(r.values()) for b in chains._chains(iter(batches)) for r in b.to_pylist()]
         assert got == [(1, 2, [90, 94], [40, 44]), (2, 3, [0, 20], [0, 20])]
+
+
+def test_chains_matches_move_in_few_bytes():
+    """Packed matches are those of the seeds, once each, in few bytes a match; seeds of many places are in the bitmap."""
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(2000)]
+    texts = [" ".join([*(f"x{i}{k}" for k in range(rng.randrange(9))), *base[rng.randrange(300) :]]) for i in range(20)] + ["all of one line"] * (chains.MOST + 1)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([1000 - 7 * i for i in range(len(texts))]), pa.array(texts)], names=["k_id", "k", "text"])
+    seeds = list(chains._grams(50, False, 3)(iter([batch])))
+    want = {tuple(r.values()) for b in seeds for s in range(b.num_rows) for m in chains._matched(iter([b.slice(s, 1)])) for r in m.to_pylist()}
+    rows = [r for b in chains._packed(4, True, 3)(iter(seeds)) for r in b.to_pylist()]
+    got = [m for r in rows if r["part"] >= 0 for m in zip(*(v.tolist() for v in chains._unpack(r["data"])), strict=True)]
+    assert len(got) == len(want) and set(got) == want and sum(len(r["data"]) for r in rows if r["part"] >= 0) < 2 * len(got)
+    bits = [r["data"] for r in sorted((r for r in rows if r["part"] < 0), key=lambda r: r["bucket"])]
+    assert len(bits) == 3 and sum(int.from_bytes(b, "little").bit_count() for b in bits) == 1
+
+
+def test_chains_of_runs_are_those_of_matches():
+    rng = random.Random(10)
+    for _ in range(200):
+        runs, at = [], (rng.randrange(9), rng.randrange(9))
+        for _ in range(rng.randrange(1, 9)):
+            runs.append((*at, n := rng.randrange(1, 9)))
+            at = at[0] + n + rng.randrange(1, 60), at[1] + n + rng.randrange(1, 60)
+        matches = [(x + i, y + i) for x, y, n in runs for i in range(n)]
+        want = chains.chain(*(list(v) for v in zip(*matches, strict=True)), chains.SEED)
+        assert [[(x + i, y + i) for x, y, n in one for i in range(n)] for one in chains.linked(runs)] == [[matches[i] for i in one] for one in want]
