@@ -47,6 +47,14 @@ def test_a_large_key_is_spread_and_carries_are_few(spark):
     assert tuple(last) == (20_000, 20_000)
 
 
+@pytest.mark.parametrize("most", [10**9, 0])
+def test_no_scan_goes_through_the_rest_for_each_row(spark, most):
+    df = spark.range(3000).select(F.lit("large").alias("k"), F.col("id").alias("t"))
+    back = ordered(df, ["k"], ["t"], most).scan(n=Scan("last", F.col("t"), own=False, back=True), s=Scan("sum", F.lit(1), back=True)).result()
+    assert "unboundedfollowing" not in back._jdf.queryExecution().toString().lower()
+    assert all((r["n"], r["s"]) == (r["t"] + 1 if r["t"] < 2999 else None, 3000 - r["t"]) for r in back.collect())
+
+
 @pytest.mark.parametrize("longest", [None, 900.0])
 def test_overlaps_of_mixed_lengths(spark, longest):
     rng = random.Random(2)
