@@ -320,8 +320,8 @@ def build_audit(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {q.TOP}, bx AS (SELECT t.video_id, t.a, quantile_cont(x1, 0.5) AS x1, quantile_cont(y1, 0.5) AS y1, quantile_cont(x2, 0.5) AS x2, quantile_cont(y2, 0.5) AS y2 FROM top t JOIN det d ON d.video_id = t.video_id AND d.time_sec >= t.a AND d.time_sec < t.b GROUP BY ALL)
-SELECT top.video_id || '/' || printf('%03d_%010.3f.mp4', ordinal, round(top.a, 3)) AS clip_filename, top.video_id AS source_video, round(b - top.a, 3) AS duration_sec, track_id, round(top.a, 3) AS start_sec, round(b, 3) AS end_sec, round(presence, 4) AS presence_ratio, round(speech, 4) AS speech_ratio,
-round(talking, 4) AS talking_ratio, round(face, 4) AS face_height_ratio, round(mean_confidence, 4) AS mean_confidence, '[' || concat_ws(', ', round(x1, 1), round(y1, 1), round(x2, 1), round(y2, 1)) || ']' AS median_bbox FROM top JOIN bx ON bx.video_id = top.video_id AND bx.a = top.a""")
+SELECT top.video_id || '/' || printf('%03d_%010.3f.mp4', ordinal, {q.rounded('top.a', 3)}) AS clip_filename, top.video_id AS source_video, {q.rounded('b - top.a', 3)} AS duration_sec, track_id, {q.rounded('top.a', 3)} AS start_sec, {q.rounded('b', 3)} AS end_sec, {q.rounded('presence', 4)} AS presence_ratio, {q.rounded('speech', 4)} AS speech_ratio,
+{q.rounded('talking', 4)} AS talking_ratio, {q.rounded('face', 4)} AS face_height_ratio, {q.rounded('mean_confidence', 4)} AS mean_confidence, '[' || concat_ws(', ', {q.rounded('x1', 1)}, {q.rounded('y1', 1)}, {q.rounded('x2', 1)}, {q.rounded('y2', 1)}) || ']' AS median_bbox FROM top JOIN bx ON bx.video_id = top.video_id AND bx.a = top.a""")
 def clip_metadata_file(spark: SparkSession, d: str) -> DataFrame:
     """The metadata file of the ranked clips, written and read again."""
     _, w = q._quality(spark, d)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clipyard.functions.scalars import rounded
+
 CLIPS = "clip_filename string, source_video string, duration_sec double, track_id int, start_sec double, end_sec double, presence_ratio double, speech_ratio double, talking_ratio double, face_height_ratio double, mean_confidence double, median_bbox string"
 METRICS = "clip_id string, type string, method string, speaker_similarity double, rms_db double, crest_factor_db double, spectral_centroid double, spectral_rolloff double, zero_crossing_rate double"
 BOXES = "array<struct<time_sec:double,source_time_sec:double,frame:bigint,bbox_xyxy:array<double>,confidence:double,is_talking:boolean>>"
@@ -18,10 +20,10 @@ def as_json(numbers: Column) -> Column:
 
 def clip_records(top: DataFrame) -> DataFrame:
     """Ranked clips as rows of the metadata file: its twelve columns in order, the file under the folder of its video."""
-    n = lambda c, digits: F.round(c, digits)
+    n = lambda c, digits: rounded(F.col(c) if isinstance(c, str) else c, digits)
     return top.select(
         F.concat_ws("/", "video_id", "clip_filename").alias("clip_filename"), F.col("video_id").alias("source_video"), n(F.col("end") - F.col("start"), 3).alias("duration_sec"), F.col("track_id").cast("int").alias("track_id"), n("start", 3).alias("start_sec"), n("end", 3).alias("end_sec"),
-        n("presence", 4).alias("presence_ratio"), n("speech", 4).alias("speech_ratio"), n("talking", 4).alias("talking_ratio"), n("face", 4).alias("face_height_ratio"), n("mean_confidence", 4).alias("mean_confidence"), as_json(F.transform("median_bbox", lambda x: F.round(x, 1))).alias("median_bbox"),
+        n("presence", 4).alias("presence_ratio"), n("speech", 4).alias("speech_ratio"), n("talking", 4).alias("talking_ratio"), n("face", 4).alias("face_height_ratio"), n("mean_confidence", 4).alias("mean_confidence"), as_json(F.transform("median_bbox", lambda x: n(x, 1))).alias("median_bbox"),
     )
 
 
