@@ -31,6 +31,15 @@ def test_a_ratio_as_large_as_its_least_is_accepted(spark):
     assert [r[0] for r in w.select(clips.gate(w, rules)).collect()] == [None, None, "face"]
 
 
+def test_times_of_boxes_next_to_a_tie_round_up(spark):
+    c = spark.createDataFrame([("v", 0, "000.mp4", 2192471.5244999997, 2192481.5)], "video_id string, track_id int, clip_filename string, start double, end double")
+    d = spark.createDataFrame([("v", 0, t, i, 0.0, 0.0, 1.0, 1.0, 0.5, True) for i, t in enumerate((2192471.5245, 2192471.525, 2192480.1235))], "video_id string, track_id int, time_sec double, frame long, x1 double, y1 double, x2 double, y2 double, confidence double, is_talking boolean")
+    got = clips.annotations(c, d, clips.Rules()).first()
+    assert got["start"] == 2192471.525 and [(b["frame"], b["time_sec"]) for b in got["boxes"]] == [(1, 0.0), (2, 8.599)]
+    later = clips.annotations(c.withColumn("start", F.lit(2192471.524)), d, clips.Rules()).first()
+    assert [b["time_sec"] for b in later["boxes"]] == [0.001, 0.001, 8.6]
+
+
 @pytest.fixture(scope="module")
 def ties(spark, tmp_path_factory):
     """Events of videos whose clips have heights, speech, confidences, boxes and times next to ties."""
@@ -49,6 +58,6 @@ def ties(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["clip_metadata", "clip_metadata_file"])
+@pytest.mark.parametrize("name", ["clip_metadata", "clip_metadata_file", "clip_annotations"])
 def test_ties_equal_sql(spark, ties, name):
     assert oracle.compare(oracle.connect(ties), (q.QUERIES | media.QUERIES)[name](spark, ties), (q.SQL | media.SQL)[name]) is None
