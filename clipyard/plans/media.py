@@ -330,8 +330,8 @@ def clip_metadata_file(spark: SparkSession, d: str) -> DataFrame:
     return sinks.read_csv(spark, path, sinks.CLIPS)
 
 
-@query(f"""WITH {q.TOP} SELECT t.video_id, printf('%03d_%010.3f.mp4', ordinal, round(t.a, 3)) AS clip_filename, t.track_id AS speaker_track_id, round(t.a, 3) AS start_sec, d.frame, round(d.time_sec - round(t.a, 3), 3) AS time_sec, round(d.time_sec, 3) AS source_time_sec, round(d.x2, 1) AS x2, round(d.confidence, 4) AS confidence, d.is_talking
-FROM top t JOIN det d ON d.video_id = t.video_id AND round(t.a, 3) <= d.time_sec AND d.time_sec < t.b""")
+@query(f"""WITH {q.TOP} SELECT t.video_id, printf('%03d_%010.3f.mp4', ordinal, {q.rounded('t.a', 3)}) AS clip_filename, t.track_id AS speaker_track_id, {q.rounded('t.a', 3)} AS start_sec, d.frame, {q.rounded(f"d.time_sec - {q.rounded('t.a', 3)}", 3)} AS time_sec, {q.rounded('d.time_sec', 3)} AS source_time_sec, {q.rounded('d.x2', 1)} AS x2, {q.rounded('d.confidence', 4)} AS confidence, d.is_talking
+FROM top t JOIN det d ON d.video_id = t.video_id AND {q.rounded('t.a', 3)} <= d.time_sec AND d.time_sec < t.b""")
 def annotation_files(spark: SparkSession, d: str) -> DataFrame:
     """A file of annotations for each video, written and read again."""
     det, w = q._quality(spark, d)

@@ -29,8 +29,8 @@ def clip_records(top: DataFrame) -> DataFrame:
 
 def annotation_records(a: DataFrame) -> DataFrame:
     """Annotations of clips (operators.clips.annotations) as they are written, digits cut as there."""
-    box = lambda b: F.struct(b["time_sec"].alias("time_sec"), F.round(b["source_time_sec"], 3).alias("source_time_sec"), b["frame"].alias("frame"), F.transform(b["bbox_xyxy"], lambda x: F.round(x, 1)).alias("bbox_xyxy"), F.round(b["confidence"], 4).alias("confidence"), b["is_talking"].alias("is_talking"))
-    return a.select("video_id", "clip_filename", F.col("video_id").alias("source_video"), F.col("track_id").cast("int").alias("speaker_track_id"), F.round("start", 3).alias("start_sec"), F.round("duration", 3).alias("duration_sec"), F.transform("boxes", box).alias("boxes"))
+    box = lambda b: F.struct(b["time_sec"].alias("time_sec"), rounded(b["source_time_sec"], 3).alias("source_time_sec"), b["frame"].alias("frame"), F.transform(b["bbox_xyxy"], lambda x: rounded(x, 1)).alias("bbox_xyxy"), rounded(b["confidence"], 4).alias("confidence"), b["is_talking"].alias("is_talking"))
+    return a.select("video_id", "clip_filename", F.col("video_id").alias("source_video"), F.col("track_id").cast("int").alias("speaker_track_id"), rounded(F.col("start"), 3).alias("start_sec"), rounded(F.col("duration"), 3).alias("duration_sec"), F.transform("boxes", box).alias("boxes"))
 
 
 def write_csv(rows: DataFrame, path: str, schema: str) -> None:

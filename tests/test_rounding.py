@@ -58,6 +58,6 @@ def ties(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["clip_metadata", "clip_metadata_file", "clip_annotations"])
+@pytest.mark.parametrize("name", ["clip_metadata", "clip_metadata_file", "clip_annotations", "annotation_files"])
 def test_ties_equal_sql(spark, ties, name):
     assert oracle.compare(oracle.connect(ties), (q.QUERIES | media.QUERIES)[name](spark, ties), (q.SQL | media.SQL)[name]) is None
