@@ -82,10 +82,10 @@ def windows(det: DataFrame) -> DataFrame:
 
 @query(f"WITH {MIXED} SELECT w.frame, round(coalesce(sum(CASE WHEN s IS NOT NULL THEN least(b, e) - greatest(a, s) END), 0) / (b - a), 6) AS covered FROM w LEFT JOIN i ON i.video_id = w.video_id AND s < b AND e > a GROUP BY w.frame, a, b")
 def coverage_of_mixed_lengths(spark: SparkSession, d: str) -> DataFrame:
-    """Intervals of up to three months in bins of ten seconds."""
+    """Intervals of up to three months, so that a window meets a good part of all of them."""
     det = detections(spark, d)
     speech = det.where("event_type = 'purchase'").select("video_id", F.col("time_sec").alias("s"), (F.col("time_sec") + F.pow(F.lit(2.0), (F.col("frame") % 24).cast("double"))).alias("e"))
-    return intervals.coverage(windows(det), speech, ["video_id"], 10.0).select("frame", F.round("covered", 6).alias("covered"))
+    return intervals.dense_coverage(windows(det), speech, ["video_id"], FEW).select("frame", F.round("covered", 6).alias("covered"))
 
 
 @query(f"WITH {MIXED} SELECT w.frame, count(cut) AS n_cuts FROM w LEFT JOIN cu ON cu.video_id = w.video_id AND a < cut AND cut < b GROUP BY 1")

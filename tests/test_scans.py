@@ -64,6 +64,27 @@ def test_overlaps_of_mixed_lengths(spark, longest):
     assert sorted(map(tuple, got)) == sorted((a[1], b[1]) for a in one for b in two if a[0] == b[0] and b[2] < a[3] and b[3] > a[2])
 
 
+@pytest.mark.parametrize("most", [None, 50])
+def test_coverage_of_windows_that_meet_many(spark, most):
+    rng = random.Random(8)
+    some = lambda n, longest: [(rng.choice(["a", "a", "b", None]), s := float(rng.randrange(60)), s + rng.randrange(longest)) for _ in range(n)]
+    one = [r for r in some(300, 30) if r[1] < r[2]] + [("a", 10.0, 20.0)] * 2 + [("c", 1.0, 2.0)]
+    two = some(300, 40) + [("a", 5.0, 3.0), ("a", None, 3.0), ("a", 4.0, None)]
+    w = spark.createDataFrame(one, "k string, start double, end double")
+    met = lambda r: [i for i in two if r[0] is not None and i[0] == r[0] and None not in i and i[1] < i[2] and i[1] < r[2] and i[2] > r[1]]
+    got = intervals.dense_coverage(w, spark.createDataFrame(two, "k string, s double, e double"), ["k"], most).collect()
+    want = [(*r, sum(min(r[2], e) - max(r[1], s) for _, s, e in met(r)) / (r[2] - r[1])) for r in one]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_a_short_window_under_very_many_long_intervals(spark):
+    d = spark.range(400_000).select(F.lit("a").alias("k"), (F.col("id") / 1e6).alias("s"), (F.col("id") / 1e6 + 1e7).alias("e"))
+    w = spark.createDataFrame([("a", 2192471.524513, 2192472.524513), ("a", 0.1, 5e5)], "k string, start double, end double")
+    got = {r["start"]: r["covered"] for r in intervals.dense_coverage(w, d, ["k"]).collect()}
+    secs = sum(5e5 - max(0.1, i / 1e6) for i in range(400_000))
+    assert got[2192471.524513] == 400_000 and abs(got[0.1] - secs / (5e5 - 0.1)) < 1e-6
+
+
 def test_a_long_interval_takes_few_rows(spark):
     year = spark.createDataFrame([("a", 0.0, 3.2e7)], "k string, start double, end double").withColumns({"a_": F.col("start"), "b_": F.col("end"), "l_": intervals.level_of(F.col("end") - F.col("start"), 10.0)})
     assert intervals._placed(year, list(range(30)), (0,), (1,), 10.0).count() <= 2 * 30
