@@ -92,7 +92,7 @@ def coverage_of_mixed_lengths(spark: SparkSession, d: str) -> DataFrame:
 def cuts_in_mixed_lengths(spark: SparkSession, d: str) -> DataFrame:
     det = detections(spark, d)
     w = windows(det)
-    n = intervals.cuts_inside(w, q.cuts(det), ["video_id"], 10.0)
+    n = intervals.cuts_inside(w, q.cuts(det), ["video_id"], FEW)
     return w.join(n, ["video_id", "start", "end"], "left").select("frame", F.coalesce("n_cuts", F.lit(0)).cast("long").alias("n_cuts"))
 
 

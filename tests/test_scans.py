@@ -65,7 +65,7 @@ def test_overlaps_of_mixed_lengths(spark, longest):
 
 
 @pytest.mark.parametrize("most", [None, 50])
-def test_coverage_of_windows_that_meet_many(spark, most):
+def test_coverage_and_cuts_of_windows_that_meet_many(spark, most):
     rng = random.Random(8)
     some = lambda n, longest: [(rng.choice(["a", "a", "b", None]), s := float(rng.randrange(60)), s + rng.randrange(longest)) for _ in range(n)]
     one = [r for r in some(300, 30) if r[1] < r[2]] + [("a", 10.0, 20.0)] * 2 + [("c", 1.0, 2.0)]
@@ -75,6 +75,9 @@ def test_coverage_of_windows_that_meet_many(spark, most):
     got = intervals.dense_coverage(w, spark.createDataFrame(two, "k string, s double, e double"), ["k"], most).collect()
     want = [(*r, sum(min(r[2], e) - max(r[1], s) for _, s, e in met(r)) / (r[2] - r[1])) for r in one]
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    n = intervals.cuts_inside(w, spark.createDataFrame([i[:2] for i in two], "k string, cut double"), ["k"], most).collect()
+    inside = {r: sum(r[0] is not None and i[0] == r[0] and i[1] is not None and r[1] < i[1] < r[2] for i in two) for r in one}
+    assert {tuple(r)[:3]: r["n_cuts"] for r in n} == {r: c for r, c in inside.items() if c} and len(n) == len({r for r, c in inside.items() if c})
 
 
 def test_a_short_window_under_very_many_long_intervals(spark):
@@ -83,6 +86,8 @@ def test_a_short_window_under_very_many_long_intervals(spark):
     got = {r["start"]: r["covered"] for r in intervals.dense_coverage(w, d, ["k"]).collect()}
     secs = sum(5e5 - max(0.1, i / 1e6) for i in range(400_000))
     assert got[2192471.524513] == 400_000 and abs(got[0.1] - secs / (5e5 - 0.1)) < 1e-6
+    points = intervals.cuts_inside(w, d.select("k", F.col("e").alias("cut")), ["k"])
+    assert points.isEmpty() and "unboundedfollowing" not in points._jdf.queryExecution().toString().lower()
 
 
 def test_a_long_interval_takes_few_rows(spark):
