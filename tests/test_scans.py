@@ -1,5 +1,6 @@
 """Ordered scans, interval joins, suppression, tracks and drawn places against plain versions."""
 
+import functools
 import random
 
 import pytest
@@ -114,6 +115,21 @@ def test_suppression_by_plain_greed(spark, in_array, most):
     assert {(r["video_id"], r["track_id"], r["i"]) for r in got.collect()} == want and got.columns == df.columns
 
 
+@pytest.mark.parametrize("in_array,most,block", [(5, 0, 3), (1, None, 20)])
+def test_suppression_in_rounds_of_the_best(spark, monkeypatch, in_array, most, block):
+    monkeypatch.setattr(clips, "suppressed", functools.partial(clips.suppressed, block=block))
+    test_suppression_by_plain_greed(spark, in_array, most)
+
+
+def test_a_long_chain_of_falling_ranks_takes_few_rounds(spark, monkeypatch):
+    """Each window overlaps the next one, which is worse: rounds of local maxima would be as many as windows."""
+    written = []
+    monkeypatch.setattr(clips, "scratch", lambda df, name, f=clips.scratch: (written.append(name), f(df, name))[1])
+    w = spark.range(400).select(F.lit("v").alias("video_id"), F.lit(0).alias("track_id"), "id", (F.col("id") * 1.0).alias("start"), (F.col("id") + 1.5).alias("end"))
+    got = clips.suppressed(w, [F.col("id")], in_array=10, block=50)
+    assert sorted(r["id"] for r in got.collect()) == list(range(0, 400, 2)) and written.count("ranked") <= 4
+
+
 @pytest.mark.parametrize("samples,warm,most", [(20, 10, 0), (6, 0, None)])
 def test_tracks_in_slices_equal_one_tracker(spark, samples, warm, most):
     rng = random.Random(4)
