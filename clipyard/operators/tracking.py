@@ -16,6 +16,7 @@ from itertools import groupby
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from clipyard.operators.scans import Scan, ordered
 from clipyard.sources.tables import scratch
@@ -40,21 +41,32 @@ class Tracker:
     def __init__(self, max_gap: int, min_iou: float, start: list[tuple[int, tuple]] = ()):
         self.max_gap, self.min_iou = max_gap, min_iou
         self.live: dict[int, tuple[int, tuple]] = {i - len(start): x for i, x in enumerate(start)}
-        self.now, self.free, self.born, self.tied = None, set(), 0, False
+        self.now, self.free, self.born, self.tied = None, {}, 0, False
 
     def take(self, sample: int, box: tuple) -> int:
         """The track of the next box; boxes come by sample, confidence (descending), box_idx."""
         if sample != self.now:
             self.now = sample
             self.live = {t: v for t, v in self.live.items() if sample - v[0] <= self.max_gap}
-            self.free = set(self.live)
-        overlaps = sorted(((box_iou(self.live[t][1], box), t) for t in self.free), reverse=True)
-        overlap, track = overlaps[0] if overlaps else (-1.0, -1)
+            self.free = {}  # tracks by their box, the youngest last: equal boxes are compared once
+            for t in sorted(self.live):
+                self.free.setdefault(self.live[t][1], []).append(t)
+        overlap, track, held, equal = -1.0, -1, None, False
+        for other, tracks in self.free.items():
+            o = box_iou(other, box)
+            if o > overlap:
+                overlap, track, held, equal = o, tracks[-1], other, len(tracks) > 1
+            elif o == overlap:
+                equal = True
+                if tracks[-1] > track:
+                    track, held = tracks[-1], other
         if overlap < self.min_iou:
             track, self.born = self.born, self.born + 1
-        elif len(overlaps) > 1 and overlaps[1][0] == overlap:
-            self.tied = True
-        self.free.discard(track)
+        else:
+            self.tied = self.tied or equal
+            self.free[held].pop()
+            if not self.free[held]:
+                del self.free[held]
         self.live[track] = (sample, box)
         return track
 
@@ -107,25 +119,30 @@ class _Slices:
             yield pd.DataFrame(closed()).reindex(columns=columns)
 
     def again(self, batches: Iterator[pd.DataFrame], to_end: bool) -> Iterator[pd.DataFrame]:
-        """Slices in order from the first one of each stretch, which starts with `known`; stops where a slice's `taken` start equals what is left, unless to_end."""
-        key, slice_now, tracker, start, first, on, columns = None, None, None, [], 0, False, []
+        """Slices in order from the first one of each stretch, which starts with `known`; stops where a slice's `taken` start equals what is left, unless to_end. Both are in a row of their own (`head`) before those of the slice."""
+        key, slice_now, tracker, start, first, on, columns, heads = None, None, None, [], 0, False, [], ([], [])
 
         def closed() -> list[dict]:
             return [{"video_id": key[0], "segment": key[1], "slice": slice_now, "summary": _summary(start, tracker, first + self.samples)}]
 
         for pdf in batches:
             own, keep, ends = [], [], []
-            columns = [*pdf.columns.drop(["known", "taken"]), "own", "summary"]
-            for video, segment, slice_, base, sample, x1, y1, x2, y2, known, taken in pdf[[*KEY, "slice", "base", "sample_idx", *BOX, "known", "taken"]].itertuples(index=False):
+            columns = [*pdf.columns.drop(["head", "known", "taken"]), "own", "summary"]
+            for video, segment, slice_, base, sample, x1, y1, x2, y2, head, known, taken in pdf[[*KEY, "slice", "base", "sample_idx", *BOX, "head", "known", "taken"]].itertuples(index=False):
+                if head:
+                    heads = [] if known is None else _pairs(known), _pairs(taken)
+                    keep.append(False)
+                    own.append(0)
+                    continue
                 if (video, segment) != key or slice_ != slice_now:
                     if on:
                         ends += closed()
                     new, at = (video, segment) != key, base + slice_ * self.samples
                     if new:
-                        start, on = _pairs(known), True
+                        start, on = heads[0], True
                     elif on:
                         start = [(s, b) for _, s, b in tracker.left(at)]
-                        on = to_end or start != _pairs(taken)
+                        on = to_end or start != heads[1]
                     key, slice_now, first = (video, segment), slice_, at
                     tracker = Tracker(self.max_gap, self.min_iou, start)
                 keep.append(on)
@@ -187,16 +204,20 @@ def iou_tracks(d: DataFrame, max_gap: int = 2, min_iou: float = 0.30, samples: i
         lost = told.where("known IS NOT NULL").select(*KEY, F.col("slice").alias("from_"), "known")
         if lost.isEmpty():
             break
-        taken = summaries.select(*KEY, "slice", F.col("summary.start").alias("taken"))
-        rest = rows.join(lost, KEY).where("slice >= from_").join(taken, [*KEY, "slice"]).drop("from_")
-        rerun = rest.repartition(*KEY).sortWithinPartitions(*KEY, "slice", *within)
+        # What slices start with may be thousands of boxes, so it stands in one row a slice. Numbers in it are 0, since pandas reads a column of integers with nulls as floats.
+        rest = rows.join(lost.select(*KEY, "from_"), KEY).where("slice >= from_").drop("from_")
+        heads = summaries.join(lost, KEY).where("slice >= from_").select(*KEY, "slice", F.lit(True).alias("head"), F.when(F.col("slice") == F.col("from_"), F.col("known")).alias("known"), F.col("summary.start").alias("taken"))
+        blank = {f.name: F.lit(0).cast(f.dataType) for f in rest.schema.fields if isinstance(f.dataType, NumericType) and f.name not in heads.columns}
+        headed = rest.withColumn("head", F.lit(False)).unionByName(heads.withColumns(blank), allowMissingColumns=True)
+        rerun = headed.repartition(*KEY).sortWithinPartitions(*KEY, "slice", F.desc("head"), *within)
         to_end = turn >= ROUNDS
-        again = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.drop("known", "taken").schema.fields)
+        again = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields)
         found = scratch(rerun.mapInPandas(lambda b, to_end=to_end: tracker.again(b, to_end), f"{again}, own int, summary {SUMMARY}").select(*tracked.columns), "tracks")
         done = found.select(*KEY, "slice").distinct()
         tracked = scratch(tracked.join(done, [*KEY, "slice"], "left_anti").unionByName(found), "tracks")
-    own = tracked.where("summary IS NULL").drop("summary").join(told.drop("known"), [*KEY, "slice"])
-    own = own.withColumn("own", F.when(F.col("own") >= 0, F.col("before") + F.col("own")).otherwise(F.get("ids", (F.size("ids") + F.col("own")).cast("int"))))
+    ids = told.select(*KEY, "slice", F.size("ids").alias("n_"), F.posexplode("ids").alias("i_", "id_")).select(*KEY, "slice", (F.col("i_") - F.col("n_")).alias("own"), "id_")
+    own = tracked.where("summary IS NULL").drop("summary").join(told.select(*KEY, "slice", "before"), [*KEY, "slice"]).join(ids, [*KEY, "slice", "own"], "left")
+    own = own.withColumn("own", F.when(F.col("own") >= 0, F.col("before") + F.col("own")).otherwise(F.col("id_")))
     ends = tracked.where("summary IS NOT NULL").groupBy(*KEY).agg(F.sum("summary.born").alias("n"))
     before = F.sum("n").over(Window.partitionBy("video_id").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1))
     offsets = ends.select(*KEY, F.coalesce(before, F.lit(0)).alias("offset"))

@@ -152,6 +152,26 @@ def test_tracks_in_slices_equal_one_tracker(spark, samples, warm, most):
     assert {(r["video_id"], r["sample_idx"], r["box_idx"]): r["track_id"] for r in tracking.iou_tracks(d, 2, 0.3, samples, warm, most).collect()} == want
 
 
+def test_what_slices_start_with_is_not_written_for_each_row(spark, tmp_path, monkeypatch):
+    """Many boxes a sample at equal places, so that slices are tracked again: what is written grows with the rows, and boxes at one place are compared once."""
+    rng = random.Random(9)
+    places = [(x * 250.0, y * 250.0) for x in range(4) for y in range(2)]
+    rows = [("v", s, s * 150 + b, *(p := rng.choice(places)), p[0] + 600, p[1] + 600, rng.randrange(100) / 100) for s in range(60) for b in range(150)]
+    calls = []
+    monkeypatch.setattr(tracking, "box_iou", lambda a, b, f=tracking.box_iou: (calls.append(1), f(a, b))[1])
+    one, want = tracking.Tracker(2, 0.3), {}
+    for r in sorted(rows, key=lambda r: (r[1], -r[7], r[2])):
+        want[r[2]] = one.take(r[1], tuple(r[3:7]))
+    assert len(calls) <= len(rows) * len(places)
+    monkeypatch.undo()
+    d = spark.createDataFrame(rows, "video_id string, sample_idx int, box_idx int, x1 double, y1 double, x2 double, y2 double, confidence double")
+    seen, kind = [], type(d)
+    monkeypatch.setattr(kind, "mapInPandas", lambda self, *a, f=kind.mapInPandas: (seen.append(self), f(self, *a))[1])
+    assert {r["box_idx"]: r["track_id"] for r in tracking.iou_tracks(d, 2, 0.3, 10, 5).collect()} == want
+    again = [x for x in seen if "taken" in x.columns]
+    assert again and all(x.where("taken IS NOT NULL").count() <= 6 for x in again)
+
+
 def test_places_are_drawn_evenly_and_once(spark):
     got = [r["p"] for r in spark.range(6000).select(splits.places(F.lit(5), 3, F.lit("7"), F.col("id").cast("string")).alias("p")).collect()]
     assert all(len(set(p)) == 3 and set(p) <= set(range(5)) for p in got)
